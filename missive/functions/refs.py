@@ -95,17 +95,19 @@ def trigrams(text: Column) -> Column:
     """
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-
-    def pack(chars: Column) -> Column:
-        points = F.transform(chars, lambda c: F.ascii(c).cast("long"))
-        return F.transform(
-            F.sequence(F.lit(1), F.size(chars) - 2),
-            lambda i: F.shiftleft(F.element_at(points, i), 42)
-            + F.shiftleft(F.element_at(points, i + 1), 21)
-            + F.element_at(points, i + 2),
-        )
-
-    return F.array_distinct(F.flatten(F.transform(padded, lambda w: pack(F.split(w, "")))))
+    points = F.transform(
+        padded, lambda w: F.transform(F.split(w, ""), lambda c: F.ascii(c).cast("long"))
+    )
+    packed = F.transform(
+        points,
+        lambda p: F.transform(
+            F.sequence(F.lit(1), F.size(p) - 2),
+            lambda i: F.shiftleft(F.element_at(p, i), 42)
+            + F.shiftleft(F.element_at(p, i + 1), 21)
+            + F.element_at(p, i + 2),
+        ),
+    )
+    return F.array_distinct(F.flatten(packed))
 
 
 def jaccard(a: Column, b: Column) -> Column:
