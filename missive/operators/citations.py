@@ -175,7 +175,9 @@ def similar_refs(cited: DataFrame, held: DataFrame, threshold: float = MIN_SIMIL
     n, m = F.size("cited_grams"), F.size("held_grams")
     needed = F.ceil((n + m) * F.lit(threshold / (1 + threshold)))
     reachable = F.least(n - F.col("cited_at"), m - F.col("held_at"))
-    shared = F.array_intersect("cited_grams", "held_grams")
+    # exploding a one-element array keeps the comparison out of the join condition, where it
+    # would run before the cheap bounds and once per use
+    shared = F.explode(F.array(F.array_intersect("cited_grams", "held_grams")))
     return (
         a.join(b, ["package_id", "gram"])
         .where((m >= n * threshold) & (n >= m * threshold) & (reachable >= needed))
@@ -301,7 +303,7 @@ def resolve(
     large_package: int = LARGE_PACKAGE,
 ) -> Resolved:
     """All rules over all packages given: the batch form of re-resolution, order-independent."""
-    targets = link_targets(letters)
+    targets = cut_lineage(link_targets(letters))
     direct = cut_lineage(apply_direct_rules(distinct_citations(mentions), targets, aliases))
     remainder = direct.where("rule IS NULL")
     fuzzy = cut_lineage(fuzzy_candidates(remainder, targets, large_package))

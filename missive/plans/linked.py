@@ -1,7 +1,8 @@
-"""Links and threads of the bridged register, stored once per session and read by the views.
+"""The bridged register as stored tables: letters and citations first, then links and threads.
 
-A register keeps its citations and threads as tables; listings and searches read them and do
-not resolve links again. The tables go to the shared checkpoint folder as Parquet.
+A register keeps its letters, citations and threads as tables; listings and searches read them
+and do not derive or resolve anything again. The tables are written once per session, as
+Parquet in the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -16,7 +17,12 @@ from ..operators import citations, threads
 from ..session import checkpoint_root
 from . import bridge
 
-_folders: dict[tuple[str, str], str] = {}
+_folders: dict[tuple[str, str, str], str] = {}
+
+
+class Bridged(NamedTuple):
+    letters: DataFrame
+    cited: DataFrame
 
 
 class Linked(NamedTuple):
@@ -29,6 +35,29 @@ class Linked(NamedTuple):
     summary: DataFrame
 
 
+def _folder(spark: SparkSession, sf_dir: str, stage: str, fill) -> str:
+    key = (spark.sparkContext.applicationId, sf_dir, stage)
+    if key not in _folders:
+        folder = f"{checkpoint_root(spark)}/{stage}-{uuid.uuid4().hex}"
+        fill(folder)
+        _folders[key] = folder
+    return _folders[key]
+
+
+def _keep(df: DataFrame, folder: str, name: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    return df.sparkSession.read.parquet(f"{folder}/{name}")
+
+
+def bridged(spark: SparkSession, sf_dir: str) -> Bridged:
+    def fill(folder: str) -> None:
+        letters = _keep(bridge.letters(spark, sf_dir), folder, "letters")
+        _keep(bridge.cited(letters), folder, "cited")
+
+    folder = _folder(spark, sf_dir, "bridge", fill)
+    return Bridged(*[spark.read.parquet(f"{folder}/{name}") for name in Bridged._fields])
+
+
 def mentions(letters: DataFrame, cited: DataFrame) -> DataFrame:
     fields = cited.select(
         "package_id", "letter_id", "document_id", "field_index",
@@ -37,26 +66,18 @@ def mentions(letters: DataFrame, cited: DataFrame) -> DataFrame:
     return citations.live_mentions(fields, letters)
 
 
-def build(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
-    letters = keep(bridge.letters(spark, sf_dir), "bridge_letters")
-    cited = keep(bridge.cited(letters), "cited")
-    resolved = citations.resolve(mentions(letters, cited), letters)
-    links = keep(resolved.citations, "citations")
-    keep(resolved.candidates, "candidates")
-    keep(resolved.occurrences, "occurrences")
-    components = keep(threads.thread_components(letters, links), "components")
-    summary = keep(threads.summarize_threads(letters, components), "summary")
-    keep(threads.point_letters(letters, components, summary), "letters")
+def linked(spark: SparkSession, sf_dir: str) -> Linked:
+    letters, cited = bridged(spark, sf_dir)
 
+    def fill(folder: str) -> None:
+        resolved = citations.resolve(mentions(letters, cited), letters)
+        links = _keep(resolved.citations, folder, "citations")
+        _keep(resolved.candidates, folder, "candidates")
+        _keep(resolved.occurrences, folder, "occurrences")
+        components = _keep(threads.thread_components(letters, links), folder, "components")
+        summary = _keep(threads.summarize_threads(letters, components), folder, "summary")
+        _keep(threads.point_letters(letters, components, summary), folder, "letters")
 
-def linked(spark: SparkSession, sf_dir: str) -> Linked:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _folders:
-        folder = f"{checkpoint_root(spark)}/register-{uuid.uuid4().hex}"
-        build(spark, sf_dir, folder)
-        _folders[key] = folder
-    return Linked(*[spark.read.parquet(f"{_folders[key]}/{name}") for name in Linked._fields])
+    folder = _folder(spark, sf_dir, "links", fill)
+    stored = {name: spark.read.parquet(f"{folder}/{name}") for name in Linked._fields if name != "cited"}
+    return Linked(cited=cited, **stored)

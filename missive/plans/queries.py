@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,10 @@ from ..operators import (
     threads,
     versions,
 )
+from ..session import checkpoint_root, cut_lineage
 from ..sources import extraction, intake, pages
 from . import bridge
-from .linked import linked, mentions
+from .linked import bridged, linked, mentions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,8 +104,7 @@ def a4_integrity_audit(spark, d):
 
 
 def _parsed(spark: SparkSession, d: str) -> extraction.Parsed:
-    letters = bridge.letters(spark, d)
-    return extraction.parse_extractions(bridge.extraction_files(letters, bridge.cited(letters)))
+    return extraction.parse_extractions(bridge.extraction_files(*bridged(spark, d)))
 
 
 @query
@@ -161,9 +162,6 @@ def a9_upload_outcome(spark, d):
 
 @query
 def a10_snapshot_sink(spark, d):
-    from ..session import checkpoint_root
-    import uuid
-
     path = f"{checkpoint_root(spark)}/snapshot-{uuid.uuid4().hex}"
     letters = linked(spark, d).letters.select("package_id", "letter_id", "serial", "letter_ref")
     intake.save(letters, path, 1)
@@ -277,7 +275,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     def unless_blank(value: F.Column) -> F.Column:
         return F.when(~blank, value)
 
-    return bridge.letters(spark, d).select(
+    return bridged(spark, d).letters.select(
         "package_id", "document_id", k.alias("candidate"),
         unless_blank(ref).alias("letter_ref"),
         refs.normalize_ref(unless_blank(ref)).alias("letter_ref_normalized"),
@@ -295,7 +293,7 @@ def d1_blank_candidates(spark, d):
 
 
 def _existing(spark: SparkSession, d: str) -> DataFrame:
-    return bridge.letters(spark, d).where("letter_id % 13 = 0")
+    return bridged(spark, d).letters.where("letter_id % 13 = 0")
 
 
 @query
@@ -307,7 +305,7 @@ def d2_merged_repeats(spark, d):
 @query
 def d2_fresh_candidates(spark, d):
     found = assembly.merge_existing(assembly.split_blank(_candidates(spark, d))[0], _existing(spark, d))
-    parties = bridge.parties(bridge.packages(bridge.letters(spark, d)))
+    parties = bridge.parties(bridge.packages(bridged(spark, d).letters))
     return assembly.resolve_parties(found.fresh, parties).select(
         "package_id", "document_id", "candidate", "letter_ref_normalized", "from_code", "to_code", "direction"
     )
@@ -315,7 +313,7 @@ def d2_fresh_candidates(spark, d):
 
 @query
 def d3_serial_numbers(spark, d):
-    packages = bridge.packages(bridge.letters(spark, d)).withColumn("next_serial", F.col("package_id") * 10 + 1)
+    packages = bridge.packages(bridged(spark, d).letters).withColumn("next_serial", F.col("package_id") * 10 + 1)
     numbered, _ = assembly.assign_serials(assembly.split_blank(_candidates(spark, d))[0], packages)
     return numbered.select("package_id", "candidate", "serial")
 
@@ -323,7 +321,7 @@ def d3_serial_numbers(spark, d):
 @query
 def d4_reference_collisions(spark, d):
     k = F.col("letter_id")
-    shared = bridge.letters(spark, d).withColumn(
+    shared = bridged(spark, d).letters.withColumn(
         "letter_ref",
         F.when(k % 37 == 0, F.concat(F.lit("REPEAT/"), F.floor(k / 370).cast("string"))).otherwise(F.col("letter_ref")),
     )
@@ -333,7 +331,7 @@ def d4_reference_collisions(spark, d):
 def _rerun(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Current letters and the candidates of a second reading: same, corrected, moved or new."""
     k = F.col("letter_id")
-    letters = bridge.letters(spark, d).where("is_current").withColumn(
+    letters = bridged(spark, d).letters.where("is_current").withColumn(
         "letter_ref_normalized",
         F.when(k % 6 == 0, F.concat(F.lit("SHARED/"), F.col("document_id"))).otherwise(F.col("letter_ref")),
     )
@@ -436,7 +434,7 @@ def d8_review_events(spark, d):
 
 @query
 def d9_void_and_serial_audit(spark, d):
-    letters = bridge.letters(spark, d)
+    letters = bridged(spark, d).letters
     actions = letters.where("letter_id % 71 = 0").select("letter_id", F.lit("misfiled").alias("reason"))
     twice = letters.withColumn(
         "serial", F.when(F.col("letter_id") % 101 == 0, F.col("serial") + 1).otherwise(F.col("serial"))
@@ -488,14 +486,15 @@ def d13_source_backfill(spark, d):
 
 
 def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    letters = bridge.letters(spark, d)
-    return letters, mentions(letters, bridge.cited(letters))
+    letters, cited = bridged(spark, d)
+    return letters, mentions(letters, cited)
 
 
 def _direct(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     letters, found = _inputs(spark, d)
-    targets = citations.link_targets(letters)
-    return citations.apply_direct_rules(citations.distinct_citations(found), targets), targets
+    targets = cut_lineage(citations.link_targets(letters))
+    direct = citations.apply_direct_rules(citations.distinct_citations(found), targets)
+    return cut_lineage(direct), targets
 
 
 def _by_rule(spark: SparkSession, d: str, *rules: str) -> DataFrame:
@@ -1016,10 +1015,9 @@ def j3_version_comparison(spark, d):
 @query
 def b_reference_forms(spark, d):
     """B1-B5 on every cited reference."""
-    letters = bridge.letters(spark, d)
     text = F.col("cited_text")
     padded = F.concat(F.lit("  "), F.replace(text, F.lit("/"), F.lit(" / ")), F.lit(" dated 12 "))
-    return bridge.cited(letters).select(
+    return bridged(spark, d).cited.select(
         "letter_id",
         refs.normalize_ref(padded).alias("normalized"),
         refs.letters_and_digits(text).alias("bare"),
@@ -1041,7 +1039,7 @@ def b_field_values(spark, d):
     codes = F.array(F.lit("CTR"), F.lit("PD"))
     from_code = fv.party_code(bridge._party_text("from_code"), codes)
     to_code = fv.party_code(bridge._party_text("to_code"), codes)
-    return bridge.letters(spark, d).select(
+    return bridged(spark, d).letters.select(
         "letter_id",
         fv.as_date(written).alias("as_date"),
         fv.format_date(F.col("dated")).alias("shown"),
