@@ -111,9 +111,9 @@ def trigrams(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Shared over all grams of two gram sets."""
+    """Shared over all grams of two gram sets, 0 when both are empty."""
     shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared)
+    return F.coalesce(F.try_divide(shared, F.size(a) + F.size(b) - shared), F.lit(0.0))
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:

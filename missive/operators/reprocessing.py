@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordering import rank_in_slices
 
 DOC = ["package_id", "document_id"]
@@ -109,14 +110,14 @@ def match_reprocessed(existing: DataFrame, candidates: DataFrame) -> DataFrame:
         )
     )
     claims = (
-        provisional.where("action = 'supersede'").groupBy("package_id", "matched_id").agg(F.count("*").alias("claims"))
+        provisional.where("action = 'supersede'").groupBy(*DOC, "matched_id").agg(F.count("*").alias("claims"))
     )
     contested = F.coalesce("claims", F.lit(0)) > 1
     conflict = F.concat(
         F.col("claims").cast("string"), F.lit(" candidates of this run match serial "),
         F.col("matched_serial").cast("string"),
     )
-    return provisional.join(claims, ["package_id", "matched_id"], "left").select(
+    return provisional.join(claims, [*DOC, "matched_id"], "left").select(
         *CANDIDATE, "letter_ref_normalized", "page_from", "page_to",
         F.when(contested, "flag_conflict").otherwise(F.col("action")).alias("action"),
         F.when(~contested, F.col("matched_id")).alias("matched_id"),
@@ -134,6 +135,7 @@ def apply_reprocessing(
     Candidates that do not supersede get the package's next serials in document and candidate
     order; a superseding one keeps the serial of the letter it replaces.
     """
+    matches = cut_lineage(matches)
     new_id = F.sha2(
         F.concat_ws("|", "package_id", "document_id", "candidate", F.lit("reprocessed")), 256
     )

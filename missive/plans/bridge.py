@@ -268,9 +268,12 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def page_sizes(words: DataFrame) -> DataFrame:
-    return words.select("document_id", "page_no").distinct().select(
-        "document_id", "page_no", F.lit(1000).alias("width_px"), F.lit(2000).alias("height_px")
+def page_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = F.floor((F.size(F.split("text", "\n")) - 1) / 20) + 1
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("document_id"),
+        F.explode(F.sequence(F.lit(1), last.cast("int"))).alias("page_no"),
+        F.lit(1000).alias("width_px"), F.lit(2000).alias("height_px"),
     )
 
 

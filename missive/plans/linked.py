@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import citations, threads
 from ..session import checkpoint_root
+from ..sources import pages
 from . import bridge
 
 _folders: dict[tuple[str, str, str], str] = {}
@@ -58,6 +59,22 @@ def bridged(spark: SparkSession, sf_dir: str) -> Bridged:
     return Bridged(*[spark.read.parquet(f"{folder}/{name}") for name in Bridged._fields])
 
 
+def page_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts and tokens as stored after reading."""
+
+    def fill(folder: str) -> None:
+        _keep(pages.assemble_pages(bridge.words(spark, sf_dir), bridge.page_sizes(spark, sf_dir)), folder, "pages")
+
+    return spark.read.parquet(f"{_folder(spark, sf_dir, 'pages', fill)}/pages")
+
+
+def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def fill(folder: str) -> None:
+        _keep(bridge.fields(*bridged(spark, sf_dir)), folder, "fields")
+
+    return spark.read.parquet(f"{_folder(spark, sf_dir, 'fields', fill)}/fields")
+
+
 def mentions(letters: DataFrame, cited: DataFrame) -> DataFrame:
     fields = cited.select(
         "package_id", "letter_id", "document_id", "field_index",

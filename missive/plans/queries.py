@@ -26,7 +26,7 @@ from ..operators import (
 from ..session import checkpoint_root, cut_lineage
 from ..sources import extraction, intake, pages
 from . import bridge
-from .linked import bridged, linked, mentions
+from .linked import bridged, extracted_fields, linked, mentions, page_ocr
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,21 +122,18 @@ def a5_unreadable(spark, d):
     return _parsed(spark, d).errors
 
 
-def _pages(spark: SparkSession, d: str) -> DataFrame:
-    words = bridge.words(spark, d)
-    return pages.assemble_pages(words, bridge.page_sizes(words))
 
 
 @query
 def a6_document_bundle(spark, d):
-    bundle = extraction.bundle_pages(_pages(spark, d))
+    bundle = extraction.bundle_pages(page_ocr(spark, d))
     return bundle.select("document_id", F.sha2("bundle", 256).alias("bundle_hash"), F.length("bundle").alias("n"))
 
 
 @query
 def a7_page_assembly(spark, d):
     token = F.element_at("tokens", -1)
-    return _pages(spark, d).select(
+    return pages.assemble_pages(bridge.words(spark, d), bridge.page_sizes(spark, d)).select(
         "document_id", "page_no", F.sha2("text", 256).alias("text_hash"),
         F.size("tokens").alias("n_tokens"),
         token["char_start"].alias("last_start"), token["char_end"].alias("last_end"),
@@ -189,7 +186,7 @@ def c1_verbatim_location(spark, d):
 
 @query
 def c2_span_rectangles(spark, d):
-    assembled = _pages(spark, d)
+    assembled = page_ocr(spark, d)
     boxed = provenance.map_spans(provenance.locate_verbatim(_claims(spark, d), assembled), assembled)
     return boxed.where("bbox IS NOT NULL").select(
         "document_id", F.size("bbox.rects").alias("n_rects"),
@@ -203,7 +200,7 @@ def c3_stored_fields(spark, d):
     claims = _claims(spark, d).withColumn(
         "page", F.when(F.col("document_id") % 9 == 0, 999).otherwise(F.col("page"))
     )
-    return provenance.build_fields(claims, _pages(spark, d)).select(
+    return provenance.build_fields(claims, page_ocr(spark, d)).select(
         "document_id", "validation", "char_start", "char_end", "page_no",
         F.coalesce(F.size("bbox.rects"), F.lit(0)).alias("n_rects"),
     )
@@ -216,24 +213,19 @@ def c4_token_audit(spark, d):
         "tokens",
         lambda t: t.withField("char_start", t["char_start"] + 1).withField("char_end", t["char_end"] + 1),
     )
-    assembled = _pages(spark, d).withColumn(
+    assembled = page_ocr(spark, d).withColumn(
         "tokens", F.when(F.col("document_id") % 10 == 0, moved).otherwise(F.col("tokens"))
     )
     found = provenance.audit_tokens(assembled)
     return found.groupBy("document_id").agg(F.count("*").alias("broken"), F.min("token_no").alias("first_token"))
 
 
-def _fields(spark: SparkSession, d: str) -> DataFrame:
-    held = linked(spark, d)
-    return bridge.fields(held.letters, held.cited)
-
-
 @query
 def c5_type_checks(spark, d):
     held = linked(spark, d)
     packages = bridge.packages(held.letters)
     clauses = packages.select("package_id", F.lit("Cl. 17.3").alias("clause"))
-    return checks.check_types(_fields(spark, d), packages, clauses)
+    return checks.check_types(extracted_fields(spark, d), packages, clauses)
 
 
 @query
@@ -248,17 +240,17 @@ def c6_anomalies(spark, d):
 @query
 def c7_review_status(spark, d):
     held = linked(spark, d)
-    return checks.review_status(held.letters, _fields(spark, d), held.citations)
+    return checks.review_status(held.letters, extracted_fields(spark, d), held.citations)
 
 
 @query
 def c8_triage(spark, d):
-    return checks.triage(_fields(spark, d))
+    return checks.triage(extracted_fields(spark, d))
 
 
 @query
 def c8_unresolved_fields(spark, d):
-    return checks.unresolved_fields(_fields(spark, d))
+    return checks.unresolved_fields(extracted_fields(spark, d))
 
 
 # -- assembly, serials, versions
@@ -422,13 +414,13 @@ def _actions(fields: DataFrame) -> DataFrame:
 
 @query
 def d8_reviewed_fields(spark, d):
-    fields = _fields(spark, d)
+    fields = extracted_fields(spark, d)
     return versions.apply_review(fields, _actions(fields))[0].drop("verbatim", "document_id", "page_no")
 
 
 @query
 def d8_review_events(spark, d):
-    fields = _fields(spark, d)
+    fields = extracted_fields(spark, d)
     return versions.apply_review(fields, _actions(fields))[1]
 
 
@@ -444,7 +436,7 @@ def d9_void_and_serial_audit(spark, d):
 
 @query
 def d10_letter_projection(spark, d):
-    return versions.project_letters(_fields(spark, d))
+    return versions.project_letters(extracted_fields(spark, d))
 
 
 @query
@@ -455,7 +447,7 @@ def d11_run_publication(spark, d):
 
 @query
 def d12_chainage_ranges(spark, d):
-    fields = _fields(spark, d)
+    fields = extracted_fields(spark, d)
     ranged = fields.withColumn(
         "value",
         F.when(
@@ -468,7 +460,7 @@ def d12_chainage_ranges(spark, d):
 
 @query
 def d12_clauses(spark, d):
-    return versions.clauses(_fields(spark, d))
+    return versions.clauses(extracted_fields(spark, d))
 
 
 @query
@@ -753,7 +745,7 @@ def g3_package_manifest(spark, d):
 def g4_letter_listing(spark, d):
     held = linked(spark, d)
     return register.letter_listing(
-        held.letters, _fields(spark, d), held.citations, held.occurrences, bridge.documents(held.letters)
+        held.letters, extracted_fields(spark, d), held.citations, held.occurrences, bridge.documents(held.letters)
     )
 
 
@@ -773,12 +765,12 @@ def g6_package_header(spark, d):
 
 @query
 def g7_field_provenance(spark, d):
-    return register.field_provenance(_fields(spark, d), linked(spark, d).letters)
+    return register.field_provenance(extracted_fields(spark, d), linked(spark, d).letters)
 
 
 @query
 def g7_page_highlights(spark, d):
-    return register.page_highlights(_fields(spark, d), 2).select("field_id", "field_key", "value")
+    return register.page_highlights(extracted_fields(spark, d), 2).select("field_id", "field_key", "value")
 
 
 @query
@@ -838,19 +830,19 @@ def h1_register_filter(spark, d):
 
 @query
 def h2_chainage_overlap(spark, d):
-    ranges = versions.chainages(_fields(spark, d)).select("package_id", "letter_id", "lo", "hi")
+    ranges = versions.chainages(extracted_fields(spark, d)).select("package_id", "letter_id", "lo", "hi")
     return search.chainage_overlap_join(ranges, bridge.sections(spark, d))
 
 
 @query
 def h2_on_chainage(spark, d):
-    return search.on_chainage(versions.chainages(_fields(spark, d)), 20000, 31000)
+    return search.on_chainage(versions.chainages(extracted_fields(spark, d)), 20000, 31000)
 
 
 @query
 def h3_clause_filter(spark, d):
     letters = linked(spark, d).letters
-    return search.on_clause(letters, versions.clauses(_fields(spark, d)), "Cl. 17.3").select("package_id", "letter_id")
+    return search.on_clause(letters, versions.clauses(extracted_fields(spark, d)), "Cl. 17.3").select("package_id", "letter_id")
 
 
 @query
@@ -908,7 +900,7 @@ def h11_semantic_nearest(spark, d):
 @query
 def h12_needs_review_register(spark, d):
     held = linked(spark, d)
-    status = checks.review_status(held.letters, _fields(spark, d), held.citations)
+    status = checks.review_status(held.letters, extracted_fields(spark, d), held.citations)
     rows = _live(held).drop("review_status").join(status, ["package_id", "letter_id"])
     return search.filter_register(rows, date_from="1997-01-01", status="needs_review").select("package_id", "letter_id")
 
@@ -953,7 +945,7 @@ def j1_letter_rules(spark, d):
 @query
 def j1_field_rules(spark, d):
     n = F.col("field_id")
-    faulty = _fields(spark, d).withColumns(
+    faulty = extracted_fields(spark, d).withColumns(
         {
             "page_no": F.when(n % 997 == 0, None).when(n % 991 == 0, 3).otherwise(F.col("page_no")),
             "validation": F.when(n % 983 == 0, "guessed").otherwise(F.col("validation")),
@@ -996,7 +988,7 @@ def j2_register_diff(spark, d):
 
 @query
 def j3_version_comparison(spark, d):
-    before = _fields(spark, d).select(
+    before = extracted_fields(spark, d).select(
         "document_id", F.col("letter_id").alias("candidate"), "field_key", "field_index", "validation",
         F.lit("v1").alias("pipeline_version"),
     )

@@ -19,7 +19,10 @@ def assemble_pages(words: DataFrame, page_sizes: DataFrame) -> DataFrame:
     in_order = Window.partitionBy(*page).orderBy("i")
     line = F.struct("block", "par", "line")
     before = F.lag(line).over(in_order)
-    kept = words.withColumn("word", refs.nfc(refs.strip_space(F.col("text")))).where("word <> ''")
+    text = F.col("text")
+    plain = text.rlike("^[!-~]+$")  # ASCII without blanks: nothing to strip or compose
+    word = F.when(plain, text).otherwise(refs.nfc(refs.strip_space(text)))
+    kept = words.withColumn("word", word).where("word <> ''")
     spaced = kept.withColumn(
         "sep", F.when(before.isNull(), "").when(before == line, " ").otherwise("\n")
     )
