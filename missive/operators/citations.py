@@ -23,9 +23,13 @@ BEST = 3
 MIN_BODY_RATIO = 0.6
 
 # Packages with more distinct references than this are searched from high similarity down.
-LARGE_PACKAGE = 50_000
+LARGE_PACKAGE = 10_000
 DESCENT = (0.8, 0.65)
 
+# A gram used by more references of a package than this is split for the join.
+PART_SIZE = 512
+MAX_PARTS = 64
+
 CITATION = ["package_id", "citing_letter_id", "cited_ref_normalized"]
 
 
@@ -133,45 +137,54 @@ def apply_direct_rules(
 def _ranked_grams(names: DataFrame, gram_use: DataFrame) -> DataFrame:
     """Each reference's grams, rarest in its package first (one bounded list per reference)."""
     return (
-        names.select("package_id", "ref", F.explode(refs.trigrams(F.col("ref"))).alias("gram"))
+        names.select("package_id", "ref", "serial", F.explode(refs.trigrams(F.col("ref"))).alias("gram"))
         .join(gram_use, ["package_id", "gram"], "left")
         .groupBy("package_id", "ref")
         .agg(
-            F.sort_array(F.collect_list(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram")))
-            .getField("gram")
-            .alias("grams")
+            F.min("serial").alias("serial"),
+            F.sort_array(
+                F.collect_list(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram"))
+            ).alias("ranked"),
         )
+        .withColumn("tail", refs.trailing_serial(F.col("ref")))
     )
 
 
 def _prefix(ranked: DataFrame, side: str, threshold: float) -> DataFrame:
     """The rare grams of which a similar pair must share at least one."""
-    n = F.size("grams")
+    n = F.size("ranked")
     length = (n - F.ceil(n * F.lit(threshold)) + 1).cast("int")
     return ranked.select(
         "package_id",
         F.col("ref").alias(f"{side}_ref"),
-        F.col("grams").alias(f"{side}_grams"),
-        F.posexplode(F.slice("grams", F.lit(1), length)).alias(f"{side}_at", "gram"),
+        F.col("serial").alias(f"{side}_serial"),
+        F.col("tail").alias(f"{side}_tail"),
+        F.col("ranked.gram").alias(f"{side}_grams"),
+        F.posexplode(F.slice("ranked", F.lit(1), length)).alias(f"{side}_at", "entry"),
+    ).select(
+        "package_id", *[f"{side}_{c}" for c in ("ref", "serial", "tail", "grams", "at")], "entry.gram",
+        # a gram used by many references is joined in parts, or one task would do all its pairs
+        F.least(F.lit(MAX_PARTS), F.ceil(F.col("entry.uses") / PART_SIZE)).cast("int").alias("parts"),
     )
 
 
-def similar_refs(cited: DataFrame, held: DataFrame, threshold: float = MIN_SIMILARITY) -> DataFrame:
-    """Exact set-similarity join of (package_id, ref) lists: (package_id, cited_ref, held_ref, score).
-
-    A pair at or above the threshold shares a gram of both rarest-first prefixes, so common
-    grams never act as join keys. Length and position bounds drop most joined rows before the
-    gram sets are compared, and a pair is emitted only at its first shared gram, which makes a
-    distinct unnecessary.
-    """
-    threshold -= 1e-9  # a score equal to the threshold must survive rounding
+def _rank_both(cited: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
     gram_use = (
         held.select("package_id", F.explode(refs.trigrams(F.col("ref"))).alias("gram"))
         .groupBy("package_id", "gram")
         .agg(F.count("*").alias("uses"))
     )
-    a = _prefix(_ranked_grams(cited, gram_use), "cited", threshold)
-    b = _prefix(_ranked_grams(held, gram_use), "held", threshold)
+    return _ranked_grams(cited, gram_use), _ranked_grams(held, gram_use)
+
+
+def _similar(cited: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    threshold -= 1e-9  # a score equal to the threshold must survive rounding
+    a = _prefix(cited, "cited", threshold).where("parts > 0").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    )
+    b = _prefix(held, "held", threshold).withColumn(
+        "part", F.pmod(F.xxhash64("held_ref"), F.col("parts")).cast("int")
+    )
     n, m = F.size("cited_grams"), F.size("held_grams")
     needed = F.ceil((n + m) * F.lit(threshold / (1 + threshold)))
     reachable = F.least(n - F.col("cited_at"), m - F.col("held_at"))
@@ -179,36 +192,45 @@ def similar_refs(cited: DataFrame, held: DataFrame, threshold: float = MIN_SIMIL
     # would run before the cheap bounds and once per use
     shared = F.explode(F.array(F.array_intersect("cited_grams", "held_grams")))
     return (
-        a.join(b, ["package_id", "gram"])
+        a.drop("parts").join(b.drop("parts"), ["package_id", "gram", "part"])
         .where((m >= n * threshold) & (n >= m * threshold) & (reachable >= needed))
         .withColumn("shared", shared)
         .where(F.element_at("shared", 1) == F.col("gram"))
         .withColumn("score", F.size("shared") / (n + m - F.size("shared")))
         .where(F.col("score") >= threshold)
-        .select("package_id", "cited_ref", "held_ref", "score")
+        .select(
+            "package_id", "cited_ref", "held_ref", "held_serial", "score",
+            F.coalesce(F.col("cited_tail") == F.col("held_tail"), F.lit(False)).alias("same_serial"),
+        )
     )
 
 
+def similar_refs(cited: DataFrame, held: DataFrame, threshold: float = MIN_SIMILARITY) -> DataFrame:
+    """Exact set-similarity join of `cited` (package_id, ref) with `held` (package_id, ref, serial).
+
+    A pair at or above the threshold shares a gram of both rarest-first prefixes, so common
+    grams never act as join keys. Length and position bounds drop most joined rows before the
+    gram sets are compared, and a pair is emitted only at its first shared gram, which makes a
+    distinct unnecessary.
+    """
+    return _similar(*_rank_both(cited, held), threshold)
+
+
 def _nearest(pairs: DataFrame, letters_of_ref: DataFrame, keep: int) -> DataFrame:
-    """Best letters per cited reference under the tie rule: score, same serial, letter serial."""
-    by_rank = Window.partitionBy("package_id", "cited_ref").orderBy(
-        F.round("score", 6).desc(),
-        F.col("same_serial").desc(),
-        "serial",
-    )
-    return (
-        pairs.withColumn(
-            "same_serial",
-            F.coalesce(
-                refs.trailing_serial(F.col("cited_ref")) == refs.trailing_serial(F.col("held_ref")),
-                F.lit(False),
-            ),
+    """Best letters per cited reference under the tie rule: score, same serial, letter serial.
+
+    References are ranked by their first letter before their letters are joined: a reference
+    behind `keep` others has no letter among the best.
+    """
+
+    def best(rows: DataFrame, serial: str) -> DataFrame:
+        by_rank = Window.partitionBy("package_id", "cited_ref").orderBy(
+            F.round("score", 6).desc(), F.col("same_serial").desc(), serial
         )
-        .join(letters_of_ref.withColumnRenamed("ref", "held_ref"), ["package_id", "held_ref"])
-        .withColumn("place", F.row_number().over(by_rank))
-        .where(F.col("place") <= keep)
-        .drop("place")
-    )
+        return rows.withColumn("place", F.row_number().over(by_rank)).where(F.col("place") <= keep).drop("place")
+
+    letters = letters_of_ref.withColumnRenamed("ref", "held_ref")
+    return best(best(pairs, "held_serial").drop("held_serial").join(letters, ["package_id", "held_ref"]), "serial")
 
 
 def nearest_letters(
@@ -227,7 +249,8 @@ def nearest_letters(
     letters_of_ref = (
         targets.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= keep)
     )
-    held = letters_of_ref.where("copy = 1").select("package_id", "ref")
+    held = letters_of_ref.where("copy = 1").select("package_id", "ref", "serial")
+    cited = cited.withColumn("serial", F.lit(None).cast("long"))
     letters_of_ref = letters_of_ref.drop("copy")
     big = held.groupBy("package_id").count().where(F.col("count") > large_package).select("package_id")
     if big.isEmpty():
@@ -236,10 +259,12 @@ def nearest_letters(
     found = _nearest(
         similar_refs(cited.join(big, "package_id", "left_anti"), held), letters_of_ref, keep
     )
-    open_refs = cited.join(big, "package_id", "left_semi")
     held_big = held.join(big, "package_id", "left_semi")
-    for threshold in DESCENT:
-        hits = cut_lineage(_nearest(similar_refs(open_refs, held_big, threshold), letters_of_ref, keep))
+    open_refs, ranked_held = map(cut_lineage, _rank_both(cited.join(big, "package_id", "left_semi"), held_big))
+    for threshold in (*DESCENT, MIN_SIMILARITY):
+        hits = cut_lineage(_nearest(_similar(open_refs, ranked_held, threshold), letters_of_ref, keep))
+        if threshold == MIN_SIMILARITY:
+            return found.unionByName(hits)
         full = (
             hits.groupBy("package_id", F.col("cited_ref").alias("ref"))
             .count()
@@ -251,7 +276,6 @@ def nearest_letters(
         )
         found = found.unionByName(done)
         open_refs = cut_lineage(open_refs.join(full, ["package_id", "ref"], "left_anti"))
-    return found.unionByName(_nearest(similar_refs(open_refs, held_big), letters_of_ref, keep))
 
 
 def fuzzy_candidates(
