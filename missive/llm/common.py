@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from missive.session import checkpoint_root, cut_lineage
 
-__all__ = ["cut_lineage", "id_bounds", "partitions", "range_bucket", "shared_folder", "table", "texts"]
+__all__ = ["bounded", "cut_lineage", "id_bounds", "partitions", "range_bucket", "shared_folder", "table", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,3 +54,15 @@ def range_bucket(id_col: str, bounds: list[float]) -> Column:
         return pd.Series(np.where(ids.isna(), 0, found).astype(np.int32))
 
     return bucket(F.col(id_col))
+
+
+def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches with about `most` bytes or list entries in one column, or a single row that has more."""
+    for batch in batches:
+        sizes = batch.column(column)
+        sizes = pc.list_value_length(sizes) if pa.types.is_list(sizes.type) else pc.binary_length(sizes)
+        lot = np.cumsum(sizes.to_numpy(zero_copy_only=False)) // most
+        cuts = np.flatnonzero(np.diff(lot)) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lot)]):
+            if end > begin:
+                yield batch.slice(begin, end - begin)

@@ -19,7 +19,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import texts
+from missive.llm.common import bounded, texts
 
 SPACE = "▁"
 # segments kept by a task before it starts its table anew; bounds memory, not results
@@ -219,7 +219,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
-        for batch in batches:
+        for batch in bounded(batches, 1):
             ids, ends = model.encode(batch.column(1).to_pylist())
             offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids))], ["doc_id", "ids"])
@@ -235,7 +235,7 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
-        for batch in batches:
+        for batch in bounded(batches, 1):
             lists = batch.column(1)
             ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             found = model.decode(lists.flatten().to_numpy(zero_copy_only=False), ends[1:])

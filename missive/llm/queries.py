@@ -8,13 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.llm import pieces, token_files
+from missive.llm import near_dups, pieces, prefix_hashes, token_files
 from missive.llm.common import shared_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = prefix_hashes.with_following(table(spark, sf_dir, "documents"))
+    own = F.col("fingerprint")
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        prefix_hashes.likeness(own, F.col("edited_fingerprint")).alias("near_edited"),
+        prefix_hashes.likeness(own, F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
     return decoded.select(
@@ -32,6 +50,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_ball": op1_simhash_ball,
+    "op7_prefix_hashes": op7_prefix_hashes,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_token_files": op10_token_files,
 }

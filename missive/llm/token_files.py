@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from missive.llm.common import id_bounds, partitions, range_bucket, texts
+from missive.llm.common import bounded, id_bounds, partitions, range_bucket, texts
 
 SEQUENCE = 1024
 BATCH_SEQUENCES = 256
@@ -179,14 +179,14 @@ def write(
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(vocabulary_path, by_piece)
-        for batch in batches:
+        for batch in bounded(batches, 2):
             found = pa.array(words.encode(batch.column(2).to_pylist(), end_id), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["file", "doc_id", "ids"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, current = None, None
         width = vocabulary(vocabulary_path, by_piece).width
-        for batch in batches:
+        for batch in bounded(batches, 2):
             lines = []
             for number, doc_id, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if number != current:
