@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.llm import near_dups, pieces, prefix_hashes, token_files
+from missive.llm import near_dups, pieces, prefix_hashes, secret_scan, token_files
 from missive.llm.common import shared_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,6 +19,24 @@ def op1_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.spans(documents).select("doc_id", "secret_spans")
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter("secret_spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("secret_spans", lambda s: s.kind != "entropy")
+    return found.select(
+        "doc_id",
+        of("assign"),
+        of("access"),
+        of("hex"),
+        F.sha2(secret_scan.listed(base), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("secret_spans")).alias("spans"),
+    )
+
+
 def op7_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prefix_hashes.with_following(table(spark, sf_dir, "documents"))
     own = F.col("fingerprint")
@@ -51,6 +69,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_ball": op1_simhash_ball,
+    "op3_secret_entropy": op3_secret_entropy,
     "op7_prefix_hashes": op7_prefix_hashes,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_token_files": op10_token_files,
