@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.llm import near_dups, pieces, prefix_hashes, secret_scan, token_files
+from missive.llm import contamination, near_dups, pieces, prefix_hashes, quality, secret_scan, token_files
 from missive.llm.common import shared_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -37,6 +37,14 @@ def op3_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"))
+
+
+def op5_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = prefix_hashes.with_following(table(spark, sf_dir, "documents"))
     own = F.col("fingerprint")
@@ -70,6 +78,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_ball": op1_simhash_ball,
     "op3_secret_entropy": op3_secret_entropy,
+    "op4_weak_label_quality": op4_weak_label_quality,
+    "op5_benchmark_windows": op5_benchmark_windows,
     "op7_prefix_hashes": op7_prefix_hashes,
     "op8_sentencepiece": op8_sentencepiece,
     "op10_token_files": op10_token_files,
