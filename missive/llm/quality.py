@@ -10,6 +10,7 @@ from a bounded sample and applied to all documents.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,23 +20,40 @@ from pyspark.sql import functions as F
 
 from missive.llm.common import bounded, texts
 
-LABELLERS = ["marks", "capitals", "repeats", "cells", "sentences", "word_length", "lines"]
+LABELLERS = [
+    "marks", "marked_words", "capitals", "capital_letters", "repeats", "few_words", "cells", "cell_lines", "sentences", "word_length"
+]
 # documents the scorer is trained on, at most about; the votes are counted over all documents
 TRAIN_ROWS = 20_000
 BUCKETS = 1 << 11
-KEEP_FROM = 0.5
+# the classes weigh alike in training; below one half, as losing a good text is worse than keeping a bad one
+KEEP_FROM = 0.3
 EM_ROUNDS = 200
 KEPT_WORDS = 200_000
 
+# belief before the votes are seen, and its weight as a share of all votes
+BAD_ON_GOOD, BAD_ON_BAD, PRIOR = 0.002, 0.3, 0.5
+
+MARKED = re.compile(r"\w[^\w\s]{2,}(?:\s|$)")
 MARKS = re.compile(r"[^\w\s.,;:!?'\"()|/@+-]")
 ENDS = re.compile(r"[.!?](?:\s|$)")
-SHAPE = str.maketrans({**{c: "a" for c in "bcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "BCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "0" for c in "123456789"}})
 RUNS = re.compile(r"(.)\1+")
-LETTER = re.compile(r"[^\W\d_]")
+
+
+class _Signs(dict):
+    """Letters become a or A, digits 0, other signs stay; filled as signs occur."""
+
+    def __missing__(self, code: int) -> str:
+        sign = chr(code)
+        self[code] = "A" if sign.isupper() else "a" if sign.isalpha() else "0" if sign.isdigit() else sign
+        return self[code]
+
+
+SHAPE = _Signs()
 
 
 def votes(text: str, words: list[str]) -> list[int]:
-    """One vote for each of LABELLERS; texts too short to judge get no votes but for marks and capitals."""
+    """One vote for each of LABELLERS; of each property there are two views, so that the labellers overlap."""
     n = len(words)
     if not n:
         return [0] * len(LABELLERS)
@@ -43,49 +61,49 @@ def votes(text: str, words: list[str]) -> list[int]:
     def vote(value: float, good_to: float, bad_from: float) -> int:
         return 1 if value <= good_to else -1 if value >= bad_from else 0
 
-    marks = len(MARKS.findall(text)) / n
-    capitals = sum(map(str.isupper, words)) / n
-    repeats = sum(map(str.__eq__, words, words[1:])) / n
-    cells = text.count("|") / n
-    sentences = n / (1 + len(ENDS.findall(text)))
-    length = len(text) / n
-    lines = [line for line in text.split("\n") if line]
-    again = 1 - len(set(lines)) / max(1, len(lines))
     enough = n >= 20
-    return [
-        vote(marks, 0.05, 0.5),
-        vote(capitals, 0.1, 0.5),
-        vote(repeats, 0.05, 0.3) if enough else 0,
-        vote(cells, 0.02, 0.2),
-        vote(sentences, 40, 120) if enough else 0,
-        (1 if 3 <= length <= 14 else -1 if length > 25 else 0) if enough else 0,
-        vote(again, 0.1, 0.5) if len(lines) >= 4 else 0,
+    letters = sum(map(str.isalpha, text))
+    lines = [line for line in text.split("\n") if line]
+    found = [
+        vote(len(MARKS.findall(text)) / n, 0.05, 0.5),
+        vote(len(MARKED.findall(text)) / n, 0.02, 0.3),
+        vote(sum(map(str.isupper, words)) / n, 0.1, 0.5),
+        vote(sum(map(str.isupper, text)) / max(1, letters), 0.15, 0.5),
+        vote(sum(map(str.__eq__, words, words[1:])) / n, 0.05, 0.3) if enough else 0,
+        # long texts repeat common words; what counts is how few are left of the first hundred
+        vote(1 - len(set(words[:100])) / min(n, 100), 0.45, 0.7) if enough else 0,
+        vote(text.count("|") / n, 0.02, 0.2),
+        vote(sum("|" in line for line in lines) / len(lines), 0.02, 0.5),
+        vote(n / (1 + len(ENDS.findall(text))), 40, 150) if enough else 0,
+        (1 if 3 <= len(text) / n <= 14 else -1 if len(text) / n > 25 else 0) if enough else 0,
     ]
+    return found
 
 
 def estimate(patterns: list[tuple[int, ...]], counts: np.ndarray, rounds: int = EM_ROUNDS) -> tuple[np.ndarray, float, np.ndarray]:
-    """Posterior of good for each pattern, share of good, and rates[class, labeller, vote + 1]; class 1 is good.
+    """Posterior of good for each pattern, share of good, and bad[class, labeller]: how often a labeller that votes says bad.
 
-    Starts from the mean vote, so class 1 is the one that labellers call good. Patterns without votes keep the share of good.
+    Class 1 is good. A labeller that does not vote says nothing. Bad texts are bad in different ways, so labellers that look
+    at different properties disagree on them, and without more knowledge the classes could settle on one kind of bad text.
+    The prior says that a bad vote on a good text is rare (BAD_ON_GOOD) and weighs as much as PRIOR of all votes.
     """
     v = np.array(patterns, dtype=np.int64).reshape(len(patterns), -1)
-    cast = np.abs(v).sum(axis=1)
-    good = np.where(cast > 0, 0.5 + 0.45 * v.sum(axis=1) / np.maximum(cast, 1), 0.5)
-    # a bad vote is rare and says more than a good one
-    good = np.where((v < 0).any(axis=1), np.minimum(good, 0.3), good)
-    one_hot = np.stack([(v == k) for k in (-1, 0, 1)], axis=2).astype(float)
-    share, rates = 0.5, np.zeros((2, v.shape[1], 3))
+    says_bad, says = (v < 0).astype(float), (v != 0).astype(float)
+    good = np.where((v < 0).any(axis=1), 0.3, 0.9)
+    share, bad = 0.5, np.zeros((2, v.shape[1]))
+    strength = PRIOR * (counts @ says) + 1
     for _ in range(rounds):
         weights = np.stack([counts * (1 - good), counts * good])
         share = float((weights[1].sum() + 1) / (weights.sum() + 2))
-        rates = np.einsum("cp,plk->clk", weights, one_hot) + 0.5
-        rates /= rates.sum(axis=2, keepdims=True)
-        logs = np.einsum("plk,clk->pc", one_hot, np.log(rates)) + np.log([1 - share, share])
+        mean = np.array([[BAD_ON_BAD], [BAD_ON_GOOD]])
+        own = strength * np.array([[1 - share], [share]])
+        bad = (weights @ says_bad + own * mean) / (weights @ says + own)
+        logs = says_bad @ np.log(bad).T + (says - says_bad) @ np.log(1 - bad).T + np.log([1 - share, share])
         fresh = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -500, 500)))
         if np.abs(fresh - good).max(initial=0) < 1e-9:
             break
         good = fresh
-    return good, share, rates
+    return good, share, bad
 
 
 class Shapes:
@@ -97,15 +115,11 @@ class Shapes:
     @staticmethod
     def shape(word: str) -> str:
         """Letters as a or A, digits as 0, runs of one sign shortened to two."""
-        plain = "".join(c if c.isascii() or not LETTER.match(c) else "A" if c.isupper() else "a" for c in word)
-        return RUNS.sub(r"\1\1", plain.translate(SHAPE))[:16]
+        return RUNS.sub(r"\1\1", word.translate(SHAPE))[:16]
 
     @staticmethod
     def _bucket(line: str) -> int:
-        value = 2166136261
-        for byte in line.encode():
-            value = (value ^ byte) * 16777619 & 0xFFFFFFFF
-        return (value ^ value >> 15) % (BUCKETS // 2)
+        return zlib.crc32(line.encode()) % (BUCKETS // 2)
 
     def buckets(self, words: list[str]) -> np.ndarray:
         """Buckets of all features of a text; the first half holds shapes, the second pairs."""
@@ -131,10 +145,10 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], steps: int = 400) ->
     dense = np.zeros((len(rows), BUCKETS), dtype=np.float32)
     for k, (at, value, _) in enumerate(rows):
         dense[k, at] = value
-    label = np.array([r[2] for r in rows])
-    weight = np.where(label > 0.5, 0.5 / max(1, (label > 0.5).sum()), 0.5 / max(1, (label <= 0.5).sum()))
-    w, offset = np.zeros(BUCKETS), 0.0
-    speed, pull = np.zeros(BUCKETS), 0.0
+    label = np.array([r[2] for r in rows], dtype=np.float32)
+    weight = np.where(label > 0.5, 0.5 / max(1, (label > 0.5).sum()), 0.5 / max(1, (label <= 0.5).sum())).astype(np.float32)
+    w, offset = np.zeros(BUCKETS, dtype=np.float32), np.float32(0)
+    speed, pull = np.zeros_like(w), np.float32(0)
     for _ in range(steps):
         error = weight * (1 / (1 + np.exp(-np.clip(dense @ w + offset, -60, 60))) - label)
         speed = 0.9 * speed - 4.0 * (error @ dense + 1e-4 * w)
@@ -168,7 +182,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, floa
     """The scorer for `docs` (doc_id, text). Votes are counted over all rows, training takes a sample by hash of doc_id and text."""
     counted = (
         docs.select("doc_id", "text").mapInArrow(_examine, "votes array<tinyint>").groupBy("votes").count()
-    ).collect()  # at most 3 ** len(LABELLERS) rows
+    ).collect()  # the patterns that occur, at most 3 ** len(LABELLERS) and in practice some hundreds
     counted.sort(key=lambda r: tuple(r.votes))
     patterns, counts = [tuple(r.votes) for r in counted], np.array([r["count"] for r in counted], dtype=float)
     if not patterns:

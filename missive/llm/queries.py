@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.llm import contamination, near_dups, pieces, prefix_hashes, quality, secret_scan, token_files
+from missive.llm import contamination, near_dups, pieces, prefix_hashes, quality, secret_scan, token_files, toxicity
 from missive.llm.common import shared_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -69,6 +69,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), folder, WORDS)
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_benchmark_windows": op5_benchmark_windows,
     "op7_prefix_hashes": op7_prefix_hashes,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_toxic_lexicon": op9_toxic_lexicon,
     "op10_token_files": op10_token_files,
 }
 SQL: dict[str, str] = {}
