@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.llm import contamination, near_dups, pieces, prefix_hashes, quality, secret_scan, token_files, toxicity
+from missive.llm import contamination, main_text, near_dups, pieces, prefix_hashes, quality, secret_scan, token_files, toxicity
 from missive.llm.common import shared_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -19,6 +19,11 @@ def op1_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op3_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.spans(documents).select("doc_id", "secret_spans")
@@ -81,6 +86,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_ball": op1_simhash_ball,
+    "op2_min_cut_text": op2_min_cut_text,
     "op3_secret_entropy": op3_secret_entropy,
     "op4_weak_label_quality": op4_weak_label_quality,
     "op5_benchmark_windows": op5_benchmark_windows,
