@@ -61,7 +61,7 @@ def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20)
     for batch in batches:
         sizes = batch.column(column)
         sizes = pc.list_value_length(sizes) if pa.types.is_list(sizes.type) else pc.binary_length(sizes)
-        lot = np.cumsum(sizes.to_numpy(zero_copy_only=False)) // most
+        lot = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False)) // most
         cuts = np.flatnonzero(np.diff(lot)) + 1
         for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lot)]):
             if end > begin:

@@ -207,15 +207,37 @@ def leaks(
     is searched in runs of windows. Empty tables give no rows.
     """
     rows = texts(docs, id_col, text_col)
-    items = texts(benchmark, item_col, item_text_col)
+    found = docs.sparkSession.createDataFrame([], RESULT)
+    for pairs in _lots(texts(benchmark, item_col, item_text_col)):
+        found = found.unionByName(rows.mapInArrow(_search(pairs), RESULT))
+    return found
+
+
+def without_leaks(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """The rows of `docs`, all their columns, in which `leaks` finds no item."""
+    place = docs.columns.index(text_col)
+
+    def clean(items: list[tuple[int | None, str]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(items)
+            for batch in bounded(batches, place):
+                yield batch.filter(pa.array([not index.search(t or "") for t in batch.column(place).to_pylist()], pa.bool_()))
+
+        return run
+
+    for pairs in _lots(texts(benchmark, item_col, item_text_col)):
+        docs = docs.mapInArrow(clean(pairs), docs.schema)
+    return docs
+
+
+def _lots(items: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """The items in lots of about ITEMS_AT_ONCE, dealt by hash."""
     lots = -(-items.count() // ITEMS_AT_ONCE)
-    found = None
     for lot in range(lots):
         own = items.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(lots)) == lot).collect()
-        pairs = sorted(((r.doc_id, r.text) for r in own), key=lambda p: (p[0] is None, p[0] or 0, p[1]))
-        part = rows.mapInArrow(_search(pairs), RESULT)
-        found = part if found is None else found.unionByName(part)
-    return docs.sparkSession.createDataFrame([], RESULT) if found is None else found
+        yield sorted(((r.doc_id, r.text) for r in own), key=lambda p: (p[0] is None, p[0] or 0, p[1]))
 
 
 def _search(items: list[tuple[int | None, str]]):

@@ -157,3 +157,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     return prints.join(named, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def representatives(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all their columns, without near-duplicates: of each component the document with the smallest id.
+
+    Of rows with one identifier one stays. Rows without identifier cannot stand for others and all stay.
+    """
+    found = near_duplicates(docs, words, id_col, text_col)
+    stay = found.where("component_id IS NOT NULL").select(F.col("component_id").alias(id_col)).distinct()
+    known = docs.where(F.col(id_col).isNotNull()).join(stay, id_col, "left_semi").dropDuplicates([id_col])
+    return known.unionByName(docs.where(F.col(id_col).isNull()))

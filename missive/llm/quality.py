@@ -201,6 +201,16 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, floa
     return train(chosen)
 
 
+def _scores(column: pa.Array, shapes: Shapes, weights: np.ndarray, offset: float) -> np.ndarray:
+    out = np.zeros(len(column))
+    for k, text in enumerate(column.to_pylist()):
+        words = (text or "").split()
+        if words:
+            at, value = features(shapes.buckets(words))
+            out[k] = 1 / (1 + np.exp(-np.clip(value @ weights[at] + offset, -60, 60)))
+    return out
+
+
 def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, quality_score (0 to 1), keep (score of KEEP_FROM or more) for every row.
 
@@ -214,13 +224,21 @@ def scored(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for batch in bounded(batches, 1):
-            scores = np.zeros(batch.num_rows)
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                words = text.split()
-                if words:
-                    at, value = features(shapes.buckets(words))
-                    scores[k] = 1 / (1 + np.exp(-np.clip(value @ weights[at] + offset, -60, 60)))
+            scores = _scores(batch.column(1), shapes, weights, offset)
             columns = [batch.column(0), pa.array(scores), pa.array(scores >= KEEP_FROM)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "quality_score", "keep"])
 
     return rows.mapInArrow(run, "doc_id long, quality_score double, keep boolean")
+
+
+def kept(docs: DataFrame, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all their columns, that `scored` keeps."""
+    weights, offset = fit(texts(docs, id_col, text_col), train_rows)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shapes = Shapes()
+        for batch in bounded(batches, place):
+            yield batch.filter(pa.array(_scores(batch.column(place), shapes, weights, offset) >= KEEP_FROM))
+
+    return docs.mapInArrow(run, docs.schema)
