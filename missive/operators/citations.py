@@ -22,22 +22,27 @@ MIN_SIMILARITY = 0.5
 BEST = 3
 MIN_BODY_RATIO = 0.6
 
-# Packages with more distinct references than this are searched from high similarity down.
-LARGE_PACKAGE = 10_000
+# The search goes from high similarity down to MIN_SIMILARITY.
 DESCENT = (0.8, 0.65)
 
-# A gram used by more references of a package than this is split for the join.
+# A gram used by more references of a package than this is split for the join, into as many parts as its uses ask for.
 PART_SIZE = 512
-MAX_PARTS = 64
 
 CITATION = ["package_id", "citing_letter_id", "cited_ref_normalized"]
 
 
 class Resolved(NamedTuple):
+    """`scored` has at most three candidates per citation, `exact` the letters of each reference that several letters have."""
+
     citations: DataFrame
-    candidates: DataFrame
+    scored: DataFrame
+    exact: DataFrame
     occurrences: DataFrame
 
+    @property
+    def candidates(self) -> DataFrame:
+        return candidate_rows(self.citations, self.scored, self.exact)
+
 
 def link_targets(letters: DataFrame) -> DataFrame:
     """Letters a citation may point at: current, not voided, with a reference."""
@@ -52,12 +57,21 @@ def link_targets(letters: DataFrame) -> DataFrame:
 
 
 def live_mentions(fields: DataFrame, letters: DataFrame) -> DataFrame:
-    """cited_ref fields with a letter, from documents that still hold a live letter."""
-    live = letters.where("is_current AND NOT is_voided").select("package_id", "document_id")
+    """Current cited_ref fields with a letter, from readings that still hold a live letter.
+
+    A reading is a run of a document: where letters and fields carry `run_id`, what an earlier run of a document said no
+    longer counts. Tables without it read each document once. `field_key` and `is_current` are tested where the fields have them.
+    """
+    reading = ["package_id", "document_id", *(["run_id"] if "run_id" in fields.columns and "run_id" in letters.columns else [])]
+    live = letters.where("is_current AND NOT is_voided").select(*reading)
+    if "field_key" in fields.columns:
+        fields = fields.where("field_key = 'cited_ref'")
+    if "is_current" in fields.columns:
+        fields = fields.where("is_current")
     chosen = refs.normalize_ref(refs.choose_ref(F.col("value"), F.col("verbatim")))
     return (
         fields.where(F.col("letter_id").isNotNull())
-        .join(live, ["package_id", "document_id"], "left_semi")
+        .join(live, reading, "left_semi")
         .select(
             "package_id",
             F.col("letter_id").alias("citing_letter_id"),
@@ -164,7 +178,7 @@ def _prefix(ranked: DataFrame, side: str, threshold: float) -> DataFrame:
     ).select(
         "package_id", *[f"{side}_{c}" for c in ("ref", "serial", "tail", "grams", "at")], "entry.gram",
         # a gram used by many references is joined in parts, or one task would do all its pairs
-        F.least(F.lit(MAX_PARTS), F.ceil(F.col("entry.uses") / PART_SIZE)).cast("int").alias("parts"),
+        F.ceil(F.col("entry.uses") / PART_SIZE).cast("int").alias("parts"),
     )
 
 
@@ -233,16 +247,12 @@ def _nearest(pairs: DataFrame, letters_of_ref: DataFrame, keep: int) -> DataFram
     return best(best(pairs, "held_serial").drop("held_serial").join(letters, ["package_id", "held_ref"]), "serial")
 
 
-def nearest_letters(
-    cited: DataFrame, targets: DataFrame, large_package: int = LARGE_PACKAGE
-) -> DataFrame:
+def nearest_letters(cited: DataFrame, targets: DataFrame) -> DataFrame:
     """The best BEST + 1 letters for each (package_id, ref): one spare for the citing letter.
 
-    Only the first BEST + 1 letters of equal references can ever be placed, so further copies
-    are not joined. Ordinary packages are searched once at the lowest similarity. In a large
-    one the number of similar references grows with the package, so it is searched from high
-    similarity down and a reference stops once it has enough hits: every hit still to come
-    would score lower, so the result is the same.
+    Only the first BEST + 1 letters of equal references can ever be placed, so further copies are not joined. The number of
+    references above the least similarity grows with the package, so all packages are searched from high similarity down,
+    and a reference stops once it has enough hits: every hit still to come would score lower, so the result is the same.
     """
     keep = BEST + 1
     copies = Window.partitionBy("package_id", "ref").orderBy("serial")
@@ -252,15 +262,8 @@ def nearest_letters(
     held = letters_of_ref.where("copy = 1").select("package_id", "ref", "serial")
     cited = cited.withColumn("serial", F.lit(None).cast("long"))
     letters_of_ref = letters_of_ref.drop("copy")
-    big = held.groupBy("package_id").count().where(F.col("count") > large_package).select("package_id")
-    if big.isEmpty():
-        return _nearest(similar_refs(cited, held), letters_of_ref, keep)
-
-    found = _nearest(
-        similar_refs(cited.join(big, "package_id", "left_anti"), held), letters_of_ref, keep
-    )
-    held_big = held.join(big, "package_id", "left_semi")
-    open_refs, ranked_held = map(cut_lineage, _rank_both(cited.join(big, "package_id", "left_semi"), held_big))
+    open_refs, ranked_held = map(cut_lineage, _rank_both(cited, held))
+    found = None
     for threshold in (*DESCENT, MIN_SIMILARITY):
         hits = cut_lineage(_nearest(_similar(open_refs, ranked_held, threshold), letters_of_ref, keep))
         if threshold == MIN_SIMILARITY:
@@ -274,19 +277,15 @@ def nearest_letters(
         done = hits.join(
             full.withColumnRenamed("ref", "cited_ref"), ["package_id", "cited_ref"], "left_semi"
         )
-        found = found.unionByName(done)
-        open_refs = cut_lineage(open_refs.join(full, ["package_id", "ref"], "left_anti"))
+        found = done if found is None else found.unionByName(done)
+        open_refs = open_refs.join(full, ["package_id", "ref"], "left_anti")
 
 
-def fuzzy_candidates(
-    remainder: DataFrame, targets: DataFrame, large_package: int = LARGE_PACKAGE
-) -> DataFrame:
+def fuzzy_candidates(remainder: DataFrame, targets: DataFrame) -> DataFrame:
     """At most three scored candidates per citation of the remainder, never the citing letter."""
     ref = F.col("cited_ref_normalized")
     cited = remainder.select("package_id", ref.alias("ref")).distinct()
-    near = nearest_letters(cited, targets, large_package).withColumnRenamed(
-        "cited_ref", "cited_ref_normalized"
-    )
+    near = nearest_letters(cited, targets).withColumnRenamed("cited_ref", "cited_ref_normalized")
     by_rank = Window.partitionBy(*CITATION).orderBy(
         F.round("score", 6).desc(), F.col("same_serial").desc(), "serial"
     )
@@ -324,13 +323,12 @@ def resolve(
     mentions: DataFrame,
     letters: DataFrame,
     aliases: DataFrame | None = None,
-    large_package: int = LARGE_PACKAGE,
 ) -> Resolved:
     """All rules over all packages given: the batch form of re-resolution, order-independent."""
     targets = cut_lineage(link_targets(letters))
     direct = cut_lineage(apply_direct_rules(distinct_citations(mentions), targets, aliases))
     remainder = direct.where("rule IS NULL")
-    fuzzy = cut_lineage(fuzzy_candidates(remainder, targets, large_package))
+    fuzzy = cut_lineage(fuzzy_candidates(remainder, targets))
     by_serial = (
         anchored(fuzzy)
         .groupBy(*CITATION)
@@ -357,27 +355,38 @@ def resolve(
             ).alias("rule"),
         )
     )
-    return Resolved(citations, candidate_rows(direct, fuzzy, targets), occurrences(mentions))
+    scored = fuzzy.select(
+        *CITATION, "candidate_letter_id", F.lit("trgm_fuzzy").alias("match_method"), "match_score"
+    )
+    return Resolved(citations, scored, shared_references(direct, targets), occurrences(mentions))
 
 
-def candidate_rows(direct: DataFrame, fuzzy: DataFrame, targets: DataFrame) -> DataFrame:
-    """Recorded candidates: every exact match of an ambiguous reference, and the scored ones."""
-    exact = (
-        direct.where("rule = 'exact_many'")
+def shared_references(direct: DataFrame, targets: DataFrame) -> DataFrame:
+    """The letters of every ambiguous reference, once per reference however many letters cite it."""
+    shared = direct.where("rule = 'exact_many'").select("package_id", "cited_ref_normalized").distinct()
+    return shared.join(targets.withColumnRenamed("ref", "cited_ref_normalized"), ["package_id", "cited_ref_normalized"]).select(
+        "package_id", "cited_ref_normalized", F.col("letter_id").alias("candidate_letter_id")
+    )
+
+
+def candidate_rows(citations: DataFrame, scored: DataFrame, exact: DataFrame) -> DataFrame:
+    """The candidates of each citation: every exact match of an ambiguous reference, and the scored ones.
+
+    A view for reading: of a reference that many letters cite and many have, ask for single packages or citations.
+    """
+    exact_rows = (
+        citations.where("rule = 'exact_many'")
         .select(*CITATION)
-        .join(targets.withColumnRenamed("ref", "cited_ref_normalized"), ["package_id", "cited_ref_normalized"])
-        .where(F.col("letter_id") != F.col("citing_letter_id"))
+        .join(exact, ["package_id", "cited_ref_normalized"])
+        .where(F.col("candidate_letter_id") != F.col("citing_letter_id"))
         .select(
             *CITATION,
-            F.col("letter_id").alias("candidate_letter_id"),
+            "candidate_letter_id",
             F.lit("exact_ref").alias("match_method"),
             F.lit(None).cast("double").alias("match_score"),
         )
     )
-    scored = fuzzy.select(
-        *CITATION, "candidate_letter_id", F.lit("trgm_fuzzy").alias("match_method"), "match_score"
-    )
-    return exact.unionByName(scored)
+    return exact_rows.unionByName(scored)
 
 
 def occurrences(mentions: DataFrame, stored: DataFrame | None = None) -> DataFrame:
@@ -411,23 +420,41 @@ def confirm(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Human confirmations -> (citations, aliases learned, rejected confirmations).
 
-    Confirmations carry the citation key, `candidate_letter_id` and an increasing `confirmed_at`.
-    A citation takes its first valid one; an alias keeps the latest decision per reference.
+    Confirmations carry the citation key, `candidate_letter_id` and an increasing `confirmed_at`. A citation takes its first
+    valid one. A reference without exact match is known by the alias from its first decision on: other letters' citations of
+    it are resolved by then and their decisions refused, except where the alias is the citing letter itself. An alias keeps
+    the latest accepted decision per reference.
     """
     ambiguous = citations.where("resolution = 'unresolved_ambiguous'").select(
         *CITATION, F.lit(True).alias("open")
     )
-    recorded = candidates.select(*CITATION, "candidate_letter_id", F.lit(True).alias("recorded"))
+    recorded = candidates.groupBy(*CITATION, "candidate_letter_id").agg(
+        F.lit(True).alias("recorded"), F.max(F.col("match_method") == "trgm_fuzzy").alias("scored")
+    )
     checked = confirmations.join(ambiguous, CITATION, "left").join(
         recorded, [*CITATION, "candidate_letter_id"], "left"
     )
-    first = checked.where("open AND recorded").groupBy(*CITATION).agg(
+    own = checked.where("open AND recorded").groupBy(*CITATION).agg(
         F.min_by("candidate_letter_id", F.struct("confirmed_at", "candidate_letter_id")).alias("chosen"),
         F.min("confirmed_at").alias("chosen_at"),
+        F.max("scored").alias("scored"),
     )
-    judged = checked.join(first, CITATION, "left")
-    accepted = (F.col("candidate_letter_id") == F.col("chosen")) & (
-        F.col("confirmed_at") == F.col("chosen_at")
+    reference = ["package_id", "cited_ref_normalized"]
+    known = own.where("scored").groupBy(*reference).agg(
+        F.min_by("chosen", F.struct("chosen_at", "citing_letter_id")).alias("alias_id"),
+        F.min(F.struct("chosen_at", "citing_letter_id")).alias("alias_at"),
+    )
+    resolved_before = F.coalesce(
+        F.col("scored")
+        & (F.struct("chosen_at", "citing_letter_id") > F.col("alias_at"))
+        & (F.col("alias_id") != F.col("citing_letter_id")),
+        F.lit(False),
+    )
+    decided = cut_lineage(own.join(known, reference, "left").withColumn("late", resolved_before))
+    first = decided.where("NOT late").select(*CITATION, "chosen", "chosen_at")
+    judged = checked.join(decided.select(*CITATION, "chosen", "chosen_at", "late"), CITATION, "left")
+    accepted = (
+        (F.col("candidate_letter_id") == F.col("chosen")) & (F.col("confirmed_at") == F.col("chosen_at")) & ~F.col("late")
     )
     rejected = judged.where(~F.coalesce(accepted, F.lit(False))).select(
         *CITATION,
@@ -435,6 +462,7 @@ def confirm(
         "confirmed_at",
         F.when(F.col("open").isNull(), "not_ambiguous")
         .when(F.col("recorded").isNull(), "not_a_candidate")
+        .when(F.col("late"), "already_resolved_by_alias")
         .otherwise("already_confirmed")
         .alias("reason"),
     )
@@ -453,6 +481,38 @@ def confirm(
     return linked, aliases, rejected
 
 
+class Confirmed(NamedTuple):
+    citations: DataFrame
+    candidates: DataFrame
+    aliases: DataFrame
+    rejected: DataFrame
+
+
+def apply_confirmations(
+    stored: DataFrame,
+    candidates: DataFrame,
+    confirmations: DataFrame,
+    mentions: DataFrame,
+    letters: DataFrame,
+    known: DataFrame | None = None,
+) -> Confirmed:
+    """Confirmations carried through: links decided, aliases learned, packages resolved again with them.
+
+    `known` are aliases learned before; a new decision on a reference replaces the old alias. Links that a person decided stay
+    as they are; threads follow from the result.
+    """
+    linked, learned, rejected = confirm(stored, candidates, confirmations)
+    aliases = learned
+    if known is not None:
+        older = known.select("package_id", "cited_ref_normalized", "letter_id").join(
+            learned, ["package_id", "cited_ref_normalized"], "left_anti"
+        )
+        aliases = learned.unionByName(older)
+    aliases = cut_lineage(aliases)
+    again = resolve(mentions, letters, aliases)
+    return Confirmed(upsert(linked, again.citations), again.candidates, aliases, rejected)
+
+
 def backfill_source(citations: DataFrame) -> DataFrame:
     """Resolved links whose source was never recorded count as human decisions."""
     unknown = F.col("resolution_source").isNull()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .ordering import rank_in_slices
+from .ranges import overlap_pairs
 
 DOC = ["package_id", "document_id"]
 CANDIDATE = [*DOC, "candidate"]
@@ -17,26 +18,14 @@ def _serial_list(serials: Column) -> Column:
 
 
 def _overlapping(existing: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Pairs with overlapping page ranges, each once.
-
-    Two ranges overlap when one contains the first page of the other, so pages are join keys
-    and letters of a document that do not touch are never paired.
-    """
+    """Pairs with overlapping page ranges, each once; a range that ends before it begins overlaps nothing."""
     old = existing.select(
         *DOC, F.col("letter_id").alias("matched_id"), F.col("serial").alias("matched_serial"),
         F.col("page_from").alias("old_from"), F.col("page_to").alias("old_to"),
     )
     new = candidates.select(*CANDIDATE, "page_from", "page_to")
-    starts_inside = new.withColumn("page", F.col("page_from")).join(
-        old.withColumn("page", F.explode(F.sequence("old_from", "old_to"))), [*DOC, "page"]
-    )
-    begins_before = (
-        new.withColumn("page", F.explode(F.sequence("page_from", "page_to")))
-        .where("page > page_from")
-        .join(old.withColumn("page", F.col("old_from")), [*DOC, "page"])
-    )
-    columns = [*CANDIDATE, "matched_id", "matched_serial"]
-    return starts_inside.select(*columns).unionByName(begins_before.select(*columns))
+    pairs = overlap_pairs(new, old, DOC, ("page_from", "page_to"), ("old_from", "old_to"))
+    return pairs.select(*CANDIDATE, "matched_id", "matched_serial")
 
 
 def match_reprocessed(existing: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.fields import format_date, parse_chainage, search_words, suggestion_text
 from ..functions.refs import strip_space
 from .ordering import previous_in_order
+from .ranges import overlap_pairs
 
 # Words that never become suggestions.
 STOPWORDS = (
@@ -16,7 +17,6 @@ STOPWORDS = (
     "reg sub ref dated sir madam please shall may no"
 ).split()
 
-BUCKET_METRES = 1000
 
 
 def filter_register(
@@ -53,26 +53,13 @@ def on_chainage(ranges: DataFrame, lo: int, hi: int) -> DataFrame:
 
 
 def chainage_overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of one package with overlapping ranges, each once.
+    """Pairs of one package with overlapping ranges, each once, however long the ranges are.
 
-    Both sides are spread over kilometre buckets; a pair is kept in the bucket where its overlap
-    begins, so no distinct is needed. `left` (package_id, letter_id, lo, hi), `right`
-    (package_id, section_id, lo, hi).
+    `left` (package_id, letter_id, lo, hi), `right` (package_id, section_id, lo, hi).
     """
-
-    def spread(df: DataFrame) -> DataFrame:
-        first, last = F.floor(F.col("lo") / BUCKET_METRES), F.floor(F.col("hi") / BUCKET_METRES)
-        return df.withColumn("bucket", F.explode(F.sequence(first, last)))
-
-    a = spread(left)
-    b = spread(right.withColumnsRenamed({"lo": "section_lo", "hi": "section_hi"}).withColumns(
-        {"lo": F.col("section_lo"), "hi": F.col("section_hi")}
-    )).drop("lo", "hi")
-    return (
-        a.join(b, ["package_id", "bucket"])
-        .where("lo <= section_hi AND section_lo <= hi")
-        .where(F.col("bucket") == F.floor(F.greatest("lo", "section_lo") / BUCKET_METRES))
-        .select("package_id", "letter_id", "section_id", "lo", "hi", "section_lo", "section_hi")
+    sections = right.withColumnsRenamed({"lo": "section_lo", "hi": "section_hi"})
+    return overlap_pairs(left, sections, ["package_id"], ("lo", "hi"), ("section_lo", "section_hi")).select(
+        "package_id", "letter_id", "section_id", "lo", "hi", "section_lo", "section_hi"
     )
 
 
@@ -86,10 +73,15 @@ def chronological(rows: DataFrame) -> DataFrame:
 
 
 def thread_gaps(rows: DataFrame) -> DataFrame:
-    """Days from the letter before in its thread, with both endpoints; undated letters come last."""
+    """Days from the letter before in its thread, with both endpoints; undated letters come last.
+
+    A letter without thread key has no letter before it and a row without gap.
+    """
     placed = previous_in_order(
-        rows, ["package_id", "thread_key"], "dated", "serial", ["letter_ref", "dated"], "_prev"
+        rows.where("thread_key IS NOT NULL"), ["package_id", "thread_key"], "dated", "serial", ["letter_ref", "dated"], "_prev"
     )
+    alone = rows.where("thread_key IS NULL").withColumn("_prev", F.lit(None).cast(placed.schema["_prev"].dataType))
+    placed = placed.unionByName(alone)
     return placed.select(
         "package_id", "thread_key", "letter_id", "serial",
         F.col("_prev.letter_ref").alias("gap_from_ref"),
@@ -229,19 +221,21 @@ def suggestion_index(rows: DataFrame) -> DataFrame:
 
 
 def match_suggestions(index: DataFrame, query: str, limit: int = 8) -> DataFrame:
-    """Suggestions that begin with the query, or contain a word that does."""
+    """Of each package the best suggestions that begin with the query, or contain a word that does."""
     wanted = query.strip().lower()
     text = F.lower("text")
     rank = F.when(text.startswith(wanted), 0).when(
         F.exists(F.split(text, r"[\s/_-]+"), lambda w: w.startswith(wanted)), 1
     )
+    by_rank = Window.partitionBy("package_id").orderBy("rank", F.col("count").desc(), F.length("text"), "text", "kind")
     return (
         index.where(F.lit(len(wanted) >= 2))
         .where(text != wanted)
         .withColumn("rank", rank)
         .where("rank IS NOT NULL")
-        .orderBy("rank", F.col("count").desc(), F.length("text"), "text", "package_id", "kind")
-        .limit(limit)
+        .withColumn("place", F.row_number().over(by_rank))
+        .where(F.col("place") <= limit)
+        .drop("place")
     )
 
 

@@ -72,26 +72,30 @@ def publish_runs(runs: DataFrame) -> DataFrame:
 def apply_review(fields: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verify, reject or correct fields -> (fields, events).
 
-    `actions`: field_id, action, actor, new_value, note, acted_at. Actions on one field apply in
-    time order until a correction replaces it; later ones, and any on a field that is not
-    current, become 'refused' events. A correction adds a row and keeps the old one.
+    `actions`: field_id, action, actor, new_value, note, acted_at, and new_verbatim if the printed text was corrected too;
+    without it a correction keeps the printed text. Actions on one field apply in time order until a correction replaces it;
+    later ones, and any on a field that is not current, become 'refused' events. Of corrections at one time the first by
+    value, printed text, note and actor counts. A correction adds a row, also one to no value, and keeps the old one.
     """
     columns = fields.columns
+    if "new_verbatim" not in actions.columns:
+        actions = actions.withColumn("new_verbatim", F.lit(None).cast("string"))
+    is_correction = F.col("action") == "corrected"
+    turn = F.struct("acted_at", "new_value", "new_verbatim", "note", "actor")
     targets = fields.where("is_current").select("field_id", "letter_id", F.col("value").alias("old_value"))
-    corrected_at = (
-        actions.where("action = 'corrected'").groupBy("field_id").agg(F.min("acted_at").alias("_corrected_at"))
-    )
+    corrections = actions.where(is_correction).groupBy("field_id").agg(F.min(turn).alias("_fix"))
     judged = (
         actions.join(targets, "field_id", "left")
-        .join(corrected_at, "field_id", "left")
+        .join(corrections, "field_id", "left")
         .withColumn(
             "accepted",
             F.col("letter_id").isNotNull()
-            & (F.col("_corrected_at").isNull() | (F.col("acted_at") <= F.col("_corrected_at"))),
+            & F.when(is_correction, turn.eqNullSafe(F.col("_fix"))).otherwise(
+                F.col("_fix").isNull() | (F.col("acted_at") <= F.col("_fix.acted_at"))
+            ),
         )
     )
     new_id = F.concat(F.col("field_id").cast("string"), F.lit("/corrected"))
-    is_correction = F.col("action") == "corrected"
     events = judged.select(
         "letter_id",
         F.when(F.col("accepted") & is_correction, new_id)
@@ -104,13 +108,11 @@ def apply_review(fields: DataFrame, actions: DataFrame) -> tuple[DataFrame, Data
         "note",
         "acted_at",
     )
-    accepted = judged.where("accepted")
-    marks = accepted.where(~is_correction).groupBy("field_id").agg(
-        F.max_by("action", "acted_at").alias("_mark")
+    marks = judged.where(F.col("accepted") & ~is_correction).groupBy("field_id").agg(
+        F.max_by("action", F.struct("acted_at", "action")).alias("_mark")
     )
-    fixes = accepted.where(is_correction).select("field_id", F.col("new_value").alias("_new_value"))
-    joined = fields.join(marks, "field_id", "left").join(fixes, "field_id", "left")
-    fixed = F.col("_new_value").isNotNull()
+    joined = fields.join(marks, "field_id", "left").join(corrections, "field_id", "left")
+    fixed = F.col("is_current") & F.col("_fix").isNotNull()
     kept = joined.withColumns(
         {
             "superseded_by": F.when(fixed, new_id),
@@ -121,8 +123,8 @@ def apply_review(fields: DataFrame, actions: DataFrame) -> tuple[DataFrame, Data
     ).select(*columns, "superseded_by")
     added = joined.where(fixed).withColumns(
         {
-            "value": F.col("_new_value"),
-            "verbatim": F.col("_new_value"),
+            "value": F.col("_fix.new_value"),
+            "verbatim": F.coalesce("_fix.new_verbatim", "verbatim"),
             "page_no": F.lit(None).cast("int"),
             "validation": F.lit("human_corrected"),
             "review_status": F.lit("corrected"),

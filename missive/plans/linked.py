@@ -30,11 +30,16 @@ class Linked(NamedTuple):
     letters: DataFrame
     cited: DataFrame
     citations: DataFrame
-    candidates: DataFrame
+    scored: DataFrame
+    exact: DataFrame
     occurrences: DataFrame
     components: DataFrame
     summary: DataFrame
 
+    @property
+    def candidates(self) -> DataFrame:
+        return citations.candidate_rows(self.citations, self.scored, self.exact)
+
 
 def _folder(spark: SparkSession, sf_dir: str, stage: str, fill) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, stage)
@@ -89,7 +94,8 @@ def linked(spark: SparkSession, sf_dir: str) -> Linked:
     def fill(folder: str) -> None:
         resolved = citations.resolve(mentions(letters, cited), letters)
         links = _keep(resolved.citations, folder, "citations")
-        _keep(resolved.candidates, folder, "candidates")
+        _keep(resolved.scored, folder, "scored")
+        _keep(resolved.exact, folder, "exact")
         _keep(resolved.occurrences, folder, "occurrences")
         components = _keep(threads.thread_components(letters, links), folder, "components")
         summary = _keep(threads.summarize_threads(letters, components), folder, "summary")

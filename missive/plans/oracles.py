@@ -399,7 +399,18 @@ confirmation AS (
 weighed AS (
   SELECT c.*, l.resolution = 'unresolved_ambiguous' AS is_open, c.candidate_letter_id <> -1 AS is_candidate
   FROM confirmation c JOIN links l USING (package_id, citing_letter_id, cited_ref_normalized)),
-accepted AS (SELECT * FROM weighed WHERE is_open AND is_candidate)"""
+method AS (
+  SELECT package_id, citing_letter_id, cited_ref_normalized, bool_or(match_method = 'trgm_fuzzy') AS scored FROM candidates GROUP BY 1, 2, 3),
+valid AS (
+  SELECT w.*, m.scored FROM weighed w JOIN method m USING (package_id, citing_letter_id, cited_ref_normalized)
+  WHERE is_open AND is_candidate),
+winner AS (
+  SELECT package_id, cited_ref_normalized, citing_letter_id AS first_citing, candidate_letter_id AS alias_id FROM valid WHERE scored
+  QUALIFY row_number() OVER (PARTITION BY package_id, cited_ref_normalized ORDER BY confirmed_at, citing_letter_id) = 1),
+decided AS (
+  SELECT v.*, coalesce(v.scored AND v.citing_letter_id <> w.first_citing AND w.alias_id <> v.citing_letter_id, false) AS late
+  FROM valid v LEFT JOIN winner w USING (package_id, cited_ref_normalized)),
+accepted AS (SELECT * FROM decided WHERE NOT late)"""
 
 STORED_THREADS = """
 known_thread AS (
@@ -763,9 +774,21 @@ SQL: dict[str, str] = {
         candidate_letter_id AS cited_letter_id, 'resolved' AS resolution FROM accepted""",
     "e10_learned_aliases": f"""{WITH_LINKS}, {CONFIRMATIONS} SELECT package_id, cited_ref_normalized,
         arg_max(candidate_letter_id, confirmed_at) AS letter_id FROM accepted GROUP BY 1, 2""",
+    "e10_reresolved_links": f"""{WITH_LINKS}, {CONFIRMATIONS},
+        taught AS (SELECT package_id, cited_ref_normalized, arg_max(candidate_letter_id, confirmed_at) AS letter_id FROM accepted GROUP BY 1, 2),
+        judged AS (SELECT l.*, d.candidate_letter_id AS chosen, CASE WHEN (l.rule IS NULL OR l.rule = 'serial_anchored')
+            AND t.letter_id <> l.citing_letter_id THEN t.letter_id END AS known_as
+          FROM links l LEFT JOIN accepted d USING (package_id, citing_letter_id, cited_ref_normalized)
+          LEFT JOIN taught t ON t.package_id = l.package_id AND t.cited_ref_normalized = l.cited_ref_normalized)
+        SELECT package_id, citing_letter_id, cited_ref_normalized, coalesce(chosen, known_as, cited_letter_id) AS cited_letter_id,
+          CASE WHEN coalesce(chosen, known_as) IS NOT NULL THEN 'resolved' ELSE resolution END AS resolution,
+          CASE WHEN chosen IS NOT NULL THEN 'human' WHEN known_as IS NOT NULL THEN 'alias' ELSE resolution_source END AS resolution_source
+        FROM judged""",
     "e10_rejected_confirmations": f"""{WITH_LINKS}, {CONFIRMATIONS} SELECT package_id, citing_letter_id, cited_ref_normalized,
         candidate_letter_id, confirmed_at, CASE WHEN NOT is_open THEN 'not_ambiguous' ELSE 'not_a_candidate' END AS reason
-        FROM weighed WHERE NOT (is_open AND is_candidate)""",
+        FROM weighed WHERE NOT (is_open AND is_candidate)
+        UNION ALL SELECT package_id, citing_letter_id, cited_ref_normalized, candidate_letter_id, confirmed_at,
+          'already_resolved_by_alias' FROM decided WHERE late""",
     "e11_package_resolution": f"{WITH_LINKS} SELECT * FROM links",
     "f1_connected_components": f"{WITH_THREADS} SELECT package_id, letter_id, component FROM placed",
     "f2_thread_summary": f"{WITH_THREADS} SELECT * FROM thread",
@@ -858,7 +881,7 @@ SQL: dict[str, str] = {
         ranked AS (SELECT *, CASE WHEN starts_with(lower(text), 'cul') THEN 0
           WHEN len(list_filter(string_split_regex(lower(text), '[\\s/_-]+'), lambda w: starts_with(w, 'cul'))) > 0 THEN 1 END AS rank FROM vocabulary)
         SELECT package_id, kind, text, count, rank FROM ranked WHERE rank IS NOT NULL AND lower(text) <> 'cul'
-        ORDER BY rank, count DESC, length(text), text, package_id, kind LIMIT 8""",
+        QUALIFY row_number() OVER (PARTITION BY package_id ORDER BY rank, count DESC, length(text), text, kind) <= 8""",
     "h11_semantic_nearest": """
         WITH pair AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[])
             / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS similarity

@@ -632,6 +632,18 @@ def e10_rejected_confirmations(spark, d):
     return citations.confirm(held.citations, held.candidates, _confirmations(held))[2]
 
 
+@query
+def e10_reresolved_links(spark, d):
+    """Confirmations, the aliases they teach, and all links of the packages with these."""
+    held = linked(spark, d)
+    done = citations.apply_confirmations(
+        held.citations, held.candidates, _confirmations(held), mentions(held.letters, held.cited), held.letters
+    )
+    return done.citations.select(
+        "package_id", "citing_letter_id", "cited_ref_normalized", "cited_letter_id", "resolution", "resolution_source"
+    )
+
+
 @query
 def e11_package_resolution(spark, d):
     letters, found = _inputs(spark, d)

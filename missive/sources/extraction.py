@@ -25,11 +25,13 @@ def _blank_to_null(text: Column) -> Column:
 def parse_extractions(raw: DataFrame) -> Parsed:
     """`raw` has (package_id, document_id, content).
 
-    -> candidate letters (one per array entry), fields (one per object, lists numbered from 0),
-    and the documents whose content could not be read.
+    -> candidate letters (one per array entry), fields (one per object that says anything, lists numbered from 0), and the
+    documents whose content could not be read. An answer without letters is read and has none.
     """
-    read = raw.select("package_id", "document_id", F.from_json("content", EXTRACTION).alias("doc"))
-    broken = read.where("doc IS NULL OR doc.letters IS NULL")
+    schema = EXTRACTION.removesuffix(">") + ", _broken: STRING>"
+    options = {"columnNameOfCorruptRecord": "_broken"}
+    read = raw.select("package_id", "document_id", F.from_json("content", schema, options).alias("doc"))
+    broken = read.where("doc IS NULL OR (doc.letters IS NULL AND doc._broken IS NOT NULL)")
     errors = broken.select("package_id", "document_id", F.lit("unreadable extraction").alias("error"))
     entries = read.where("doc.letters IS NOT NULL").select(
         "package_id", "document_id", F.posexplode("doc.letters").alias("candidate", "letter")
@@ -59,12 +61,15 @@ def parse_extractions(raw: DataFrame) -> Parsed:
             item.getField("page").alias("page"),
         )
 
+    def says_anything(item: Column) -> Column:
+        return F.coalesce(*[item.getField(k).cast("string") for k in ("value", "verbatim", "page")]).isNotNull()
+
     def numbered(name: str, key: str) -> Column:
         items = F.coalesce(F.col(f"letter.{name}"), F.array())
-        return F.transform(items, lambda item, i: F.when(item.isNotNull(), one(key, i, item)))
+        return F.transform(items, lambda item, i: F.when(says_anything(item), one(key, i, item)))
 
     scalars = F.array(
-        *[F.when(F.col(f"letter.{k}").isNotNull(), one(k, F.lit(0), F.col(f"letter.{k}"))) for k in SCALAR_KEYS]
+        *[F.when(says_anything(F.col(f"letter.{k}")), one(k, F.lit(0), F.col(f"letter.{k}"))) for k in SCALAR_KEYS]
     )
     every = F.concat(scalars, *[numbered(name, key) for name, key in LIST_KEYS.items()])
     fields = entries.select(

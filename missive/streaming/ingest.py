@@ -27,9 +27,14 @@ TABLES = {
     "repeats": "package_id BIGINT, document_id STRING, candidate INT, letter_ref STRING, existing_letter_id STRING",
     "citations": "package_id BIGINT, citing_letter_id STRING, cited_ref_normalized STRING, cited_ref_text STRING, "
     "cited_letter_id STRING, resolution STRING, resolution_source STRING, rule STRING",
-    "candidates": "package_id BIGINT, citing_letter_id STRING, cited_ref_normalized STRING, "
+    "scored": "package_id BIGINT, citing_letter_id STRING, cited_ref_normalized STRING, "
     "candidate_letter_id STRING, match_method STRING, match_score DOUBLE",
+    "exact": "package_id BIGINT, cited_ref_normalized STRING, candidate_letter_id STRING",
     "memberships": "package_id BIGINT, thread_key STRING, letter_id STRING",
+    # what people decided, recorded between batches; never rewritten
+    "decisions": "package_id BIGINT, citing_letter_id STRING, cited_ref_normalized STRING, cited_ref_text STRING, "
+    "cited_letter_id STRING, resolution STRING, resolution_source STRING, rule STRING",
+    "aliases": "package_id BIGINT, cited_ref_normalized STRING, letter_id STRING, decided BIGINT",
 }
 
 
@@ -43,13 +48,53 @@ def stored(spark: SparkSession, store: str, name: str) -> DataFrame:
 
 
 def current_links(spark: SparkSession, store: str, name: str = "citations") -> DataFrame:
-    """Rows each package had when it was last linked (citations, candidates or memberships).
+    """Rows each package had when it was last linked (citations, scored, exact or memberships).
+
+    Citations decided since then show the decision.
 
     The letters of a batch name its touched packages, so a package linked without result is
     not shown with older rows.
     """
     last = stored(spark, store, "arrivals").groupBy("package_id").agg(F.max("batch").alias("batch"))
-    return stored(spark, store, name).join(last, ["package_id", "batch"]).drop("batch")
+    rows = stored(spark, store, name).join(last, ["package_id", "batch"]).drop("batch")
+    if name != "citations":
+        return rows
+    decided = stored(spark, store, "decisions").drop("batch")
+    return rows.join(decided, citations.CITATION, "left_anti").unionByName(decided)
+
+
+def candidates(spark: SparkSession, store: str) -> DataFrame:
+    return citations.candidate_rows(
+        *(current_links(spark, store, name) for name in ("citations", "scored", "exact"))
+    )
+
+
+def latest_aliases(spark: SparkSession, store: str) -> DataFrame:
+    return (
+        stored(spark, store, "aliases")
+        .groupBy("package_id", "cited_ref_normalized")
+        .agg(F.max_by("letter_id", F.struct("decided", "letter_id")).alias("letter_id"))
+    )
+
+
+def record_confirmations(spark: SparkSession, store: str, confirmations: DataFrame, number: int) -> DataFrame:
+    """Stores the valid ones of `confirmations` as set `number` -> the rejected ones.
+
+    Every set has its own number; one that is in the store already is left as it is, and nothing is rejected. The decided
+    links show at once, the aliases link other letters when their package is linked next.
+    """
+    current, offered = cut_lineage(current_links(spark, store)), cut_lineage(candidates(spark, store))
+    if not stored(spark, store, "decisions").where(F.col("batch") == number).isEmpty():
+        return citations.confirm(current, offered, confirmations)[2].limit(0)
+    linked, aliases, rejected = citations.confirm(current, offered, confirmations)
+    fresh = linked.where("resolution_source = 'human'").join(
+        current.where("resolution_source = 'human'"), citations.CITATION, "left_anti"
+    )
+    # the decisions come last: with them the set is in the store
+    for name, rows in (("aliases", aliases.withColumn("decided", F.lit(number))), ("decisions", fresh)):
+        columns = [c.split()[0] for c in TABLES[name].split(", ")]
+        rows.select(*columns).write.mode("overwrite").parquet(f"{store}/{name}/batch={number}")
+    return rejected
 
 
 def letter_id() -> Column:
@@ -96,9 +141,13 @@ def ingest_batch(arrived: DataFrame, batch: int, store: str, parties: DataFrame)
 
     everything = upto("letters")
     cited = upto("fields").where("field_key = 'cited_ref'")
-    resolved = citations.resolve(citations.live_mentions(cited, everything), everything)
-    write(resolved.citations, "citations")
-    write(resolved.candidates, "candidates")
+    aliases = latest_aliases(spark, store).join(touched, "package_id", "left_semi")
+    resolved = citations.resolve(citations.live_mentions(cited, everything), everything, aliases)
+    decided = stored(spark, store, "decisions").drop("batch").join(touched, "package_id", "left_semi")
+    undecided = resolved.citations.join(decided, citations.CITATION, "left_anti")
+    write(undecided.unionByName(decided), "citations")
+    write(resolved.scored, "scored")
+    write(resolved.exact, "exact")
     links = stored(spark, store, "citations").where(F.col("batch") == batch).drop("batch")
     components = threads.thread_components(everything, links)
     summary = threads.summarize_threads(everything, components)

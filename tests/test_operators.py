@@ -6,7 +6,9 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from missive.operators import assembly, citations, ordering, provenance, register, reprocessing, search, threads
+from missive.operators import (
+    assembly, citations, ordering, provenance, ranges, register, reprocessing, search, threads, versions,
+)
 from missive.sources import extraction, intake
 
 DOC = "package_id long, document_id string, "
@@ -265,9 +267,10 @@ def brute_force_nearest(cited, held, keep):
     return best
 
 
-@pytest.mark.parametrize("large_package", [10_000, 10])
-def test_similarity_search_is_exact(spark, large_package):
-    """The one-level search and the descent of large packages against all pairs, with hot copies."""
+@pytest.mark.parametrize("part_size", [512, 3])
+def test_similarity_search_is_exact(spark, part_size, monkeypatch):
+    """The search from high similarity down against all pairs, with hot copies and grams in many parts."""
+    monkeypatch.setattr(citations, "PART_SIZE", part_size)
     rng = random.Random(8)
     held = {i: f"{rng.choice(['CTR', 'AE'])}/PKG{rng.randint(1, 2)}/202{rng.randint(0, 1)}/{rng.randint(0, 120):05d}" for i in range(300)}
     held |= {1000 + i: "CTR/PKG1/2020/00007" for i in range(150)}
@@ -277,7 +280,7 @@ def test_similarity_search_is_exact(spark, large_package):
         [(1, i, i, ref) for i, ref in held.items()], "package_id long, letter_id long, serial long, ref string"
     )
     wanted = spark.createDataFrame([(1, ref) for ref in cited], "package_id long, ref string")
-    rows = citations.nearest_letters(wanted, targets, large_package).collect()
+    rows = citations.nearest_letters(wanted, targets).collect()
     got = {}
     for r in sorted(rows, key=lambda r: (-round(r.score, 6), not r.same_serial, r.serial)):
         got.setdefault(r.cited_ref, []).append(r.letter_id)
@@ -399,7 +402,7 @@ def test_extraction_answers(spark):
     good = (
         '{"letters": [{"page_from": 1, "page_to": 2, "letter_ref": ' + f % ("A/1", "A/1") + ', "dated": '
         + f % ("null", "null") + ', "received": null, "from_party": ' + f % ("M/s contractor", "x") + ', "to_party": null, '
-        '"subject": ' + f % ("s", "s") + ', "chainage": [], "clause": [' + f % ("10.3", "Cl. 10.3") + '], "cited_refs": ['
+        '"subject": {}, "chainage": [{}], "clause": [' + f % ("10.3", "Cl. 10.3") + '], "cited_refs": ['
         + f % ("B/2", "B/2") + ", " + f % ("B/2", "B / 2") + "]}, {}]}"
     )
     raw = spark.createDataFrame(
@@ -407,10 +410,102 @@ def test_extraction_answers(spark):
         DOC + "content string",
     )
     parsed = extraction.parse_extractions(raw)
-    assert sorted(r.document_id for r in parsed.errors.collect()) == ["cut", "empty"]
+    assert sorted(r.document_id for r in parsed.errors.collect()) == ["cut"]
     first, second = parsed.candidates.orderBy("candidate").collect()
     assert (first.letter_ref, first.dated, first.page_to) == ("A/1", None, 2)
     blank = assembly.split_blank(parsed.candidates)[1].collect()
     assert [r.candidate for r in blank] == [1] and second.page_from == 1
     fields = sorted((r.field_key, r.field_index, r.verbatim) for r in parsed.fields.collect())
-    assert ("cited_ref", 1, "B / 2") in fields and ("received", 0, None) not in fields and len(fields) == 7
+    assert ("cited_ref", 1, "B / 2") in fields and ("received", 0, None) not in fields and len(fields) == 6
+
+
+def test_ranges_overlap_like_all_pairs(spark):
+    """Short, long, inverted, missing and enormous ranges, in two groups."""
+    rng = random.Random(4)
+
+    def some(n):
+        rows = []
+        for i in range(n):
+            lo = rng.randint(-200, 3000)
+            rows.append((i % 2, i, lo, lo + rng.choice([0, 1, 7, 8, 63, 64, 500, -3])))
+        return [*rows, (0, n, -10, 10**11), (1, n + 1, None, 5), (0, n + 2, 10**11, 10**11)]
+
+    left, right = some(60), some(60)
+    a = spark.createDataFrame(left, "g int, i int, lo long, hi long")
+    b = spark.createDataFrame(right, "g int, j int, from_ long, to_ long")
+    got = [(r.i, r.j) for r in ranges.overlap_pairs(a, b, ["g"], ("lo", "hi"), ("from_", "to_")).collect()]
+    want = [
+        (i, j) for g, i, lo, hi in left for h, j, c, d in right
+        if g == h and None not in (lo, c) and lo <= hi and c <= d and max(lo, c) <= min(hi, d)
+    ]
+    assert sorted(got) == sorted(want)
+
+
+def test_review_ties_and_empty_corrections(spark):
+    columns = "field_id long, letter_id long, value string, verbatim string, page_no int, validation string, review_status string, is_current boolean"
+    fields = spark.createDataFrame(
+        [(1, 9, "a", "printed a", 1, "exact", "unreviewed", True), (2, 9, "b", "printed b", 1, "exact", "unreviewed", True)], columns
+    )
+    acts = spark.createDataFrame(
+        [
+            (1, "corrected", "x", "new y", None, 5, "new print"), (1, "corrected", "x", "new z", None, 5, None),
+            (2, "corrected", "x", None, None, 5, None), (2, "verified", "x", None, None, 6, None),
+        ],
+        "field_id long, action string, actor string, new_value string, note string, acted_at long, new_verbatim string",
+    )
+    kept, events = versions.apply_review(fields, acts)
+    rows = {r.field_id: (r.value, r.verbatim, r.is_current) for r in kept.collect()}
+    assert kept.count() == 4 and rows == {
+        "1": ("a", "printed a", False), "1/corrected": ("new y", "new print", True),
+        "2": ("b", "printed b", False), "2/corrected": (None, "printed b", True),
+    }
+    assert sorted(r.action for r in events.collect()) == ["corrected", "corrected", "refused", "refused"]
+
+
+def test_first_decision_settles_a_reference(spark):
+    key = "package_id long, citing_letter_id long, cited_ref_normalized string"
+    links = spark.createDataFrame(
+        [(1, c, ref, None, "unresolved_ambiguous", "pipeline") for c, ref in ((10, "R"), (11, "R"), (1, "R"), (12, "S"), (13, "S"))],
+        f"{key}, cited_letter_id long, resolution string, resolution_source string",
+    )
+    offered = spark.createDataFrame(
+        [(1, c, "R", x, "trgm_fuzzy", 0.7) for c in (10, 11, 1) for x in (1, 2)] + [(1, c, "S", x, "exact_ref", None) for c in (12, 13) for x in (3, 4)],
+        f"{key}, candidate_letter_id long, match_method string, match_score double",
+    )
+    asked = spark.createDataFrame(
+        [(1, 10, "R", 1, 1), (1, 11, "R", 2, 2), (1, 1, "R", 2, 3), (1, 12, "S", 3, 4), (1, 13, "S", 4, 5)],
+        f"{key}, candidate_letter_id long, confirmed_at long",
+    )
+    linked, aliases, rejected = citations.confirm(links, offered, asked)
+    assert {r.citing_letter_id: r.cited_letter_id for r in linked.collect()} == {10: 1, 11: None, 1: 2, 12: 3, 13: 4}
+    assert [(r.citing_letter_id, r.reason) for r in rejected.collect()] == [(11, "already_resolved_by_alias")]
+    assert {r.cited_ref_normalized: r.letter_id for r in aliases.collect()} == {"R": 2, "S": 4}
+
+
+def test_only_current_readings_cite(spark):
+    letters = spark.createDataFrame(
+        [(1, "d", 1, 100, False, False), (1, "d", 2, 101, True, False)],
+        "package_id long, document_id string, run_id long, letter_id long, is_current boolean, is_voided boolean",
+    )
+    fields = spark.createDataFrame(
+        [
+            (1, "d", 1, 100, "cited_ref", 0, "OLD/1", "OLD/1", True), (1, "d", 2, 101, "cited_ref", 0, "NEW/1", "NEW/1", True),
+            (1, "d", 2, 101, "cited_ref", 1, "GONE/1", "GONE/1", False), (1, "d", 2, 101, "subject", 0, "S", "S", True),
+        ],
+        "package_id long, document_id string, run_id long, letter_id long, field_key string, field_index int, value string, verbatim string, is_current boolean",
+    )
+    assert [r.cited_ref_normalized for r in citations.live_mentions(fields, letters).collect()] == ["NEW/1"]
+
+
+def test_candidates_of_a_shared_reference_are_stored_once(spark):
+    n = 60
+    rows = [(1, i, i, f"d{i}", "SAME/REF", True, False) for i in range(n)]
+    letters = spark.createDataFrame(
+        rows, "package_id long, letter_id long, serial long, document_id string, letter_ref string, is_current boolean, is_voided boolean"
+    )
+    found = spark.createDataFrame(
+        [(1, i, 0, "SAME/REF", "SAME/REF") for i in range(n)],
+        "package_id long, citing_letter_id long, field_index int, text string, cited_ref_normalized string",
+    )
+    done = citations.resolve(found, letters)
+    assert done.exact.count() == n and done.scored.count() == 0 and done.candidates.count() == n * (n - 1)

@@ -5,7 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from missive.streaming.ingest import current_links, ingest_batch, start_ingest, stored
+from missive.streaming.ingest import (
+    candidates, create_store, current_links, ingest_batch, record_confirmations, start_ingest, stored,
+)
 
 
 def answer(ref, day, cites):
@@ -92,3 +94,37 @@ def test_order_and_batching_do_not_change_links(spark, tmp_path):
     assert links(spark, in_pieces) == expected
     errors = stored(spark, in_pieces, "arrivals").where("error IS NOT NULL")
     assert {r.document_id for r in errors.collect()} == {"broken"}
+
+
+def test_decisions_outlive_later_batches(spark, tmp_path):
+    """A confirmed link stays, its alias links another letter, when the package is linked again."""
+
+    def content(own, cited):
+        field = lambda t: {"value": t, "verbatim": t, "page": 1}
+        letter = {"page_from": 1, "page_to": 1, "letter_ref": field(own), "subject": field("s"), "cited_refs": [field(c) for c in cited]}
+        return json.dumps({"letters": [letter]})
+
+    def arrive(batch, rows):
+        arrived = spark.createDataFrame([(1, d, content(o, c)) for d, o, c in rows], "package_id long, document_id string, content string")
+        ingest_batch(arrived, batch, store, parties(spark))
+
+    store = str(tmp_path / "store")
+    create_store(spark, store)
+    wrong = "CTR/PKG1/2020/0O11"
+    arrive(0, [("d1", "CTR/PKG1/2020/0011", []), ("d2", "CTR/PKG1/2020/0111", []), ("d3", "CTR/PKG1/2020/0500", [wrong])])
+    letters = {r.letter_ref: r.letter_id for r in stored(spark, store, "letters").collect()}
+    offered = candidates(spark, store)
+    target, citing = letters["CTR/PKG1/2020/0111"], letters["CTR/PKG1/2020/0500"]
+    assert {target} <= {r.candidate_letter_id for r in offered.collect()}
+    asked = spark.createDataFrame(
+        [(1, citing, wrong, target, 1), (1, citing, wrong, "nobody", 2)],
+        "package_id long, citing_letter_id string, cited_ref_normalized string, candidate_letter_id string, confirmed_at long",
+    )
+    for reasons in (["not_a_candidate"], []):  # recorded again, nothing changes
+        rejected = record_confirmations(spark, store, asked, 1)
+        assert [r.reason for r in rejected.collect()] == reasons
+        assert [(r.cited_letter_id, r.resolution_source) for r in current_links(spark, store).collect()] == [(target, "human")]
+    arrive(1, [("d4", "CTR/PKG1/2020/0600", [wrong])])
+    found = {r.citing_letter_id: (r.cited_letter_id, r.resolution_source) for r in current_links(spark, store).collect()}
+    later = {r.letter_ref: r.letter_id for r in stored(spark, store, "letters").collect()}["CTR/PKG1/2020/0600"]
+    assert found == {citing: (target, "human"), later: (target, "alias")}
