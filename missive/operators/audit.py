@@ -115,6 +115,74 @@ def audit_runs(runs: DataFrame) -> DataFrame:
     )
 
 
+def audit_pages(pages: DataFrame) -> DataFrame:
+    key = F.concat_ws("/", "document_id", "page_no")
+    return _all(
+        [
+            _rows(pages, F.col("page_no") < 1, "page_no from 1", "pages", key),
+            _rows(pages, F.col("text").isNull(), "page has a text", "pages", key),
+            _repeated(pages, ["document_id", "page_no"], "one row per document page", "pages"),
+        ]
+    )
+
+
+def audit_voids(letters: DataFrame) -> DataFrame:
+    uneven = F.col("voided_at").isNull() != F.col("void_reason").isNull()
+    return _rows(letters, uneven, "void date and reason together", "letters", F.col("letter_id"))
+
+
+def audit_threads(threads: DataFrame, members: DataFrame, letters: DataFrame) -> DataFrame:
+    """`threads` (package_id, component, thread_key), `members` (package_id, component, letter_id)."""
+    key = F.concat_ws("/", "component", "letter_id")
+    return _all(
+        [
+            _repeated(threads, ["package_id", "thread_key"], "one thread per key", "threads"),
+            _repeated(members, ["letter_id"], "one thread per letter", "memberships"),
+            _orphans(
+                members, threads, {"package_id": "package_id", "component": "component"},
+                "member of a thread of its package", "memberships", key,
+            ),
+            _orphans(
+                members, letters, {"package_id": "package_id", "letter_id": "letter_id"},
+                "member is a letter of its package", "memberships", key,
+            ),
+        ]
+    )
+
+
+def audit_link_tables(
+    candidates: DataFrame, occurrences: DataFrame, aliases: DataFrame, letters: DataFrame
+) -> DataFrame:
+    candidate = F.concat_ws("/", "citing_letter_id", "cited_ref_normalized", "candidate_letter_id")
+    alias = F.concat_ws("/", "package_id", "cited_ref_normalized")
+    return _all(
+        [
+            _repeated(
+                candidates, ["citing_letter_id", "cited_ref_normalized", "candidate_letter_id"],
+                "one row per candidate", "candidates",
+            ),
+            _orphans(
+                candidates, letters, {"package_id": "package_id", "candidate_letter_id": "letter_id"},
+                "candidate in the same package", "candidates", candidate,
+            ),
+            _repeated(
+                occurrences, ["citing_letter_id", "cited_ref_normalized", "field_index"],
+                "one row per occurrence", "occurrences",
+            ),
+            _repeated(aliases, ["package_id", "cited_ref_normalized"], "one alias per reference", "aliases"),
+            _orphans(
+                aliases, letters, {"package_id": "package_id", "letter_id": "letter_id"},
+                "alias in the same package", "aliases", alias,
+            ),
+        ]
+    )
+
+
+def audit_embeddings(embeddings: DataFrame) -> DataFrame:
+    """`embeddings` (owner_id, is_current)."""
+    return _repeated(embeddings.where("is_current"), ["owner_id"], "one current embedding", "embeddings")
+
+
 def register_diff(left: DataFrame, right: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:
     """Differences between two registers, one row per key and column.
 

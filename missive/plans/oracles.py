@@ -938,6 +938,44 @@ SQL: dict[str, str] = {
     "j1_run_rules": f"""{WITH_FILES} """ + _violations([
         ("ended runs have an end", "runs", "CAST(run_id AS VARCHAR) AS key FROM published WHERE finished_at IS NULL"),
     ]),
+    "j1_page_rules": f"""{WITH_WORDS},
+        faulty AS (SELECT document_id, CASE WHEN d % 97 = 0 AND page_no = 1 THEN 0 ELSE page_no END AS page_no, d FROM (
+          SELECT *, document_id AS d FROM page UNION ALL SELECT *, document_id FROM page WHERE document_id % 101 = 0)) """
+    + _violations([
+        ("page_no from 1", "pages", "document_id || '/' || page_no AS key FROM faulty WHERE page_no < 1"),
+        ("page has a text", "pages", "document_id || '/' || page_no FROM faulty WHERE d % 89 = 0"),
+        ("one row per document page", "pages", "document_id || '/' || page_no FROM faulty GROUP BY document_id, page_no HAVING count(*) > 1"),
+    ]),
+    "j1_void_rules": f"""{ONLY_BRIDGE} """ + _violations([
+        ("void date and reason together", "letters", "CAST(letter_id AS VARCHAR) AS key FROM letters "
+         "WHERE (letter_id % 7 = 0) <> ((letter_id % 7 = 0) <> (letter_id % 11 = 0))"),
+    ]),
+    "j1_thread_rules": f"""{WITH_THREADS},
+        members AS (SELECT p.letter_id, CASE WHEN p.letter_id % 53 = 0 THEN -1 ELSE p.package_id END AS package_id,
+          CASE WHEN p.letter_id % 61 = 0 THEN -2 ELSE p.component END AS component FROM placed p) """ + _violations([
+        ("one thread per key", "threads", "package_id || '/' || k AS key FROM (SELECT package_id, CASE WHEN component % 7 = 0 "
+         "THEN 'SAME' ELSE thread_key END AS k FROM thread) GROUP BY package_id, k HAVING count(*) > 1"),
+        ("one thread per letter", "memberships", "CAST(letter_id AS VARCHAR) FROM members WHERE letter_id % 59 = 0"),
+        ("member of a thread of its package", "memberships", "component || '/' || letter_id FROM members, "
+         "range(CASE WHEN letter_id % 59 = 0 THEN 2 ELSE 1 END) WHERE component = -2 OR package_id = -1"),
+        ("member is a letter of its package", "memberships", "component || '/' || letter_id FROM members, "
+         "range(CASE WHEN letter_id % 59 = 0 THEN 2 ELSE 1 END) WHERE package_id = -1"),
+    ]),
+    "j1_link_table_rules": f"""{WITH_LINKS}, {CONFIRMATIONS},
+        offer AS (SELECT *, citing_letter_id || '/' || cited_ref_normalized || '/' || candidate_letter_id AS k FROM candidates),
+        taught AS (SELECT package_id, cited_ref_normalized, arg_max(candidate_letter_id, confirmed_at) AS letter_id FROM accepted GROUP BY 1, 2),
+        moved AS (SELECT CASE WHEN letter_id % 3 = 0 THEN -1 ELSE package_id END AS package_id, cited_ref_normalized, letter_id FROM taught) """
+    + _violations([
+        ("one row per candidate", "candidates", "k AS key FROM offer WHERE citing_letter_id % 67 = 0"),
+        ("candidate in the same package", "candidates", "k FROM offer, range(CASE WHEN citing_letter_id % 67 = 0 THEN 2 ELSE 1 END) "
+         "WHERE citing_letter_id % 61 = 0"),
+        ("one row per occurrence", "occurrences", "citing_letter_id || '/' || cited_ref_normalized || '/0' FROM links WHERE citing_letter_id % 71 = 0"),
+        ("one alias per reference", "aliases", "package_id || '/' || cited_ref_normalized FROM moved GROUP BY package_id, cited_ref_normalized HAVING count(*) > 1"),
+        ("alias in the same package", "aliases", "package_id || '/' || cited_ref_normalized FROM moved WHERE package_id = -1"),
+    ]),
+    "j1_embedding_rules": """
+        SELECT 'one current embedding' AS rule, 'embeddings' AS table_name, CAST(vec_id // 2 AS VARCHAR) AS key
+        FROM embeddings WHERE vec_id % 5 <> 0 GROUP BY vec_id // 2 HAVING count(*) > 1""",
     "j2_register_diff": f"""{WITH_THREADS}, {DIFF_SIDES},
         j AS (SELECT a.*, b.package_id AS other, b.dated AS dated2, b.thread_key AS key2 FROM a LEFT JOIN b USING (package_id, serial))
         SELECT package_id, serial, '*' AS column_name, 'present' AS left_value, NULL AS right_value FROM j WHERE other IS NULL

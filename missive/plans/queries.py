@@ -985,6 +985,68 @@ def j1_run_rules(spark, d):
     return audit.audit_runs(_published(spark, d))
 
 
+@query
+def j1_page_rules(spark, d):
+    """Pages with planted faults: a page 0, a missing text, a page stored twice."""
+    n = F.col("document_id")
+    pages = page_ocr(spark, d).select("document_id", "page_no", "text")
+    twice = pages.unionByName(pages.where(n % 101 == 0))
+    return audit.audit_pages(
+        twice.withColumns(
+            {
+                "page_no": F.when((n % 97 == 0) & (F.col("page_no") == 1), 0).otherwise(F.col("page_no")),
+                "text": F.when(n % 89 != 0, F.col("text")),
+            }
+        )
+    )
+
+
+@query
+def j1_void_rules(spark, d):
+    k = F.col("letter_id")
+    letters = bridged(spark, d).letters.select(
+        "letter_id",
+        F.when(k % 7 == 0, F.lit("2001-01-01").cast("date")).alias("voided_at"),
+        F.when((k % 7 == 0) != (k % 11 == 0), F.lit("misfiled")).alias("void_reason"),
+    )
+    return audit.audit_voids(letters)
+
+
+@query
+def j1_thread_rules(spark, d):
+    held = linked(spark, d)
+    c, k = F.col("component"), F.col("letter_id")
+    threads = held.summary.select(
+        "package_id", "component", F.when(c % 7 == 0, "SAME").otherwise(F.col("thread_key")).alias("thread_key")
+    )
+    members = held.components.select(
+        F.when(k % 53 == 0, -1).otherwise(F.col("package_id")).cast("long").alias("package_id"),
+        F.when(k % 61 == 0, -2).otherwise(c).cast("long").alias("component"), "letter_id",
+    )
+    return audit.audit_threads(threads, members.unionByName(members.where(k % 59 == 0)), held.letters)
+
+
+@query
+def j1_link_table_rules(spark, d):
+    held = linked(spark, d)
+    n, p = F.col("citing_letter_id"), F.col("package_id")
+    offered = held.candidates.withColumn("package_id", F.when(n % 61 == 0, -1).otherwise(p).cast("long"))
+    places = held.occurrences
+    learned = citations.confirm(held.citations, held.candidates, _confirmations(held))[1]
+    moved = learned.withColumn("package_id", F.when(F.col("letter_id") % 3 == 0, -1).otherwise(p).cast("long"))
+    return audit.audit_link_tables(
+        offered.unionByName(offered.where(n % 67 == 0)), places.unionByName(places.where(n % 71 == 0)), moved, held.letters
+    )
+
+
+@query
+def j1_embedding_rules(spark, d):
+    vectors = bridge.table(spark, d, "embeddings")
+    return audit.audit_embeddings(
+        vectors.select(F.floor(F.col("vec_id") / 2).alias("owner_id"), (F.col("vec_id") % 5 != 0).alias("is_current"))
+    )
+
+
 @query
 def j2_register_diff(spark, d):
     rows = _live(linked(spark, d)).select("package_id", "serial", "letter_id", "letter_ref", "dated", "thread_key")

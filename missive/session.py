@@ -20,6 +20,9 @@ def local_session(name: str = "missive", cpus: str | None = None) -> SparkSessio
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
+        # what a later checkpoint has replaced is removed
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # small test data would otherwise be merged into one task per stage
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .getOrCreate()
@@ -29,7 +32,7 @@ def local_session(name: str = "missive", cpus: str | None = None) -> SparkSessio
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir, else (local runs only) a fresh one."""
+    """The shared folder named by spark.checkpoint.dir; a local session without one gets a fresh folder, a cluster an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
