@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import bounded, cut_lineage, texts
+from missive.llm.common import bounded, cut_lineage, partitions, texts
 from missive.operators.threads import connected_components
 
 WORDS = 4
@@ -80,7 +80,8 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     beyond it.
     """
     near = _masks(1)
-    distinct = prints.where("print IS NOT NULL").select("print").distinct()
+    # each row becomes 66: few bytes here are much work, so they are spread before they grow
+    distinct = prints.where("print IS NOT NULL").select("print").distinct().repartition(partitions(prints.sparkSession))
     ball = F.array(*[_long(m) for m in near])
     points = distinct.select(
         "print",
@@ -95,8 +96,19 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     shared = points.groupBy("point").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = points.join(shared, "point")
 
-    def close(a: Column, b: Column) -> Column:
-        return F.bit_count(a.bitwiseXOR(b)) <= RADIUS
+    side = F.shiftright("point", 32)
+    place = F.col("point").bitwiseAND(_long(HALF))
+
+    def here_only(a: Column, b: Column) -> Column:
+        """The pair is within the radius, and of the points where it meets this is the one that counts."""
+        both = a.bitwiseXOR(b)
+        part = _half(both, side)
+        between = F.when(F.bit_count(part) == 2, part.bitwiseAND(-part)).otherwise(_long(0))
+        return (
+            (F.bit_count(both) <= RADIUS)
+            & (_half(a, side).bitwiseXOR(place) == between)
+            & ((side == 0) | (F.bit_count(_half(both, F.lit(0))) > 2))
+        )
 
     few = (
         met.where(F.col("n") <= crowd)
@@ -108,7 +120,7 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
                     F.transform(
                         "here",
                         lambda a: F.transform(
-                            F.filter("here", lambda b: (a < b) & close(a, b)), lambda b: F.struct(a.alias("src"), b.alias("dst"))
+                            F.filter("here", lambda b: (a < b) & here_only(a, b)), lambda b: F.struct(a.alias("src"), b.alias("dst"))
                         ),
                     )
                 )
@@ -117,8 +129,7 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
         .select("link.src", "link.dst")
     )
 
-    side = F.shiftright("point", 32)
-    own = F.bit_count(_half(F.col("print"), side).bitwiseXOR(F.col("point").bitwiseAND(_long(HALF))))
+    own = F.bit_count(_half(F.col("print"), side).bitwiseXOR(place))
     wide = F.array(*[_long(m) for m in _masks(2)])
     crowds = (
         met.where(F.col("n") > crowd)
