@@ -136,14 +136,15 @@ def build_fields(fields: DataFrame, page_ocr: DataFrame) -> DataFrame:
 
 def audit_tokens(page_ocr: DataFrame) -> DataFrame:
     """Tokens whose text is not the page text at their offsets."""
-    return (
-        page_ocr.select("document_id", "page_no", "text", F.posexplode("tokens").alias("token_no", "token"))
-        .withColumn(
-            "actual",
-            F.substring(
-                F.col("text"), F.col("token.char_start") + 1, F.col("token.char_end") - F.col("token.char_start")
-            ),
+
+    def beside(token: Column, number: Column) -> Column:
+        length = token["char_end"] - token["char_start"]
+        return F.struct(
+            number.alias("token_no"),
+            token["text"].alias("expected"),
+            F.substring(F.col("text"), token["char_start"] + 1, length).alias("actual"),
         )
-        .where("actual <> token.text")
-        .select("document_id", "page_no", "token_no", F.col("token.text").alias("expected"), "actual")
-    )
+
+    # the page text is not copied to its tokens: only the wrong ones leave the array
+    wrong = F.filter(F.transform("tokens", beside), lambda t: t["actual"] != t["expected"])
+    return page_ocr.select("document_id", "page_no", F.explode(wrong).alias("t")).select("document_id", "page_no", "t.*")

@@ -78,7 +78,7 @@ def package_manifest(
 def letter_listing(
     letters: DataFrame, fields: DataFrame, citations: DataFrame, occurrences: DataFrame, documents: DataFrame
 ) -> DataFrame:
-    """Register rows as the list screen shows them, ordered by package and serial."""
+    """Register rows as the list screen shows them, with what they reply to, ordered by package and serial."""
     firsts = (
         fields.where("is_current AND field_index = 0 AND field_key IN ('chainage', 'clause')")
         .groupBy("package_id", "letter_id")
@@ -89,7 +89,10 @@ def letter_listing(
     )
     missing = first_missing_citation(citations, occurrences)
     names = documents.select("document_id", "original_filename")
-    live = letters.where("is_current AND NOT is_voided").drop("chainage", "clause")
+    live = latest_earlier_day(
+        letters.where("is_current AND NOT is_voided").drop("chainage", "clause"),
+        ["package_id", "thread_key"], "dated", "serial", ["letter_ref", "dated"], "_prev",
+    )
     return (
         live.join(firsts, ["package_id", "letter_id"], "left")
         .join(missing, ["package_id", "letter_id"], "left")
@@ -106,6 +109,9 @@ def letter_listing(
             "chainage", "clause",
             F.coalesce("thread_key", "letter_ref", F.col("letter_id").cast("string")).alias("thread_key"),
             "review_status", "missing_citation", "document_id", "page_from", "page_to", "original_filename",
+            F.col("_prev.letter_ref").alias("replies_to_ref"),
+            F.col("_prev.dated").alias("replies_to_dated"),
+            F.datediff("dated", F.col("_prev.dated")).alias("reply_in_days"),
         )
         .orderBy("package_id", "serial")
     )

@@ -813,13 +813,14 @@ SQL: dict[str, str] = {
           CASE WHEN run_id IS NOT NULL THEN 'boxes' END AS ocr_provider, 'model-' || pipeline_version AS model
         FROM filings f JOIN documents_held d USING (document_id) LEFT JOIN published p ON p.package_id = f.package_id
           AND p.document_id = f.document_id AND p.is_current""",
-    "g4_letter_listing": f"""{THREADS_AND_FIELDS}, missing AS (SELECT citing_letter_id AS letter_id, min(cited_ref_text) AS missing_citation
+    "g4_letter_listing": f"""{THREADS_AND_FIELDS}, {REGISTER}, missing AS (SELECT citing_letter_id AS letter_id, min(cited_ref_text) AS missing_citation
           FROM links WHERE resolution = 'unresolved_missing' GROUP BY 1)
         SELECT package_id, letter_id, serial, letter_ref, dated, received, from_code, to_code, direction, NULL::VARCHAR AS unresolved_field, subject,
           (SELECT value FROM fields f WHERE f.letter_id = p.letter_id AND is_current AND field_key = 'chainage') AS chainage,
           (SELECT value FROM fields f WHERE f.letter_id = p.letter_id AND is_current AND field_key = 'clause') AS clause,
-          thread_key, review_status, missing_citation, document_id, page_from, page_to, document_id || '.pdf' AS original_filename
-        FROM pointed p LEFT JOIN missing USING (letter_id)""",
+          thread_key, review_status, missing_citation, document_id, page_from, page_to, document_id || '.pdf' AS original_filename,
+          prev.ref AS replies_to_ref, prev.dated AS replies_to_dated, dated - prev.dated AS reply_in_days
+        FROM pointed p LEFT JOIN missing USING (letter_id) LEFT JOIN previous USING (letter_id)""",
     "g5_document_listing": f"""{WITH_FILES}
         SELECT f.package_id, f.document_id, original_filename, byte_size, ingested_at,
           (SELECT count(*) FROM document_pages g WHERE g.document_id = f.document_id) AS pages,

@@ -124,9 +124,12 @@ def upload_report(classified: DataFrame, letters: DataFrame, merged: DataFrame,
 
 
 def save(df: DataFrame, path: str, version: int) -> str:
-    """One snapshot per version, split by package; a rerun replaces only its own version."""
+    """One snapshot per version, split by package; a rerun replaces only its own version.
+
+    Rows are brought together by package first, so a package has one file, or several of a good size if it is large.
+    """
     target = f"{path}/version={version}"
-    df.write.mode("overwrite").partitionBy("package_id").parquet(target)
+    df.hint("rebalance", "package_id").write.mode("overwrite").partitionBy("package_id").parquet(target)
     return target
 
 
