@@ -120,7 +120,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # the template's escapes, spelt out: a backslash is doubled, a control string gets one behind its first sign
 _CONTROL = r"<\||\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
 
+
+def _sql_spans(pattern: str, kind: str, keep: str = "true") -> str:
+    """Spans of all matches: lengths of the pieces between them and of the matches, added up. `keep` tests match i."""
+    quoted = pattern.replace("'", "''")
+    return f"""(SELECT list_filter(list_transform(range(1, len(hits) + 1), lambda i: CASE WHEN {keep} THEN {{
+        'start': list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda h: length(h))), 0),
+        'place': {secret_scan.KINDS.index(kind)}, 'size': length(hits[i]), 'hit': hits[i]}} END), lambda s: s IS NOT NULL)
+      FROM (SELECT regexp_extract_all(text, '{quoted}') AS hits, string_split_regex(text, '{quoted}') AS gaps,
+        regexp_extract_all(text, '{quoted}', {2 if kind == "assign" else 0}) AS inner_hits))"""
+
+
+# backward references are not in every engine: eight equal signs in a row are looked for sign by sign
+_ALLOWED = secret_scan.ALLOWED.replace(r"|(.)\1{7}", "")
+_BITS = f"CASE WHEN regexp_full_match(c.hit, '[0-9A-Fa-f]+') THEN {secret_scan.HEX_BITS} ELSE {secret_scan.KEY_BITS} END"
+
 SQL: dict[str, str] = {
+    "op3_secret_entropy": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS (
+  SELECT doc_id, {_sql_spans(secret_scan.ASSIGN, "assign", f"length(inner_hits[i]) >= {secret_scan.ASSIGN_LEAST}")} AS assign,
+    {_sql_spans(secret_scan.ACCESS, "access")} AS access, {_sql_spans(secret_scan.HEX, "hex")} AS hex,
+    {_sql_spans(secret_scan.CANDIDATE, "entropy")} AS candidate
+  FROM d),
+dense AS (
+  SELECT doc_id, c."start" AS first_at, list_filter(range(0, length(c.hit) - {secret_scan.WINDOW - 1}), lambda k:
+    list_aggregate(string_split(substr(c.hit, CAST(k AS INTEGER) + 1, {secret_scan.WINDOW}), ''), 'entropy') >= {_BITS}) AS windows
+  FROM (SELECT doc_id, unnest(candidate) AS c FROM found)
+  WHERE NOT regexp_matches(c.hit, '{_ALLOWED}')
+    AND len(list_filter(list_distinct(string_split(lower(c.hit), '')), lambda x: contains(lower(c.hit), repeat(x, 8)))) = 0),
+more AS (
+  SELECT doc_id, list({{'start': first_at + windows[1], 'place': 3, 'size': windows[-1] - windows[1] + {secret_scan.WINDOW}}}) AS entropy
+  FROM dense WHERE len(windows) > 0 GROUP BY doc_id),
+spans AS (
+  SELECT doc_id, assign, access, hex, list_concat(assign, access, hex) AS base,
+    list_filter(coalesce(entropy, []), lambda m: len(list_filter(list_concat(assign, access, hex),
+      lambda b: b."start" < m."start" + m.size AND m."start" < b."start" + b.size)) = 0) AS apart
+  FROM found LEFT JOIN more USING (doc_id)),
+listed AS (
+  SELECT *, list_transform(base, lambda s: [s."start"::BIGINT, s.place, (s."start" + s.size)::BIGINT]) AS b,
+    list_transform(apart, lambda s: [s."start"::BIGINT, s.place, (s."start" + s.size)::BIGINT]) AS e FROM spans),
+named AS (
+  SELECT *, ['assign', 'access', 'hex', 'entropy'] AS kinds FROM listed)
+SELECT doc_id, len(assign) AS n_assign, len(access) AS n_access, len(hex) AS n_hex,
+  sha256(coalesce(array_to_string(list_transform(list_sort(b), lambda s: kinds[s[2] + 1] || ':' || s[1] || ':' || s[3]), ','), '')) AS base_sha256,
+  coalesce(array_to_string(list_transform(list_sort(list_concat(b, e)), lambda s: kinds[s[2] + 1] || ':' || s[1] || ':' || s[3]), ','), '') AS spans
+FROM named""",
     "op6_chat_prefixes": rf"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -86,3 +86,11 @@ def test_empty_table_and_query(spark, tmp_path):
         lines = [f"{k}:{s}:{e}" for k, s, e in want if k != "entropy"]
         assert row.base_sha256 == hashlib.sha256(",".join(lines).encode()).hexdigest()
         assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(w[0] == k for w in want) for k in secret_scan.KINDS[:3])
+
+
+def test_query_equals_sql(spark):
+    import __spark_entry__ as entry
+    from compare import connect, difference
+
+    sf = "/root/testdata/sf0.001"
+    assert difference(entry.queries()["op3_secret_entropy"](spark, sf), connect(sf), entry.oracle_sql()["op3_secret_entropy"]) is None
