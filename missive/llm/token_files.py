@@ -10,6 +10,7 @@ position of its first id in the file, number of ids.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,10 +26,12 @@ from missive.llm.common import bounded, id_bounds, partitions, range_bucket, tex
 
 SEQUENCE = 1024
 BATCH_SEQUENCES = 256
-# white space that ends a piece whatever stands around it; the vocabulary drops white space
-BLANKS = str.maketrans({"\n": " ", "\t": " ", "\r": " "})
 # pieces kept by a task before it starts its table anew; bounds memory, not results
-KEPT_PIECES = 300_000
+KEPT_PIECES = 500_000
+WORDS_AT_ONCE = 1000
+# letters up to here have one lower-case letter each, and no composition; the dotted capital I is the exception
+NOT_SIMPLE = re.compile("[^\x00-\u012f\u0131-\u024f]")
+PLAIN_WORD = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)")
 
 INDEX = "file int, path string, doc_id long, position long, n_tokens long"
 
@@ -36,39 +39,62 @@ INDEX = "file int, path string, doc_id long, position long, n_tokens long"
 class Vocabulary:
     """The tokenizers library over the distinct pieces of texts between blanks.
 
-    `by_piece` says that no token spans white space, which holds for vocabularies whose first step drops it.
+    `by_piece` says that no token spans white space and that case does not matter, which holds for vocabularies whose first
+    steps drop white space and lower the case. Words of letters alone are encoded many at a time and told apart by the
+    tokens that end a word.
     """
 
     def __init__(self, path: str, by_piece: bool = True) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_piece = by_piece
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.ids: list[bytes] = [b""]
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        ends = self.tokenizer.get_vocab() if suffix else {}
+        self.ends_word = np.zeros(max(ends.values(), default=0) + 1, dtype=bool)
+        self.ends_word[[i for token, i in ends.items() if token.endswith(suffix)]] = bool(suffix)
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [np.array(e.ids, dtype=self.width).tobytes() for e in found]
+
+    def _learn_words(self, words: list[str]) -> None:
+        lots = [words[k : k + WORDS_AT_ONCE] for k in range(0, len(words), WORDS_AT_ONCE)]
+        for lot, line in zip(lots, self._ids([" ".join(lot) for lot in lots])):
+            ids = np.frombuffer(line, dtype=self.width)
+            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * self.width.itemsize).tolist()
+            if len(ends) == len(lot) and ends[-1:] == [len(line)]:
+                self.known.update(zip(lot, (line[b:e] for b, e in zip([0, *ends], ends))))
+            else:
+                self.known.update(zip(lot, self._ids(lot)))
+
+    def _learn(self, pieces: set[str]) -> None:
+        known = self.known
+        words = {p: m.groups() for p in pieces if (m := PLAIN_WORD.fullmatch(p))} if self.ends_word.any() else {}
+        self._learn_words([w for w in dict.fromkeys(w for w, _ in words.values()) if w not in known])
+        marks = dict(zip(("", ".", ","), (b"", *self._ids([".", ","]))))
+        known.update((p, known[w] + marks[mark]) for p, (w, mark) in words.items())
+        rest = [p for p in pieces if p not in words]
+        known.update(zip(rest, self._ids(rest)))
 
     def encode(self, batch: list[str], end_id: int) -> list[bytes]:
+        end = np.array([end_id], dtype=self.width).tobytes()
         if not self.by_piece:
-            found = self.tokenizer.encode_batch(batch, add_special_tokens=False)
-            return [np.array([*e.ids, end_id], dtype=self.width).tobytes() for e in found]
-        cut = [t.translate(BLANKS).split(" ") for t in batch]
+            return [ids + end for ids in self._ids(batch)]
+        cut = [(t if NOT_SIMPLE.search(t) else t.lower()).replace("\n", " ").split(" ") for t in batch]
         if len(self.known) > KEPT_PIECES:
-            self._forget()
-        known = self.known
-        new = list(dict.fromkeys(p for parts in cut for p in parts if p not in known))
-        if new:
-            encoded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            self.ids += [np.array(e.ids, dtype=self.width).tobytes() for e in encoded]
-        end = np.array([end_id], dtype=self.width).tobytes()
-        ids = self.ids
-        return [b"".join([ids[known[p]] for p in parts]) + end for parts in cut]
+            self.known = {"": b""}
+        fresh = set().union(*cut).difference(self.known)
+        if fresh:
+            self._learn(fresh)
+        known = self.known.__getitem__
+        return [b"".join(map(known, parts)) + end for parts in cut]
 
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str, by_piece: bool) -> Vocabulary:
+    # a task has one core; the library's own threads would only compete
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Vocabulary(path, by_piece)
 
 
@@ -131,6 +157,7 @@ class SequenceReader:
         source = pa.memory_map(place) if isinstance(files, fs.LocalFileSystem) else files.open_input_file(place)
         self.file = pa.ipc.open_file(source)
         self.length = self.file.schema.field("ids").type.list_size
+        self.batch_sequences = self.file.get_batch(0).num_rows if self.file.num_record_batches else 1
         self.kept: tuple[int, np.ndarray] = (-1, np.zeros(0))
 
     def _batch(self, k: int) -> np.ndarray:
@@ -140,14 +167,14 @@ class SequenceReader:
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids (a view of the file) and mask of sequence k."""
-        batch = self.file.get_batch(k // BATCH_SEQUENCES)
-        row = k % BATCH_SEQUENCES
+        batch = self.file.get_batch(k // self.batch_sequences)
+        row = k % self.batch_sequences
         ids = batch.column("ids").flatten()[row * self.length : (row + 1) * self.length]
         mask = batch.column("mask").flatten()[row * self.length : (row + 1) * self.length]
         return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
     def span(self, position: int, count: int) -> np.ndarray:
-        per_batch, parts = BATCH_SEQUENCES * self.length, []
+        per_batch, parts = self.batch_sequences * self.length, []
         while count > 0:
             k, at = divmod(position, per_batch)
             part = self._batch(k)[at : at + count]
