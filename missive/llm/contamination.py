@@ -25,7 +25,7 @@ from missive.llm.common import bounded, texts
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BLOCKS = 10
+BLOCKS = 12
 RADIUS = 2 * BLOCKS - 1
 # items held by a task at a time; more are searched for in further passes
 ITEMS_AT_ONCE = 4096
