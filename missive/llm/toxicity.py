@@ -35,6 +35,7 @@ FOLDS = 5
 HOMOGLYPHS = dict(zip("аеорсухкмтнвіјѕԁɡһոԛԝαεορτυνικχ", "aeopcyxkmthbijsdghnqwaeoptuvikx"))
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 DISGUISED = re.compile(r"[^\W\d_][0134578@$!|€]|[0134578@$!|€][^\W\d_]")
+MARKS_BEHIND = re.compile(r"[@$!|€]+(?!\w)")
 
 
 class _Fold(dict):
@@ -56,7 +57,8 @@ def folded(text: str) -> list[str]:
     lower = text.lower()
     readings = [f" {lower.translate(PLAIN)} "]
     if DISGUISED.search(lower):
-        readings.append(f" {lower.translate(READ)} ")
+        # signs at the end of a word are marks, not letters
+        readings.append(f" {MARKS_BEHIND.sub(' ', lower).translate(READ)} ")
     return readings
 
 
