@@ -616,6 +616,9 @@ SQL: dict[str, str] = {
           min(CASE WHEN arrival % 5 = 0 THEN 'REF/' || arrival END) AS first_merged_ref,
           max(CASE WHEN arrival % 11 = 0 THEN 'no answer' END) AS error
         FROM classified GROUP BY package_id, sha256""",
+    "a9_merged_references": f"""WITH {ARRIVALS}
+        SELECT package_id, sha256, 'REF/' || (arrival % 7) AS letter_ref, count(*) AS merged FROM classified
+        WHERE arrival % 5 = 0 GROUP BY ALL""",
     "a10_snapshot_sink": f"{ONLY_BRIDGE} SELECT package_id, letter_id, serial, letter_ref FROM letters",
     "c1_verbatim_location": f"""{ONLY_BRIDGE},
         page AS (SELECT doc_id AS document_id, 1 AS page_no, page_text AS text FROM page_fields), {LOCATED.split("touched AS")[0].rstrip().rstrip(",")}
@@ -983,6 +986,15 @@ SQL: dict[str, str] = {
         UNION ALL SELECT package_id, serial, 'dated', CAST(dated AS VARCHAR), CAST(dated2 AS VARCHAR) FROM j
           WHERE other IS NOT NULL AND dated IS DISTINCT FROM dated2
         UNION ALL SELECT package_id, serial, 'thread_key', thread_key, key2 FROM j WHERE other IS NOT NULL AND thread_key <> key2""",
+    "j2_field_diff": f"""{WITH_FIELDS},
+        a AS (SELECT * FROM fields WHERE is_current AND letter_id IS NOT NULL),
+        j AS (SELECT *, field_id % 443 = 0 AS gone FROM a)
+        SELECT package_id, letter_id, field_key, field_index, '*' AS column_name, 'present' AS left_value, NULL AS right_value FROM j WHERE gone
+        UNION ALL SELECT package_id, letter_id, field_key, field_index, 'value', value, value || '!' FROM j WHERE NOT gone AND field_id % 101 = 0
+        UNION ALL SELECT package_id, letter_id, field_key, field_index, 'validation', validation, 'unresolved' FROM j
+          WHERE NOT gone AND field_id % 131 = 0 AND validation <> 'unresolved'
+        UNION ALL SELECT package_id, letter_id, field_key, field_index, 'page_no', CAST(page_no AS VARCHAR), NULL FROM j
+          WHERE NOT gone AND field_id % 131 = 0 AND page_no IS NOT NULL""",
     "j3_version_comparison": f"""{WITH_FIELDS},
         j AS (SELECT field_key, validation AS was, CASE WHEN letter_id % 9 = 0 THEN NULL WHEN letter_id % 4 = 0 THEN 'exact' ELSE validation END AS now FROM fields)
         SELECT field_key, was, count(*) FILTER (now = 'exact') AS now_exact, count(*) FILTER (now = 'normalized_exact') AS now_normalized_exact,

@@ -157,6 +157,15 @@ def a9_upload_outcome(spark, d):
     return intake.upload_report(classified, found, merged, errors)
 
 
+@query
+def a9_merged_references(spark, d):
+    classified, _, _ = _classified(spark, d)
+    merged = classified.where("arrival % 5 = 0").select(
+        "package_id", "sha256", F.concat(F.lit("REF/"), (F.col("arrival") % 7).cast("string")).alias("letter_ref")
+    )
+    return intake.merged_references(classified, merged)
+
+
 @query
 def a10_snapshot_sink(spark, d):
     path = f"{checkpoint_root(spark)}/snapshot-{uuid.uuid4().hex}"
@@ -1060,6 +1069,23 @@ def j2_register_diff(spark, d):
     return audit.register_diff(rows, other, ["package_id", "serial"], ["letter_ref", "dated", "thread_key"])
 
 
+@query
+def j2_field_diff(spark, d):
+    """Two registers by field: values, validation and pages that differ, and fields on one side only."""
+    k = F.col("field_id")
+    key = ["package_id", "letter_id", "field_key", "field_index"]
+    fields = extracted_fields(spark, d).where("is_current AND letter_id IS NOT NULL")
+    rows = fields.select(*key, "field_id", "value", "validation", "page_no")
+    other = rows.where(k % 443 != 0).withColumns(
+        {
+            "value": F.when(k % 101 == 0, F.concat("value", F.lit("!"))).otherwise(F.col("value")),
+            "validation": F.when(k % 131 == 0, "unresolved").otherwise(F.col("validation")),
+            "page_no": F.when(k % 131 != 0, F.col("page_no")),
+        }
+    )
+    return audit.register_diff(rows, other, key, ["value", "validation", "page_no"])
+
+
 @query
 def j3_version_comparison(spark, d):
     before = extracted_fields(spark, d).select(

@@ -123,6 +123,16 @@ def upload_report(classified: DataFrame, letters: DataFrame, merged: DataFrame,
     )
 
 
+def merged_references(classified: DataFrame, merged: DataFrame) -> DataFrame:
+    """Each reference of an upload that joined a letter held before, one row per document and reference."""
+    uploads = classified.select("package_id", "sha256").distinct()
+    return (
+        merged.join(uploads, ["package_id", "sha256"], "left_semi")
+        .groupBy("package_id", "sha256", "letter_ref")
+        .agg(F.count("*").alias("merged"))
+    )
+
+
 def save(df: DataFrame, path: str, version: int) -> str:
     """One snapshot per version, split by package; a rerun replaces only its own version.
 
