@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from missive.session import checkpoint_root, cut_lineage
 
-__all__ = ["bounded", "cut_lineage", "id_bounds", "partitions", "range_bucket", "shared_folder", "table", "texts"]
+__all__ = ["bounded", "cut_lineage", "evenly_dealt", "id_bounds", "partitions", "range_bucket", "shared_folder", "table", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,20 @@ def range_bucket(id_col: str, bounds: list[float]) -> Column:
     return bucket(F.col(id_col))
 
 
+def evenly_dealt(df: DataFrame, bucket: str, parts: int) -> DataFrame:
+    """The rows in `parts` partitions, one for each range of `range_bucket` (the first also has missing identifiers).
+
+    Hashing the numbers themselves would put several ranges into one partition and none into others, so each is replaced by a
+    number that hashes to a partition of its own.
+    """
+    spark = df.sparkSession
+    numbers = spark.range(64 * parts).groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("place")).agg(F.min("id").alias("id"))
+    found = {r.place: r.id for r in numbers.collect()}
+    keys = [found.get(k, k) for k in range(parts)]
+    key = F.element_at(F.array(*[F.lit(k).cast("long") for k in keys]), F.greatest(F.col(bucket), F.lit(1)))
+    return df.repartition(parts, key)
+
+
 def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with about `most` bytes or list entries in one column, or a single row that has more."""
     for batch in batches:

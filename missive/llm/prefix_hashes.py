@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from missive.llm.common import bounded, id_bounds, partitions, range_bucket, texts
+from missive.llm.common import bounded, evenly_dealt, id_bounds, partitions, range_bucket, texts
 
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
@@ -142,16 +142,14 @@ def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     taker = {head.range: heads[(k + 1) % len(heads)].range for k, head in enumerate(heads)}
     wanted = spark.createDataFrame([(h.doc_id, taker[h.range]) for h in heads], "head_id long, taker int")
     following = (
-        rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("head_id")))
+        rows.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("head_id")))
         .groupBy("doc_id", "taker")
         .agg(F.max("text").alias("text"))
         .select(F.col("taker").alias("range"), "doc_id", "text", F.lit(True).alias("after"))
     )
-    dealt = (
-        placed.select("range", "doc_id", "text", F.lit(False).alias("after"))
-        .unionByName(following)
-        .repartition(parts, "range")
-        .sortWithinPartitions("range", "after", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
+    both = placed.select("range", "doc_id", "text", F.lit(False).alias("after")).unionByName(following)
+    dealt = evenly_dealt(both, "range", parts).sortWithinPartitions(
+        "range", "after", F.col("doc_id").desc_nulls_last(), F.col("text").desc()
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
