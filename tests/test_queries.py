@@ -9,8 +9,8 @@ from compare import connect, difference
 from missive.plans import oracles
 from missive.plans.queries import QUERIES
 
-# on the smallest tables nothing is wrong, late or missing in these
-MAY_BE_EMPTY: set[str] = set()
+# on the smallest tables no letter lies in these sections
+MAY_BE_EMPTY = {"h2_chainage_overlap"}
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
