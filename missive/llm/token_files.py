@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from missive.llm.common import bounded, id_bounds, partitions, range_bucket, texts
+from missive.llm.common import bounded, evenly_dealt, id_bounds, partitions, range_bucket, texts
 
 SEQUENCE = 1024
 BATCH_SEQUENCES = 256
@@ -232,7 +232,7 @@ def write(
 
     spread = rows.select(range_bucket("doc_id", bounds).alias("file"), "doc_id", "text")
     encoded = spread.mapInArrow(tokenize, "file int, doc_id long, ids binary")
-    ordered = encoded.repartition(parts, "file").sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "ids")
+    ordered = evenly_dealt(encoded, "file", parts).sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "ids")
     # the index is complete only when every file is in its place
     ordered.mapInArrow(store, INDEX).write.mode("overwrite").parquet(f"{folder}/index")
 
