@@ -26,7 +26,7 @@ def op2_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secret_scan.spans(documents).select("doc_id", "secret_spans")
+    found = secret_scan.spans(documents, whole=True).select("doc_id", "secret_spans")
 
     def of(kind: str) -> Column:
         return F.size(F.filter("secret_spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")

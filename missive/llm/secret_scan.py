@@ -145,12 +145,21 @@ def _ordered(spans: Column) -> Column:
     )
 
 
-def spans(docs: DataFrame, text_col: str = "text", out: str = "secret_spans") -> DataFrame:
+def _uncovered(span: Column, base: Column) -> Column:
+    """The span has a sign that no base span covers: a walk over the base spans by start never gets behind its end."""
+    inside = F.filter(base, lambda b: (b.start < span.end) & (span.start < b.end))
+    walk = F.array_sort(F.transform(inside, lambda b: F.struct(b.start.alias("start"), b.end.alias("end"))))
+    covered = F.aggregate(walk, span.start, lambda at, b: F.when(b.start <= at, F.greatest(at, b.end)).otherwise(at))
+    return covered < span.end
+
+
+def spans(docs: DataFrame, text_col: str = "text", out: str = "secret_spans", whole: bool = False) -> DataFrame:
     """The rows of `docs` with one more column: their secrets, array of (kind, start, end), by start and kind.
 
     Kinds are those of KINDS; positions count code points, the end is exclusive. Spans of one pattern don't overlap, spans
-    of different patterns may; an entropy span that touches a span of a pattern is left out. A missing text has no spans; a
-    column named like the new one is replaced, all others stay; repeated rows stay repeated.
+    of different patterns may. An entropy span that touches a span of a pattern is left out; with `whole` it is left out only
+    where spans of patterns cover all of it. A missing text has no spans; a column named like the new one is replaced, all
+    others stay; repeated rows stay repeated.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(_named(_assigned(text), "assign"), _named(_found(text, ACCESS), "access"), _named(_found(text, HEX), "hex"))
@@ -158,7 +167,9 @@ def spans(docs: DataFrame, text_col: str = "text", out: str = "secret_spans") ->
     staged = docs.drop(out).withColumn(out, F.struct(base.alias("base"), more.alias("more")))
     apart = F.filter(
         F.col(out)["more"],
-        lambda m: ~F.exists(F.col(out)["base"], lambda b: (b.start < m.end) & (m.start < b.end)),
+        lambda m: _uncovered(m, F.col(out)["base"])
+        if whole
+        else ~F.exists(F.col(out)["base"], lambda b: (b.start < m.end) & (m.start < b.end)),
     )
     joined = F.when(
         (F.size(F.col(out)["base"]) > 0) | (F.size(F.col(out)["more"]) > 0), _ordered(F.concat(F.col(out)["base"], apart))
@@ -183,7 +194,7 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
         )
 
     own = "secret_spans_of_redaction"
-    found = spans(docs, text_col, own)
+    found = spans(docs, text_col, own, whole=True)
     walked = F.aggregate(own, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cover)
     rebuilt = F.transform(F.array(walked), lambda w: F.concat(w.out, F.substring(text, w["at"] + 1, F.length(text))))[0]
     return found.withColumn(text_col, F.when(F.size(own) > 0, rebuilt).otherwise(text)).select(docs.columns)
