@@ -28,6 +28,9 @@ TAG = re.compile(
 )
 # their content is no text; up to the closing tag nothing else counts as a tag
 SKIPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "select", "title", "canvas", "audio", "video"}
+SKIPPED_END = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in SKIPPED}
+# elements whose missing end tag makes the rest of a page theirs
+SWALLOWING = {"script", "style", "textarea", "title", "iframe"}
 BREAKS = set(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -101,7 +104,7 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
     # open elements: name, number, score of the place, whether it is final
     stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]
     number, links, at, current = 0, 0, 0, None
-    lower = None
+    unclosed: set[str] = set()
 
     def add(text: str) -> None:
         nonlocal current
@@ -140,10 +143,14 @@ def blocks(page: str) -> list[tuple[str, float, int]]:
             continue
         if name in SKIPPED:
             if not closing and not (hit["more"] or hit["more2"] or "").endswith("/"):
-                if lower is None:
-                    lower = page.lower() if len(page.lower()) == len(page) else page
-                end = lower.find(f"</{name}", at)
-                at = len(page) if end < 0 else end
+                end = None if name in unclosed else SKIPPED_END[name].search(page, at)
+                if end is not None:
+                    at = end.start()
+                else:
+                    # no later one has an end either; only these swallow the page then, of others the tag alone goes
+                    unclosed.add(name)
+                    if name in SWALLOWING:
+                        at = len(page)
             continue
         if name not in BREAKS:
             continue
