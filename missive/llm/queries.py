@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.llm import chat, contamination, main_text, near_dups, pieces, prefix_hashes, quality, secret_scan, token_files, toxicity
+from missive.llm import (
+    chat,
+    contamination,
+    main_text,
+    near_dups,
+    pieces,
+    prefix_hashes,
+    quality,
+    secret_scan,
+    token_files,
+    toxicity,
+    word_runs,
+)
 from missive.llm.common import shared_folder, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -105,6 +117,39 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in a tenth of the documents, by the check sum of the identifier, the first p words from word a recur.
+
+    Documents without identifier or words stay as they are.
+    """
+    check = F.crc32(F.col("doc_id").cast("long").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", check.alias("h"), F.when(check % 10 == 0, words).alias("words"))
+    n, g = F.greatest(F.size("words"), F.lit(1)), F.floor(F.col("h") / 10)
+    rows = rows.withColumn("a", (g % n).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    left = F.size("words") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int")))
+    changed = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), left))
+    return rows.select("doc_id", F.when(F.size("words") > 0, F.array_join(changed, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs.word_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")))
+    found = found.select("doc_id", "runs", "text", word_runs.most_repeated(F.col("runs")).alias("most"), lines.alias("lines"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "most.start",
+        "most.length",
+        "most.period",
+        F.floor(1000 * F.col("most.length") / F.col("most.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("lines", lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_ball": op1_simhash_ball,
     "op2_min_cut_text": op2_min_cut_text,
@@ -116,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxic_lexicon": op9_toxic_lexicon,
     "op10_token_files": op10_token_files,
+    "op13_word_runs": op13_word_runs,
 }
 # the template's escapes, spelt out: a backslash is doubled, a control string gets one behind its first sign
 _CONTROL = r"<\||\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
