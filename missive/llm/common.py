@@ -14,7 +14,21 @@ from pyspark.sql import functions as F
 
 from missive.session import checkpoint_root, cut_lineage
 
-__all__ = ["bounded", "cut_lineage", "evenly_dealt", "id_bounds", "partitions", "range_bucket", "shared_folder", "table", "texts"]
+__all__ = [
+    "bounded",
+    "cut_lineage",
+    "evenly_dealt",
+    "id_bounds",
+    "joined_to_classes",
+    "partitions",
+    "range_bucket",
+    "shared_folder",
+    "table",
+    "texts",
+]
+
+# keys with more than one in so many rows are joined by broadcast; there are fewer of them than this
+HEAVY = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +84,22 @@ def evenly_dealt(df: DataFrame, bucket: str, parts: int) -> DataFrame:
     return df.repartition(parts, key)
 
 
+def joined_to_classes(rows: DataFrame, classes: DataFrame, key: str, keep: bool = False) -> DataFrame:
+    """Rows with the columns of the one row that `classes` has for their key; without one they go, or stay with nulls (`keep`).
+
+    The classes of keys that hold more than a thousandth of the rows, fewer than a thousand by that, are broadcast; the rest is
+    shuffled, where no key has more rows than that.
+    """
+    total = rows.count()
+    heavy = rows.groupBy(key).count().where(F.col("count") * HEAVY > total).select(key)
+    few = classes.join(heavy, key, "left_semi").withColumn("is_heavy", F.lit(True))
+    marked = rows.join(F.broadcast(few), key, "left")
+    added = [c for c in classes.columns if c != key]
+    light = marked.where("is_heavy IS NULL").select(rows.columns).join(classes, key, "left" if keep else "inner")
+    names = [*rows.columns, *added]
+    return marked.where("is_heavy").select(names).unionByName(light.select(names))
+
+
 def bounded(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches with about `most` bytes or list entries in one column, or a single row that has more."""
     for batch in batches:

@@ -19,6 +19,7 @@ from missive.llm import (
     secret_scan,
     token_files,
     toxicity,
+    warc,
     word_runs,
 )
 from missive.llm.common import shared_folder, table
@@ -117,6 +118,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op11_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.read_back(spark, folder).drop("error")
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id and text; in a tenth of the documents, by the check sum of the identifier, the first p words from word a recur.
 
@@ -161,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxic_lexicon": op9_toxic_lexicon,
     "op10_token_files": op10_token_files,
+    "op11_warc_segments": op11_warc_segments,
     "op13_word_runs": op13_word_runs,
 }
 # the template's escapes, spelt out: a backslash is doubled, a control string gets one behind its first sign
@@ -227,4 +235,12 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id""",
+    "op11_warc_segments": f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= {warc.LEAST_REPEAT} AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {warc.LEAST_REPEAT} AND page_id > first_id THEN first_id END AS refers_to
+FROM f""",
 }
