@@ -20,6 +20,7 @@ from missive.llm import (
     token_files,
     toxicity,
     warc,
+    whitening,
     word_runs,
 )
 from missive.llm.common import shared_folder, table
@@ -124,6 +125,10 @@ def op11_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(spark, folder).drop("error")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """doc_id and text; in a tenth of the documents, by the check sum of the identifier, the first p words from word a recur.
 
@@ -169,6 +174,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxic_lexicon": op9_toxic_lexicon,
     "op10_token_files": op10_token_files,
     "op11_warc_segments": op11_warc_segments,
+    "op12_whitening": op12_whitening,
     "op13_word_runs": op13_word_runs,
 }
 # the template's escapes, spelt out: a backslash is doubled, a control string gets one behind its first sign
