@@ -22,8 +22,9 @@ MIN_SIMILARITY = 0.5
 BEST = 3
 MIN_BODY_RATIO = 0.6
 
-# The search goes from high similarity down to MIN_SIMILARITY.
-DESCENT = (0.8, 0.65)
+# A reference's own bound comes from references that share one of so many rarest used grams, which at most so many use.
+PROBE_GRAMS = 4
+PROBE_USES = 256
 
 # A gram used by more references of a package than this is split for the join, into as many parts as its uses ask for.
 PART_SIZE = 512
@@ -151,71 +152,109 @@ def apply_direct_rules(
 def _ranked_grams(names: DataFrame, gram_use: DataFrame) -> DataFrame:
     """Each reference's grams, rarest in its package first (one bounded list per reference)."""
     return (
-        names.select("package_id", "ref", "serial", F.explode(refs.trigrams(F.col("ref"))).alias("gram"))
+        names.select("package_id", "ref", "serial", "tail", F.explode("grams").alias("gram"))
         .join(gram_use, ["package_id", "gram"], "left")
         .groupBy("package_id", "ref")
         .agg(
             F.min("serial").alias("serial"),
+            F.first("tail").alias("tail"),
             F.sort_array(
                 F.collect_list(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "gram"))
             ).alias("ranked"),
         )
-        .withColumn("tail", refs.trailing_serial(F.col("ref")))
+        .withColumn("grams", F.col("ranked.gram"))
     )
 
 
-def _prefix(ranked: DataFrame, side: str, threshold: float) -> DataFrame:
-    """The rare grams of which a similar pair must share at least one."""
-    n = F.size("ranked")
-    length = (n - F.ceil(n * F.lit(threshold)) + 1).cast("int")
+def _rank_both(cited: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References of both sides with their grams, worked out once."""
+
+    def gramed(names: DataFrame) -> DataFrame:
+        ref = F.col("ref")
+        return cut_lineage(names.withColumns({"grams": refs.trigrams(ref), "tail": refs.trailing_serial(ref)}))
+
+    cited, held = gramed(cited), gramed(held)
+    gram_use = (
+        held.select("package_id", F.explode("grams").alias("gram"))
+        .groupBy("package_id", "gram")
+        .agg(F.count("*").alias("uses"))
+    )
+    return cut_lineage(_ranked_grams(cited, gram_use)), cut_lineage(_ranked_grams(held, gram_use))
+
+
+def _postings(ranked: DataFrame, side: str, entries: Column) -> DataFrame:
+    """One row for each of some leading grams of a reference, with the gram's place and number of parts."""
+    kept = [c for c in ranked.columns if c not in ("package_id", "ranked")]
     return ranked.select(
-        "package_id",
-        F.col("ref").alias(f"{side}_ref"),
-        F.col("serial").alias(f"{side}_serial"),
-        F.col("tail").alias(f"{side}_tail"),
-        F.col("ranked.gram").alias(f"{side}_grams"),
-        F.posexplode(F.slice("ranked", F.lit(1), length)).alias(f"{side}_at", "entry"),
+        "package_id", *[F.col(c).alias(f"{side}_{c}") for c in kept], F.posexplode(entries).alias(f"{side}_at", "entry")
     ).select(
-        "package_id", *[f"{side}_{c}" for c in ("ref", "serial", "tail", "grams", "at")], "entry.gram",
+        "package_id", *[f"{side}_{c}" for c in kept], f"{side}_at", "entry.gram", "entry.uses",
         # a gram used by many references is joined in parts, or one task would do all its pairs
         F.ceil(F.col("entry.uses") / PART_SIZE).cast("int").alias("parts"),
     )
 
 
-def _rank_both(cited: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
-    gram_use = (
-        held.select("package_id", F.explode(refs.trigrams(F.col("ref"))).alias("gram"))
-        .groupBy("package_id", "gram")
-        .agg(F.count("*").alias("uses"))
+def _prefix(threshold: Column) -> Column:
+    """The rare grams of which a pair at the threshold must share at least one."""
+    n = F.size("ranked")
+    return F.slice("ranked", F.lit(1), (n - F.ceil(n * threshold) + 1).cast("int"))
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """Similarity of joined postings, each pair at its first shared gram only."""
+    # exploding a one-element array keeps the comparison out of the join condition, where it
+    # would run before the cheap bounds and once per use
+    shared = F.explode(F.array(F.array_intersect("cited_grams", "held_grams")))
+    union = F.size("cited_grams") + F.size("held_grams") - F.size("shared")
+    return (
+        pairs.withColumn("shared", shared)
+        .where(F.element_at("shared", 1) == F.col("gram"))
+        .withColumn("score", F.size("shared") / union)
+    )
+
+
+def _with_bounds(cited: DataFrame, held: DataFrame, keep: int, threshold: float) -> DataFrame:
+    """`least` for each cited reference: the score that `keep` held references are known to reach, or the threshold.
+
+    Known ones are those that share one of the reference's rarest grams, of grams that few references use.
+    """
+    # the first used grams are the rarest, and unused ones come before them
+    used = F.slice(F.filter("ranked", lambda e: e.uses > 0), F.lit(1), F.lit(PROBE_GRAMS))
+    few = F.filter(used, lambda e: e.uses <= PROBE_USES)
+    a = _postings(cited, "cited", few).select("package_id", "cited_ref", "cited_grams", "gram")
+    b = _postings(held, "held", F.filter("ranked", lambda e: e.uses <= PROBE_USES)).select("package_id", "held_grams", "gram")
+    best = F.slice(F.sort_array(F.collect_list("score"), asc=False), F.lit(1), F.lit(keep))
+    known = (
+        _scored(a.join(b, ["package_id", "gram"]))
+        .where(F.col("score") >= threshold)
+        .groupBy("package_id", F.col("cited_ref").alias("ref"))
+        .agg(best.alias("best"))
+        .select("package_id", "ref", F.get("best", F.lit(keep - 1)).alias("reached"))
     )
-    return _ranked_grams(cited, gram_use), _ranked_grams(held, gram_use)
+    # hits are ranked by rounded scores, so equal ones have to stay
+    least = F.greatest(F.coalesce(F.floor(F.col("reached") * 1e6) / 1e6 - 1e-6, F.lit(0.0)), F.lit(threshold))
+    return cited.join(known, ["package_id", "ref"], "left").withColumn("least", least).drop("reached")
 
 
 def _similar(cited: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
-    threshold -= 1e-9  # a score equal to the threshold must survive rounding
-    a = _prefix(cited, "cited", threshold).where("parts > 0").withColumn(
+    """Pairs from `least` of the cited reference on, which is at least the threshold."""
+    least, common = F.col("cited_least"), F.lit(threshold)
+    # equal references of many packages share their rare grams with nothing else: unused grams are not joined
+    a = _postings(cited, "cited", _prefix(F.col("least"))).where("parts > 0").withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     )
-    b = _prefix(held, "held", threshold).withColumn(
+    b = _postings(held, "held", _prefix(common)).withColumn(
         "part", F.pmod(F.xxhash64("held_ref"), F.col("parts")).cast("int")
     )
     n, m = F.size("cited_grams"), F.size("held_grams")
-    needed = F.ceil((n + m) * F.lit(threshold / (1 + threshold)))
+    needed = F.ceil((n + m) * least / (1 + least))
     reachable = F.least(n - F.col("cited_at"), m - F.col("held_at"))
-    # exploding a one-element array keeps the comparison out of the join condition, where it
-    # would run before the cheap bounds and once per use
-    shared = F.explode(F.array(F.array_intersect("cited_grams", "held_grams")))
-    return (
-        a.drop("parts").join(b.drop("parts"), ["package_id", "gram", "part"])
-        .where((m >= n * threshold) & (n >= m * threshold) & (reachable >= needed))
-        .withColumn("shared", shared)
-        .where(F.element_at("shared", 1) == F.col("gram"))
-        .withColumn("score", F.size("shared") / (n + m - F.size("shared")))
-        .where(F.col("score") >= threshold)
-        .select(
-            "package_id", "cited_ref", "held_ref", "held_serial", "score",
-            F.coalesce(F.col("cited_tail") == F.col("held_tail"), F.lit(False)).alias("same_serial"),
-        )
+    met = a.drop("parts", "uses").join(b.drop("parts", "uses"), ["package_id", "gram", "part"]).where(
+        (m >= n * least) & (n >= m * least) & (reachable >= needed)
+    )
+    return _scored(met).where(F.col("score") >= least).select(
+        "package_id", "cited_ref", "held_ref", "held_serial", "score",
+        F.coalesce(F.col("cited_tail") == F.col("held_tail"), F.lit(False)).alias("same_serial"),
     )
 
 
@@ -227,7 +266,9 @@ def similar_refs(cited: DataFrame, held: DataFrame, threshold: float = MIN_SIMIL
     gram sets are compared, and a pair is emitted only at its first shared gram, which makes a
     distinct unnecessary.
     """
-    return _similar(*_rank_both(cited, held), threshold)
+    threshold -= 1e-9  # a score equal to the threshold must survive rounding
+    cited, held = _rank_both(cited.withColumn("serial", F.lit(None).cast("long")), held)
+    return _similar(cited.withColumn("least", F.lit(threshold)), held, threshold)
 
 
 def _nearest(pairs: DataFrame, letters_of_ref: DataFrame, keep: int) -> DataFrame:
@@ -251,8 +292,9 @@ def nearest_letters(cited: DataFrame, targets: DataFrame) -> DataFrame:
     """The best BEST + 1 letters for each (package_id, ref): one spare for the citing letter.
 
     Only the first BEST + 1 letters of equal references can ever be placed, so further copies are not joined. The number of
-    references above the least similarity grows with the package, so all packages are searched from high similarity down,
-    and a reference stops once it has enough hits: every hit still to come would score lower, so the result is the same.
+    references above the least similarity grows with the package. So each reference first gets a bound of its own from a few
+    references that share its rarest grams: what scores less than the last of its best known ones cannot be placed. The
+    similarity join then runs once, with that bound as each reference's threshold; higher ones have shorter prefixes.
     """
     keep = BEST + 1
     copies = Window.partitionBy("package_id", "ref").orderBy("serial")
@@ -260,25 +302,10 @@ def nearest_letters(cited: DataFrame, targets: DataFrame) -> DataFrame:
         targets.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= keep)
     )
     held = letters_of_ref.where("copy = 1").select("package_id", "ref", "serial")
-    cited = cited.withColumn("serial", F.lit(None).cast("long"))
-    letters_of_ref = letters_of_ref.drop("copy")
-    open_refs, ranked_held = map(cut_lineage, _rank_both(cited, held))
-    found = None
-    for threshold in (*DESCENT, MIN_SIMILARITY):
-        hits = cut_lineage(_nearest(_similar(open_refs, ranked_held, threshold), letters_of_ref, keep))
-        if threshold == MIN_SIMILARITY:
-            return found.unionByName(hits)
-        full = (
-            hits.groupBy("package_id", F.col("cited_ref").alias("ref"))
-            .count()
-            .where(F.col("count") >= keep)
-            .drop("count")
-        )
-        done = hits.join(
-            full.withColumnRenamed("ref", "cited_ref"), ["package_id", "cited_ref"], "left_semi"
-        )
-        found = done if found is None else found.unionByName(done)
-        open_refs = open_refs.join(full, ["package_id", "ref"], "left_anti")
+    threshold = MIN_SIMILARITY - 1e-9  # a score equal to the threshold must survive rounding
+    cited, held = _rank_both(cited.withColumn("serial", F.lit(None).cast("long")), held)
+    bounded = _with_bounds(cited, held, keep, threshold)
+    return _nearest(_similar(bounded, held, threshold), letters_of_ref.drop("copy"), keep)
 
 
 def fuzzy_candidates(remainder: DataFrame, targets: DataFrame) -> DataFrame:

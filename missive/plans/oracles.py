@@ -173,6 +173,16 @@ candidates AS (
   UNION ALL
   SELECT package_id, citing, ref, letter_id, 'trgm_fuzzy', score FROM fuzzy)"""
 
+GREAT_PACKAGE = """
+great_letters AS (
+  SELECT * REPLACE (CASE WHEN cust % 3 = 0 THEN 0 ELSE package_id END AS package_id, letter_id AS serial) FROM letters),
+great_cited AS (
+  SELECT c.* REPLACE (l.package_id AS package_id) FROM cited c JOIN great_letters l USING (letter_id))"""
+
+GREAT_LINKS = (
+    LINKS.replace("FROM letters", "FROM great_letters").replace("JOIN letters", "JOIN great_letters").replace("FROM cited", "FROM great_cited")
+)
+
 THREADS = """
 live AS (SELECT * FROM letters WHERE is_current AND NOT is_voided),
 edge AS (
@@ -759,6 +769,9 @@ SQL: dict[str, str] = {
           AND NOT EXISTS (SELECT 1 FROM e2 WHERE e2.citing = c.citing AND e2.ref = c.ref)""",
     "e4_trigram_candidates": f"""{WITH_LINKS} SELECT citing AS citing_letter_id, ref AS cited_ref_normalized,
         letter_id AS candidate_letter_id, round(score, 6) AS match_score, place FROM fuzzy""",
+    "e4_great_package": f"""WITH RECURSIVE {BRIDGE}, {GREAT_PACKAGE}, {NO_ALIASES}, {GREAT_LINKS}
+        SELECT package_id, citing AS citing_letter_id, ref AS cited_ref_normalized, letter_id AS candidate_letter_id,
+          round(score, 6) AS match_score, place FROM fuzzy""",
     "e5_serial_anchored": f"""{WITH_LINKS} SELECT citing AS citing_letter_id, ref AS cited_ref_normalized,
         letter_id AS candidate_letter_id, round(body_ratio, 6) AS body_ratio FROM ratio WHERE body_ratio >= 0.6""",
     "e6_resolution_states": f"{WITH_LINKS} SELECT package_id, resolution, rule, count(*) AS n FROM links GROUP BY ALL",

@@ -564,6 +564,26 @@ def e4_trigram_candidates(spark, d):
     )
 
 
+def _one_great_package(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A third of all customers' letters in package 0; letter numbers are the serials."""
+    letters, cited = bridged(spark, d)
+    great = F.when(F.col("cust") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("package_id"))
+    letters = letters.withColumns({"package_id": great, "serial": F.col("letter_id")})
+    return letters, cited.drop("package_id").join(letters.select("letter_id", "package_id"), "letter_id")
+
+
+@query
+def e4_great_package(spark, d):
+    letters, cited = _one_great_package(spark, d)
+    targets = cut_lineage(citations.link_targets(letters))
+    direct = citations.apply_direct_rules(citations.distinct_citations(mentions(letters, cited)), targets)
+    fuzzy = citations.fuzzy_candidates(cut_lineage(direct).where("rule IS NULL"), targets)
+    return fuzzy.select(
+        "package_id", "citing_letter_id", "cited_ref_normalized", "candidate_letter_id",
+        F.round("match_score", 6).alias("match_score"), "place",
+    )
+
+
 @query
 def e5_serial_anchored(spark, d):
     direct, targets = _direct(spark, d)

@@ -267,10 +267,12 @@ def brute_force_nearest(cited, held, keep):
     return best
 
 
-@pytest.mark.parametrize("part_size", [512, 3])
-def test_similarity_search_is_exact(spark, part_size, monkeypatch):
-    """The search from high similarity down against all pairs, with hot copies and grams in many parts."""
+@pytest.mark.parametrize("part_size, probe", [(512, (4, 256)), (3, (4, 256)), (512, (1, 2)), (3, (20, 10_000)), (512, (1, 0))])
+def test_similarity_search_is_exact(spark, part_size, probe, monkeypatch):
+    """The search with a bound of each reference's own against all pairs, with hot copies, grams in many parts, any bounds."""
     monkeypatch.setattr(citations, "PART_SIZE", part_size)
+    monkeypatch.setattr(citations, "PROBE_GRAMS", probe[0])
+    monkeypatch.setattr(citations, "PROBE_USES", probe[1])
     rng = random.Random(8)
     held = {i: f"{rng.choice(['CTR', 'AE'])}/PKG{rng.randint(1, 2)}/202{rng.randint(0, 1)}/{rng.randint(0, 120):05d}" for i in range(300)}
     held |= {1000 + i: "CTR/PKG1/2020/00007" for i in range(150)}
