@@ -416,6 +416,19 @@ def candidate_rows(citations: DataFrame, scored: DataFrame, exact: DataFrame) ->
     return exact_rows.unionByName(scored)
 
 
+def asked_candidates(asked: DataFrame, citations: DataFrame, scored: DataFrame, exact: DataFrame) -> DataFrame:
+    """The candidates among `asked` (citation key, candidate_letter_id): looked up, nothing is expanded."""
+    keys = asked.select(*CITATION, "candidate_letter_id").distinct()
+    own = F.col("candidate_letter_id") != F.col("citing_letter_id")
+    shared = (
+        keys.join(citations.where("rule = 'exact_many'").select(*CITATION), CITATION, "left_semi")
+        .join(exact, ["package_id", "cited_ref_normalized", "candidate_letter_id"], "left_semi")
+        .where(own)
+        .select(*CITATION, "candidate_letter_id", F.lit("exact_ref").alias("match_method"), F.lit(None).cast("double").alias("match_score"))
+    )
+    return shared.unionByName(scored.join(keys, [*CITATION, "candidate_letter_id"], "left_semi"))
+
+
 def occurrences(mentions: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Every place a reference is mentioned; none are added to human-decided citations."""
     places = mentions.select(*CITATION, "field_index").dropDuplicates()
@@ -447,6 +460,7 @@ def confirm(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Human confirmations -> (citations, aliases learned, rejected confirmations).
 
+    Of `candidates` those among the confirmations suffice (`asked_candidates`).
     Confirmations carry the citation key, `candidate_letter_id` and an increasing `confirmed_at`. A citation takes its first
     valid one. A reference without exact match is known by the alias from its first decision on: other letters' citations of
     it are resolved by then and their decisions refused, except where the alias is the citing letter itself. An alias keeps
@@ -523,21 +537,27 @@ def apply_confirmations(
     letters: DataFrame,
     known: DataFrame | None = None,
 ) -> Confirmed:
-    """Confirmations carried through: links decided, aliases learned, packages resolved again with them.
+    """Confirmations carried through: links decided, aliases learned, packages with a new alias resolved again with all of theirs.
 
     `known` are aliases learned before; a new decision on a reference replaces the old alias. Links that a person decided stay
-    as they are; threads follow from the result.
+    as they are, and so do packages without a new alias; threads follow from the result (`threads.updated_components`).
     """
     linked, learned, rejected = confirm(stored, candidates, confirmations)
+    learned = cut_lineage(learned)
+    touched = learned.select("package_id").distinct()
     aliases = learned
     if known is not None:
         older = known.select("package_id", "cited_ref_normalized", "letter_id").join(
             learned, ["package_id", "cited_ref_normalized"], "left_anti"
         )
-        aliases = learned.unionByName(older)
-    aliases = cut_lineage(aliases)
-    again = resolve(mentions, letters, aliases)
-    return Confirmed(upsert(linked, again.citations), again.candidates, aliases, rejected)
+        aliases = cut_lineage(learned.unionByName(older))
+
+    def of_touched(rows: DataFrame) -> DataFrame:
+        return rows.join(touched, "package_id", "left_semi")
+
+    again = resolve(of_touched(mentions), of_touched(letters), aliases)
+    offered = again.candidates.unionByName(candidates.join(touched, "package_id", "left_anti"))
+    return Confirmed(upsert(linked, again.citations), offered, aliases, rejected)
 
 
 def backfill_source(citations: DataFrame) -> DataFrame:

@@ -49,26 +49,54 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(parent, "id", "left").select("id", F.coalesce("parent", "id").alias("component"))
 
 
-def thread_components(letters: DataFrame, citations: DataFrame) -> DataFrame:
-    """(package_id, letter_id, component) of live letters over links with both ends live."""
+def live_links(letters: DataFrame, citations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Live letters, and resolved links with both ends live."""
     live = letters.where("is_current AND NOT is_voided").select("package_id", "letter_id")
-    ends = live.select("package_id", F.col("letter_id").alias("citing_letter_id"))
-    links = (
-        citations.where("resolution = 'resolved'")
-        .join(ends, ["package_id", "citing_letter_id"], "left_semi")
-        .join(
-            ends.withColumnRenamed("citing_letter_id", "cited_letter_id"),
-            ["package_id", "cited_letter_id"],
-            "left_semi",
-        )
-        .select(F.col("citing_letter_id").alias("src"), F.col("cited_letter_id").alias("dst"))
+    links = citations.where("resolution = 'resolved'").select(
+        "package_id", F.col("citing_letter_id").alias("src"), F.col("cited_letter_id").alias("dst")
     )
-    found = connected_components(live.select(F.col("letter_id").alias("id")), links)
+    for end in ("src", "dst"):
+        links = links.join(live.select("package_id", F.col("letter_id").alias(end)), ["package_id", end], "left_semi")
+    return live, links.distinct()
+
+
+def thread_components(letters: DataFrame, citations: DataFrame) -> DataFrame:
+    """(package_id, letter_id, component) of live letters over links with both ends live."""
+    live, links = live_links(letters, citations)
+    found = connected_components(live.select(F.col("letter_id").alias("id")), links.select("src", "dst"))
     return live.join(found.withColumnRenamed("id", "letter_id"), "letter_id").select(
         "package_id", "letter_id", "component"
     )
 
 
+def updated_components(components: DataFrame, links_before: DataFrame, letters: DataFrame, citations: DataFrame) -> DataFrame:
+    """Components after a change of letters or links, equal to `thread_components(letters, citations)`.
+
+    `components` (package_id, letter_id, component) and `links_before` (package_id, src, dst) are those from before the change.
+    A component that lost a link or a letter may have fallen apart: its letters start on their own again. All others start as
+    one node each, so old links inside them vanish, and the rounds run over the links of what changed alone.
+    """
+    live, links = map(cut_lineage, live_links(letters, citations))
+    gone = components.join(live, ["package_id", "letter_id"], "left_anti").select("package_id", "letter_id")
+    lost = links_before.join(links, ["package_id", "src", "dst"], "left_anti")
+    ends = lost.select("package_id", F.explode(F.array("src", "dst")).alias("letter_id"))
+    broken = components.join(gone.unionByName(ends).distinct(), ["package_id", "letter_id"], "left_semi")
+    broken = broken.select("package_id", "component").distinct()
+    whole = components.join(broken, ["package_id", "component"], "left_anti")
+    start = cut_lineage(
+        live.join(whole, ["package_id", "letter_id"], "left").select(
+            "package_id", "letter_id", F.coalesce("component", "letter_id").alias("node")
+        )
+    )
+    edges = links
+    for end in ("src", "dst"):
+        named = start.select("package_id", F.col("letter_id").alias(end), F.col("node").alias(f"{end}_node"))
+        edges = edges.join(named, ["package_id", end])
+    edges = edges.where("src_node <> dst_node").select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
+    met = connected_components(start.select(F.col("node").alias("id")).distinct(), edges)
+    return start.join(met.withColumnRenamed("id", "node"), "node").select("package_id", "letter_id", "component")
+
+
 def summarize_threads(letters: DataFrame, components: DataFrame) -> DataFrame:
     """One row per component: key and subject of the earliest letter, dates, size.
 

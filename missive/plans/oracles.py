@@ -422,6 +422,19 @@ decided AS (
   FROM valid v LEFT JOIN winner w USING (package_id, cited_ref_normalized)),
 accepted AS (SELECT * FROM decided WHERE NOT late)"""
 
+RELINKED = """
+taught AS (SELECT package_id, cited_ref_normalized, arg_max(candidate_letter_id, confirmed_at) AS letter_id FROM accepted GROUP BY 1, 2),
+judged AS (
+  SELECT l.*, d.candidate_letter_id AS chosen, CASE WHEN (l.rule IS NULL OR l.rule = 'serial_anchored')
+    AND t.letter_id <> l.citing_letter_id THEN t.letter_id END AS known_as
+  FROM links l LEFT JOIN accepted d USING (package_id, citing_letter_id, cited_ref_normalized)
+  LEFT JOIN taught t ON t.package_id = l.package_id AND t.cited_ref_normalized = l.cited_ref_normalized),
+relinked AS (
+  SELECT package_id, citing_letter_id, cited_ref_normalized, coalesce(chosen, known_as, cited_letter_id) AS cited_letter_id,
+    CASE WHEN coalesce(chosen, known_as) IS NOT NULL THEN 'resolved' ELSE resolution END AS resolution,
+    CASE WHEN chosen IS NOT NULL THEN 'human' WHEN known_as IS NOT NULL THEN 'alias' ELSE resolution_source END AS resolution_source
+  FROM judged)"""
+
 STORED_THREADS = """
 known_thread AS (
   SELECT package_id, thread_key, 'old subject' AS subject, first_dated, last_dated, 99 AS letter_count, 4 AS thread_version
@@ -790,16 +803,10 @@ SQL: dict[str, str] = {
         candidate_letter_id AS cited_letter_id, 'resolved' AS resolution FROM accepted""",
     "e10_learned_aliases": f"""{WITH_LINKS}, {CONFIRMATIONS} SELECT package_id, cited_ref_normalized,
         arg_max(candidate_letter_id, confirmed_at) AS letter_id FROM accepted GROUP BY 1, 2""",
-    "e10_reresolved_links": f"""{WITH_LINKS}, {CONFIRMATIONS},
-        taught AS (SELECT package_id, cited_ref_normalized, arg_max(candidate_letter_id, confirmed_at) AS letter_id FROM accepted GROUP BY 1, 2),
-        judged AS (SELECT l.*, d.candidate_letter_id AS chosen, CASE WHEN (l.rule IS NULL OR l.rule = 'serial_anchored')
-            AND t.letter_id <> l.citing_letter_id THEN t.letter_id END AS known_as
-          FROM links l LEFT JOIN accepted d USING (package_id, citing_letter_id, cited_ref_normalized)
-          LEFT JOIN taught t ON t.package_id = l.package_id AND t.cited_ref_normalized = l.cited_ref_normalized)
-        SELECT package_id, citing_letter_id, cited_ref_normalized, coalesce(chosen, known_as, cited_letter_id) AS cited_letter_id,
-          CASE WHEN coalesce(chosen, known_as) IS NOT NULL THEN 'resolved' ELSE resolution END AS resolution,
-          CASE WHEN chosen IS NOT NULL THEN 'human' WHEN known_as IS NOT NULL THEN 'alias' ELSE resolution_source END AS resolution_source
-        FROM judged""",
+    "e10_reresolved_links": f"""{WITH_LINKS}, {CONFIRMATIONS}, {RELINKED}
+        SELECT package_id, citing_letter_id, cited_ref_normalized, cited_letter_id, resolution, resolution_source FROM relinked""",
+    "e10_rethreaded": f"""{WITH_LINKS}, {CONFIRMATIONS}, {RELINKED}, {THREADS.replace("FROM links", "FROM relinked")}
+        SELECT package_id, letter_id, thread_key FROM pointed""",
     "e10_rejected_confirmations": f"""{WITH_LINKS}, {CONFIRMATIONS} SELECT package_id, citing_letter_id, cited_ref_normalized,
         candidate_letter_id, confirmed_at, CASE WHEN NOT is_open THEN 'not_ambiguous' ELSE 'not_a_candidate' END AS reason
         FROM weighed WHERE NOT (is_open AND is_candidate)
@@ -807,6 +814,7 @@ SQL: dict[str, str] = {
           'already_resolved_by_alias' FROM decided WHERE late""",
     "e11_package_resolution": f"{WITH_LINKS} SELECT * FROM links",
     "f1_connected_components": f"{WITH_THREADS} SELECT package_id, letter_id, component FROM placed",
+    "f1_updated_components": f"{WITH_THREADS} SELECT package_id, letter_id, component FROM placed",
     "f2_thread_summary": f"{WITH_THREADS} SELECT * FROM thread",
     "f3_f5_thread_versions": f"{WITH_THREADS}, {STORED_THREADS} SELECT * FROM thread_now",
     "f4_membership_log": f"{WITH_THREADS}, {STORED_THREADS} SELECT * FROM log",

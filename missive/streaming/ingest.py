@@ -1,8 +1,8 @@
-"""Incremental ingest: extraction files arrive, letters get serials, touched packages are linked again.
+"""Incremental ingest: extraction files arrive, letters get serials, touched packages are linked and threaded again.
 
-Every micro-batch writes its own partition of each table and reads only earlier ones, so a
-replayed batch overwrites itself and changes nothing else. Links are recomputed for touched
-packages over all their letters: arrival order decides serials, never links.
+Every change (a micro-batch of files, a set of decisions, a set of voided or superseded letters) reads the buckets of the packages
+it touches, and becomes visible at once when it is published; a change that comes again is passed over. Links of touched packages
+are recomputed over all their letters: arrival order decides serials, never links. Threads follow from the links that changed.
 """
 
 from __future__ import annotations
@@ -14,144 +14,210 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import assembly, citations, threads
 from ..session import cut_lineage
 from ..sources.extraction import parse_extractions
+from .store import BUCKETS, Change, Store, Table
 
 ARRIVAL = "package_id BIGINT, document_id STRING, content STRING"
 
+_LINK = (
+    "package_id BIGINT, citing_letter_id STRING, cited_ref_normalized STRING, cited_ref_text STRING, "
+    "cited_letter_id STRING, resolution STRING, resolution_source STRING, rule STRING"
+)
+_THREAD = (
+    "package_id BIGINT, thread_key STRING, subject STRING, first_dated DATE, last_dated DATE, letter_count BIGINT, "
+    "thread_version INT"
+)
+
 TABLES = {
-    "arrivals": "package_id BIGINT, document_id STRING, error STRING",
-    "letters": "package_id BIGINT, document_id STRING, letter_id STRING, serial BIGINT, letter_ref STRING, "
-    "dated DATE, received DATE, subject STRING, from_code STRING, to_code STRING, direction STRING, "
-    "page_from INT, page_to INT, is_current BOOLEAN, is_voided BOOLEAN",
-    "fields": "package_id BIGINT, document_id STRING, letter_id STRING, field_key STRING, field_index INT, "
-    "value STRING, verbatim STRING, page INT",
-    "repeats": "package_id BIGINT, document_id STRING, candidate INT, letter_ref STRING, existing_letter_id STRING",
-    "citations": "package_id BIGINT, citing_letter_id STRING, cited_ref_normalized STRING, cited_ref_text STRING, "
-    "cited_letter_id STRING, resolution STRING, resolution_source STRING, rule STRING",
-    "scored": "package_id BIGINT, citing_letter_id STRING, cited_ref_normalized STRING, "
-    "candidate_letter_id STRING, match_method STRING, match_score DOUBLE",
-    "exact": "package_id BIGINT, cited_ref_normalized STRING, candidate_letter_id STRING",
-    "memberships": "package_id BIGINT, thread_key STRING, letter_id STRING",
-    # what people decided, recorded between batches; never rewritten
-    "decisions": "package_id BIGINT, citing_letter_id STRING, cited_ref_normalized STRING, cited_ref_text STRING, "
-    "cited_letter_id STRING, resolution STRING, resolution_source STRING, rule STRING",
-    "aliases": "package_id BIGINT, cited_ref_normalized STRING, letter_id STRING, decided BIGINT",
+    "arrivals": Table("package_id BIGINT, document_id STRING, error STRING, batch BIGINT"),
+    "letters": Table(
+        "package_id BIGINT, document_id STRING, letter_id STRING, serial BIGINT, letter_ref STRING, "
+        "dated DATE, received DATE, subject STRING, from_code STRING, to_code STRING, direction STRING, "
+        "page_from INT, page_to INT, is_current BOOLEAN, is_voided BOOLEAN, batch BIGINT"
+    ),
+    # the latest row of a letter holds
+    "letter_states": Table("package_id BIGINT, letter_id STRING, is_current BOOLEAN, is_voided BOOLEAN, decided BIGINT"),
+    "fields": Table(
+        "package_id BIGINT, document_id STRING, letter_id STRING, field_key STRING, field_index INT, "
+        "value STRING, verbatim STRING, page INT"
+    ),
+    "repeats": Table("package_id BIGINT, document_id STRING, candidate INT, letter_ref STRING, existing_letter_id STRING"),
+    "citations": Table(_LINK, replaced=True),
+    "scored": Table(
+        "package_id BIGINT, citing_letter_id STRING, cited_ref_normalized STRING, "
+        "candidate_letter_id STRING, match_method STRING, match_score DOUBLE",
+        replaced=True,
+    ),
+    "exact": Table("package_id BIGINT, cited_ref_normalized STRING, candidate_letter_id STRING", replaced=True),
+    "components": Table("package_id BIGINT, letter_id STRING, component STRING", replaced=True),
+    "threads": Table(_THREAD, replaced=True),
+    # what threads showed, never rewritten
+    "thread_versions": Table(f"{_THREAD}, change BIGINT"),
+    "memberships": Table("package_id BIGINT, thread_key STRING, thread_version INT, letter_id STRING, change BIGINT"),
+    # what people decided, never rewritten
+    "decisions": Table(_LINK),
+    "aliases": Table("package_id BIGINT, cited_ref_normalized STRING, letter_id STRING, decided BIGINT"),
 }
 
 
-def create_store(spark: SparkSession, store: str) -> None:
-    for name, schema in TABLES.items():
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{store}/{name}/batch=-1")
+def open_store(spark: SparkSession, store: str) -> Store:
+    return Store(spark, store, TABLES)
+
+
+def create_store(spark: SparkSession, store: str, buckets: int = BUCKETS) -> Store:
+    return Store.create(spark, store, TABLES, buckets)
 
 
 def stored(spark: SparkSession, store: str, name: str) -> DataFrame:
-    return spark.read.schema(f"{TABLES[name]}, batch BIGINT").parquet(f"{store}/{name}")
+    """A table as last published."""
+    return open_store(spark, store).read(name)
 
 
-def current_links(spark: SparkSession, store: str, name: str = "citations") -> DataFrame:
-    """Rows each package had when it was last linked (citations, scored, exact or memberships).
+def _with_states(letters: DataFrame, states: DataFrame) -> DataFrame:
+    """Letters as their latest state shows them."""
+    latest = states.groupBy("package_id", "letter_id").agg(
+        F.max_by(F.struct("is_current", "is_voided"), "decided").alias("now")
+    )
+    columns = letters.columns
+    return letters.join(latest, ["package_id", "letter_id"], "left").withColumns(
+        {c: F.coalesce(f"now.{c}", c) for c in ("is_current", "is_voided")}
+    ).select(columns)
 
-    Citations decided since then show the decision.
 
-    The letters of a batch name its touched packages, so a package linked without result is
-    not shown with older rows.
-    """
-    last = stored(spark, store, "arrivals").groupBy("package_id").agg(F.max("batch").alias("batch"))
-    rows = stored(spark, store, name).join(last, ["package_id", "batch"]).drop("batch")
-    if name != "citations":
-        return rows
-    decided = stored(spark, store, "decisions").drop("batch")
-    return rows.join(decided, citations.CITATION, "left_anti").unionByName(decided)
+def current_letters(spark: SparkSession, store: str) -> DataFrame:
+    """Letters with their state and the key of their thread."""
+    opened = open_store(spark, store)
+    letters = _with_states(opened.read("letters"), opened.read("letter_states"))
+    members = opened.read("memberships")
+    now = opened.read("threads").where("letter_count > 0")
+    shown = members.join(now, ["package_id", "thread_key", "thread_version"], "left_semi").select("package_id", "letter_id", "thread_key")
+    return letters.join(shown, ["package_id", "letter_id"], "left")
+
+
+def current_links(spark: SparkSession, store: str, name: str = "citations") -> DataFrame:
+    """Rows each package had when it was last linked (citations, scored, exact, components or threads)."""
+    return stored(spark, store, name)
 
 
 def candidates(spark: SparkSession, store: str) -> DataFrame:
-    return citations.candidate_rows(
-        *(current_links(spark, store, name) for name in ("citations", "scored", "exact"))
+    """All candidates of all citations: a view for reading, ask for single packages or citations."""
+    opened = open_store(spark, store)
+    return citations.candidate_rows(*(opened.read(name) for name in ("citations", "scored", "exact")))
+
+
+def _latest_aliases(aliases: DataFrame) -> DataFrame:
+    return aliases.groupBy("package_id", "cited_ref_normalized").agg(
+        F.max_by("letter_id", F.struct("decided", "letter_id")).alias("letter_id")
     )
 
 
-def latest_aliases(spark: SparkSession, store: str) -> DataFrame:
-    return (
-        stored(spark, store, "aliases")
-        .groupBy("package_id", "cited_ref_normalized")
-        .agg(F.max_by("letter_id", F.struct("decided", "letter_id")).alias("letter_id"))
+def _link_and_thread(change: Change) -> None:
+    """Links, threads and their versions of the touched packages, from their letters, fields and decisions."""
+    letters = cut_lineage(_with_states(change.read("letters"), change.read("letter_states")))
+    cited = change.read("fields").where("field_key = 'cited_ref'")
+    links_before = change.read("citations").where("resolution = 'resolved'").select(
+        "package_id", F.col("citing_letter_id").alias("src"), F.col("cited_letter_id").alias("dst")
+    )
+    components_before, threads_before = change.read("components"), change.read("threads")
+    resolved = citations.resolve(
+        citations.live_mentions(cited, letters), letters, _latest_aliases(change.read("aliases"))
     )
+    decided = change.read("decisions")
+    undecided = resolved.citations.join(decided, citations.CITATION, "left_anti")
+    links = change.replace("citations", undecided.unionByName(decided))
+    change.replace("scored", resolved.scored)
+    change.replace("exact", resolved.exact)
+    components = change.replace(
+        "components", threads.updated_components(components_before, links_before, letters, links)
+    )
+    summary = cut_lineage(threads.summarize_threads(letters, components))
+    # a thread without letters keeps its row, with a count of zero
+    now = change.replace("threads", threads.upsert_threads(threads_before, summary))
+    number = F.lit(change.store.version + 1)
+    fresh = now.join(threads_before, threads_before.columns, "left_anti")
+    change.append("thread_versions", fresh.withColumn("change", number))
+    members = threads.memberships(now, summary, components)
+    change.append("memberships", members.withColumn("change", number))
 
 
 def record_confirmations(spark: SparkSession, store: str, confirmations: DataFrame, number: int) -> DataFrame:
     """Stores the valid ones of `confirmations` as set `number` -> the rejected ones.
 
-    Every set has its own number; one that is in the store already is left as it is, and nothing is rejected. The decided
-    links show at once, the aliases link other letters when their package is linked next.
+    The packages of the confirmations are linked again with the aliases these teach, and threaded again. Only the candidates
+    asked for are looked up. A set that is in the store already is left as it is, and nothing is rejected.
     """
-    current, offered = cut_lineage(current_links(spark, store)), cut_lineage(candidates(spark, store))
-    if not stored(spark, store, "decisions").where(F.col("batch") == number).isEmpty():
-        return citations.confirm(current, offered, confirmations)[2].limit(0)
-    linked, aliases, rejected = citations.confirm(current, offered, confirmations)
+    opened = open_store(spark, store)
+    batch = f"decisions-{number:012d}"
+    change = Change(opened, batch, confirmations)
+    current = change.read("citations").join(confirmations.select(*citations.CITATION).distinct(), citations.CITATION, "left_semi")
+    offered = citations.asked_candidates(confirmations, current, change.read("scored"), change.read("exact"))
+    current = cut_lineage(current)
+    linked, aliases, rejected = citations.confirm(current, cut_lineage(offered), confirmations)
+    if batch in opened.published:
+        return rejected.limit(0)
+    rejected = cut_lineage(rejected)
     fresh = linked.where("resolution_source = 'human'").join(
         current.where("resolution_source = 'human'"), citations.CITATION, "left_anti"
     )
-    # the decisions come last: with them the set is in the store
-    for name, rows in (("aliases", aliases.withColumn("decided", F.lit(number))), ("decisions", fresh)):
-        columns = [c.split()[0] for c in TABLES[name].split(", ")]
-        rows.select(*columns).write.mode("overwrite").parquet(f"{store}/{name}/batch={number}")
+    change.append("aliases", aliases.withColumn("decided", F.lit(number).cast("long")))
+    change.append("decisions", fresh)
+    _link_and_thread(change)
+    change.publish()
     return rejected
 
 
+def record_states(spark: SparkSession, store: str, states: DataFrame, number: int) -> None:
+    """Voided, superseded or revived letters (package_id, letter_id, is_current, is_voided) as set `number`.
+
+    Serials stay with their letters. A set that is in the store already is passed over.
+    """
+    opened = open_store(spark, store)
+    batch = f"states-{number:012d}"
+    if batch in opened.published:
+        return
+    change = Change(opened, batch, states)
+    # sets follow one another in the order they are published
+    change.append("letter_states", states.withColumn("decided", F.lit(opened.version + 1).cast("long")))
+    _link_and_thread(change)
+    change.publish()
+
+
 def letter_id() -> Column:
     return F.sha2(F.concat_ws("|", "package_id", "document_id", "candidate"), 256)
 
 
 def ingest_batch(arrived: DataFrame, batch: int, store: str, parties: DataFrame) -> None:
     spark = arrived.sparkSession
-
-    def write(df: DataFrame, name: str) -> None:
-        columns = [c.split()[0] for c in TABLES[name].split(", ")]
-        df.select(*columns).write.mode("overwrite").parquet(f"{store}/{name}/batch={batch}")
-
-    def before(name: str) -> DataFrame:
-        return stored(spark, store, name).where(F.col("batch") < batch).drop("batch")
-
+    opened = open_store(spark, store)
+    name = f"files-{batch:012d}"
+    if name in opened.published:
+        return
     key = ["package_id", "document_id"]
-    read_already = before("arrivals").where("error IS NULL").select(*key)
+    change = Change(opened, name, arrived)
+    read_already = change.read("arrivals").where("error IS NULL").select(*key)
     fresh = cut_lineage(
         arrived.groupBy(*key).agg(F.min("content").alias("content")).join(read_already, key, "left_anti")
     )
-    touched = fresh.select("package_id").distinct()
     parsed = parse_extractions(fresh)
-    write(fresh.join(parsed.errors, key, "left"), "arrivals")
-
-    held = before("letters").join(touched, "package_id", "left_semi")
+    number = F.lit(batch).cast("long")
+    held = _with_states(change.read("letters"), change.read("letter_states")).drop("batch")
+    change.append("arrivals", fresh.join(parsed.errors, key, "left").withColumn("batch", number))
     filled, _ = assembly.split_blank(parsed.candidates)
     merged = assembly.merge_existing(filled, held)
-    counters = touched.join(
+    counters = change.packages.join(
         held.groupBy("package_id").agg(F.max("serial").alias("last")), "package_id", "left"
     ).select("package_id", (F.coalesce("last", F.lit(0)) + 1).alias("next_serial"))
     numbered, _ = assembly.assign_serials(assembly.resolve_parties(merged.fresh, parties), counters)
-    letters = numbered.withColumns(
-        {"letter_id": letter_id(), "is_current": F.lit(True), "is_voided": F.lit(False)}
+    change.append(
+        "letters",
+        numbered.withColumns(
+            {"letter_id": letter_id(), "is_current": F.lit(True), "is_voided": F.lit(False), "batch": number}
+        ),
     )
-    write(letters, "letters")
-    write(merged.repeats, "repeats")
+    change.append("repeats", merged.repeats)
     kept = merged.fresh.select(*key, "candidate", letter_id().alias("letter_id"))
-    write(parsed.fields.join(kept, [*key, "candidate"], "left"), "fields")
-
-    def upto(name: str) -> DataFrame:
-        rows = stored(spark, store, name).where(F.col("batch") <= batch).drop("batch")
-        return rows.join(touched, "package_id", "left_semi")
-
-    everything = upto("letters")
-    cited = upto("fields").where("field_key = 'cited_ref'")
-    aliases = latest_aliases(spark, store).join(touched, "package_id", "left_semi")
-    resolved = citations.resolve(citations.live_mentions(cited, everything), everything, aliases)
-    decided = stored(spark, store, "decisions").drop("batch").join(touched, "package_id", "left_semi")
-    undecided = resolved.citations.join(decided, citations.CITATION, "left_anti")
-    write(undecided.unionByName(decided), "citations")
-    write(resolved.scored, "scored")
-    write(resolved.exact, "exact")
-    links = stored(spark, store, "citations").where(F.col("batch") == batch).drop("batch")
-    components = threads.thread_components(everything, links)
-    summary = threads.summarize_threads(everything, components)
-    write(components.join(summary, ["package_id", "component"]), "memberships")
+    change.append("fields", parsed.fields.join(kept, [*key, "candidate"], "left"))
+    _link_and_thread(change)
+    change.publish()
 
 
 def start_ingest(
@@ -161,9 +227,10 @@ def start_ingest(
     checkpoint: str,
     parties: DataFrame,
     files_per_batch: int = 1000,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Reads everything that has arrived, in micro-batches, and stops; run again for later files."""
-    create_store(spark, store)
+    create_store(spark, store, buckets)
     arrived = (
         spark.readStream.schema(ARRIVAL).option("maxFilesPerTrigger", files_per_batch).json(source)
     )
