@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.fields import format_date, parse_chainage, search_words, suggestion_text
 from ..functions.refs import strip_space
+from ..session import cut_lineage
 from .ordering import previous_in_order
 from .ranges import overlap_pairs
 
-# Words that never become suggestions.
-STOPWORDS = (
-    "the of and for to in on at a an is are as with from by or be it its this that under into "
-    "reg sub ref dated sir madam please shall may no"
-).split()
+# Vectors a search compares at once: queries of a lot, vectors that give bounds, vectors that split blocks.
+QUERY_LOT = 32_768
+SEEDS = 2048
+PIVOTS = 32
 
+# Words that never become suggestions.
+STOPWORDS = [
+    "the", "of", "and", "for", "to", "in", "on", "at", "a", "an", "is", "are",
+    "as", "with", "from", "by", "or", "be", "it", "its", "this", "that", "under", "into",
+    "reg", "sub", "ref", "dated", "sir", "madam", "please", "shall", "may", "no",
+]
 
 
 def filter_register(
@@ -239,34 +249,81 @@ def match_suggestions(index: DataFrame, query: str, limit: int = 8) -> DataFrame
     )
 
 
-def semantic_nearest(embeddings: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> DataFrame:
-    """The k embeddings closest to each query by cosine, marked as not authoritative.
+def _unit_vectors(vectors: DataFrame) -> DataFrame:
+    """vec_id and vector as doubles of those that have a direction: no missing or not finite entry, not all zero."""
+    whole = F.transform("embedding", lambda x: x.cast("double"))
+    usable = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return vectors.select("vec_id", whole.alias("v")).where(usable & F.exists("v", lambda x: x != 0))
 
-    Query vectors come with the call and are literals, so nothing is joined or broadcast. Ranks
-    are limited in each task before the shuffle.
-    """
-    asked = F.array(
-        *[
-            F.struct(F.lit(i).cast("long").alias("query_id"), F.array(*[F.lit(float(x)) for x in v]).alias("q"))
-            for i, v in queries
-        ]
-    )
 
-    def dot(a: Column, b: Column) -> Column:
-        return F.aggregate(
-            F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x
+def semantic_nearest(embeddings: DataFrame, queries: DataFrame, k: int, lot: int = QUERY_LOT) -> DataFrame:
+    """The k embeddings closest to each query vector by cosine, equal ones by number; marked as not authoritative.
+
+    `embeddings` and `queries` have vec_id and embedding, of one length. Queries are taken in lots of bounded size, each of which
+    is scored in blocks against every vector in one pass; a task hands on its best k of each query. Before that, each query gets
+    a bound: its k-th best among a fixed number of vectors. The vectors of a block are split among pivots, and a query skips
+    those whose angle to their pivot differs from its own by more than its bound allows (triangle inequality of angles), so
+    nothing is lost. Vectors without direction are neither found nor asked for.
+    """
+    vectors, asked = _unit_vectors(embeddings), _unit_vectors(queries)
+    # the lowest hashes: the same vectors at every run, at most SEEDS of them
+    seeds = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SEEDS).collect()
+    if not seeds:
+        return embeddings.sparkSession.createDataFrame(
+            [], "query_id long, vec_id long, similarity double, rank int, authoritative boolean"
         )
 
-    v, q = F.col("embedding"), F.col("asked.q")
+    def unit(rows: list) -> np.ndarray:
+        matrix = np.array(rows, dtype=np.float64)
+        return matrix / np.linalg.norm(matrix, axis=1)[:, None]
+
+    known = unit([r.v for r in seeds])
+    pivots = known[:PIVOTS]
+    lots = max(1, -(-asked.count() // lot))
+    numbered = cut_lineage(asked.withColumn("lot", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(lots))))
+    best = None
+    for number in range(lots):
+        # about `lot` queries of one vector each, whatever the number of vectors
+        part = numbered.where(F.col("lot") == number).collect()
+        if not part:
+            continue
+        ids, wanted = np.array([r.vec_id for r in part], dtype=np.int64), unit([r.v for r in part])
+        angles = np.arccos(np.clip(wanted @ pivots.T, -1, 1))
+        reached = np.sort(wanted @ known.T, axis=1)[:, -k] if len(known) >= k else np.full(len(part), -1.0)
+        # ranks go by rounded similarity
+        bound = reached - 2e-6
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                numbers = batch.column(0).to_numpy(zero_copy_only=False)
+                rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(numbers), -1)
+                rows = rows / np.linalg.norm(rows, axis=1)[:, None]
+                to_pivots = rows @ pivots.T
+                cell = to_pivots.argmax(axis=1)
+                found = []
+                for c in np.unique(cell):
+                    own = np.flatnonzero(cell == c)
+                    angle = np.arccos(np.clip(to_pivots[own, c], -1, 1))
+                    gap = np.maximum(0, np.maximum(angles[:, c] - angle.max(), angle.min() - angles[:, c]))
+                    open_ = np.flatnonzero(np.cos(gap) >= bound)
+                    similarity = np.round(wanted[open_] @ rows[own].T, 6)
+                    q, v = np.nonzero(similarity >= bound[open_][:, None])
+                    found.append((open_[q], numbers[own[v]], similarity[q, v]))
+                q, v, similarity = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((v, -similarity, q))
+                q, v, similarity = q[order], v[order], similarity[order]
+                first = np.searchsorted(q, q, side="left")
+                top = np.arange(len(q)) - first < k
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[q[top]]), pa.array(v[top]), pa.array(similarity[top])], ["query_id", "vec_id", "similarity"]
+                )
+
+        scored = vectors.mapInArrow(score, "query_id long, vec_id long, similarity double")
+        best = scored if best is None else best.unionByName(scored)
     by_rank = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
+    best = best if best is not None else vectors.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("similarity")).limit(0)
     return (
-        embeddings.select("vec_id", "embedding", F.explode(asked).alias("asked"))
-        .select(
-            F.col("asked.query_id").alias("query_id"),
-            "vec_id",
-            F.round(dot(v, q) / F.sqrt(dot(v, v) * dot(q, q)), 6).alias("similarity"),
-        )
-        .withColumn("rank", F.row_number().over(by_rank))
+        best.withColumn("rank", F.row_number().over(by_rank))
         .where(F.col("rank") <= k)
         .withColumn("authoritative", F.lit(False))
     )

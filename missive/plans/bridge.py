@@ -86,26 +86,24 @@ def cited(letters: DataFrame) -> DataFrame:
     )
 
 
-def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page and one claimed quote per document; a fifth each exact, doubled blanks,
-    absent, line breaks for blanks, empty."""
-    at = (F.lit(1) + F.col("doc_id") % 50).cast("int")
+CLAIMS_A_PAGE = 3
+
+
+def page_claims(page_ocr: DataFrame) -> DataFrame:
+    """Quotes claimed to stand on every assembled page, from places all over its text; a fifth each exact, with doubled blanks,
+    absent, with line breaks for blanks, empty."""
+    n = F.col("document_id") * 7919 + F.col("page_no") * 104_729 + F.col("claim_no") * 15_485_863
+    at = (1 + (n % 1_000_003) % F.greatest(F.length("text") - 20, F.lit(1))).cast("int")
+    kind = F.floor((n % 1_000_003) / 7) % 5
     quote = (
-        F.when(F.col("doc_id") % 5 == 0, F.substring("text", at, F.lit(20)))
-        .when(
-            F.col("doc_id") % 5 == 1,
-            F.replace(F.substring("text", at, F.lit(20)), F.lit(" "), F.lit("  ")),
-        )
-        .when(F.col("doc_id") % 5 == 2, "ZZZ not there")
-        .when(
-            F.col("doc_id") % 5 == 3,
-            F.replace(F.substring("text", at, F.lit(30)), F.lit(" "), F.lit("\n")),
-        )
+        F.when(kind == 0, F.substring("text", at, F.lit(20)))
+        .when(kind == 1, F.replace(F.substring("text", at, F.lit(20)), F.lit(" "), F.lit("  ")))
+        .when(kind == 2, "ZZZ not there")
+        .when(kind == 3, F.replace(F.substring("text", at, F.lit(30)), F.lit(" "), F.lit("\n")))
         .otherwise("")
     )
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", F.col("text").alias("page_text"), quote.alias("verbatim")
-    )
+    claims = page_ocr.withColumn("claim_no", F.explode(F.sequence(F.lit(0), F.lit(CLAIMS_A_PAGE - 1))))
+    return claims.select("document_id", F.col("page_no").alias("page"), "claim_no", quote.alias("verbatim"))
 
 
 # Positions of the fields of a letter in its field ids.

@@ -39,15 +39,7 @@ cited AS (
          WHEN letter_id % 10 = 8 THEN CONCAT('ZZ/NOTHELD/', LPAD(CAST(letter_id AS VARCHAR(20)), 7, '9'))
          ELSE CONCAT(SUBSTR(t, 1, LENGTH(t) - 2), '99') END AS cited_text
   FROM (SELECT letter_id, package_id, LAG(letter_ref) OVER (PARTITION BY cust ORDER BY od, letter_id) AS t FROM letters) x
-  WHERE t IS NOT NULL AND letter_id % 11 <> 0),
-page_fields AS (
-  SELECT doc_id, text AS page_text,
-    CASE WHEN doc_id % 5 = 0 THEN SUBSTR(text, 1 + CAST(doc_id % 50 AS INT), 20)
-         WHEN doc_id % 5 = 1 THEN REPLACE(SUBSTR(text, 1 + CAST(doc_id % 50 AS INT), 20), ' ', '  ')
-         WHEN doc_id % 5 = 2 THEN 'ZZZ not there'
-         WHEN doc_id % 5 = 3 THEN REPLACE(SUBSTR(text, 1 + CAST(doc_id % 50 AS INT), 30), ' ', CHR(10))
-         ELSE '' END AS verbatim
-  FROM documents)"""
+  WHERE t IS NOT NULL AND letter_id % 11 <> 0)"""
 
 
 def _bare(x: str) -> str:
@@ -541,28 +533,34 @@ b AS (
     CASE WHEN letter_id % 91 = 0 THEN 'OTHER' ELSE thread_key END AS thread_key FROM pointed WHERE letter_id % 333 <> 0)"""
 
 LOCATED = """
-claim AS (SELECT doc_id AS document_id, verbatim FROM page_fields),
+placed_claim AS (
+  SELECT p.document_id, p.page_no, p.text, c.claim_no,
+    (p.document_id * 7919 + p.page_no * 104729 + c.claim_no * 15485863) % 1000003 AS h
+  FROM page p CROSS JOIN (SELECT unnest([0, 1, 2]) AS claim_no) c),
+claim AS (
+  SELECT *, CASE h // 7 % 5
+      WHEN 0 THEN substr(text, begins, 20) WHEN 1 THEN replace(substr(text, begins, 20), ' ', '  ') WHEN 2 THEN 'ZZZ not there'
+      WHEN 3 THEN replace(substr(text, begins, 30), ' ', chr(10)) ELSE '' END AS verbatim
+  FROM (SELECT *, CAST(1 + h % greatest(length(text) - 20, 1) AS BIGINT) AS begins FROM placed_claim)),
 found AS (
-  SELECT c.document_id, c.verbatim, p.text,
-    strpos(p.text, c.verbatim) AS found_at,
-    trim(regexp_replace(c.verbatim, '\\s+', ' ', 'g')) AS loose,
-    strpos(regexp_replace(p.text, '\\s+', ' ', 'g'), trim(regexp_replace(c.verbatim, '\\s+', ' ', 'g'))) AS loose_at
-  FROM claim c LEFT JOIN page p ON p.document_id = c.document_id AND p.page_no = 1),
+  SELECT *, strpos(text, verbatim) AS found_at,
+    CASE WHEN trim(regexp_replace(verbatim, '\\s+', ' ', 'g')) <> '' THEN regexp_extract(text,
+      replace(regexp_escape(trim(regexp_replace(verbatim, '\\s+', ' ', 'g'))), '\\ ', '\\s+')) ELSE '' END AS loose
+  FROM claim),
 located AS (
-  SELECT document_id,
-    CASE WHEN verbatim = '' OR text IS NULL THEN 'unresolved' WHEN found_at > 0 THEN 'exact'
-         WHEN loose <> '' AND loose_at > 0 THEN 'normalized_exact' ELSE 'unresolved' END AS validation,
-    CASE WHEN verbatim = '' OR text IS NULL THEN NULL WHEN found_at > 0 THEN found_at - 1
-         WHEN loose <> '' AND loose_at > 0 THEN loose_at - 1 END AS char_start,
-    CASE WHEN verbatim = '' OR text IS NULL THEN NULL WHEN found_at > 0 THEN found_at - 1 + length(verbatim)
-         WHEN loose <> '' AND loose_at > 0 THEN loose_at - 1 + length(loose) END AS char_end
+  SELECT document_id, page_no, claim_no,
+    CASE WHEN verbatim = '' THEN 'unresolved' WHEN found_at > 0 THEN 'exact'
+         WHEN loose <> '' THEN 'normalized_exact' ELSE 'unresolved' END AS validation,
+    CASE WHEN verbatim = '' THEN NULL WHEN found_at > 0 THEN found_at - 1 WHEN loose <> '' THEN strpos(text, loose) - 1 END AS char_start,
+    CASE WHEN verbatim = '' THEN NULL WHEN found_at > 0 THEN found_at - 1 + length(verbatim)
+         WHEN loose <> '' THEN strpos(text, loose) - 1 + length(loose) END AS char_end
   FROM found),
 touched AS (
-  SELECT l.document_id, l.validation, l.char_start, l.char_end, count(t.i) AS n_rects,
+  SELECT l.document_id, l.page_no, l.claim_no, l.validation, l.char_start, l.char_end, count(t.i) AS n_rects,
     min(t.word_no * 60 / 1000.0) AS x0, min(t.line_no % 20 * 40 / 2000.0) AS y0,
     max(t.word_no * 60 / 1000.0 + length(t.w) * 8 / 1000.0) AS x1, max(t.line_no % 20 * 40 / 2000.0 + 30 / 2000.0) AS y1,
     arg_min(t.word_no * 60 / 1000.0, t.i) AS first_x
-  FROM located l LEFT JOIN placed_token t ON t.document_id = l.document_id AND t.page_no = 1
+  FROM located l LEFT JOIN placed_token t ON t.document_id = l.document_id AND t.page_no = l.page_no
     AND t.char_end - length(t.w) < l.char_end AND t.char_end > l.char_start
   GROUP BY ALL)"""
 
@@ -643,16 +641,15 @@ SQL: dict[str, str] = {
         SELECT package_id, sha256, 'REF/' || (arrival % 7) AS letter_ref, count(*) AS merged FROM classified
         WHERE arrival % 5 = 0 GROUP BY ALL""",
     "a10_snapshot_sink": f"{ONLY_BRIDGE} SELECT package_id, letter_id, serial, letter_ref FROM letters",
-    "c1_verbatim_location": f"""{ONLY_BRIDGE},
-        page AS (SELECT doc_id AS document_id, 1 AS page_no, page_text AS text FROM page_fields), {LOCATED.split("touched AS")[0].rstrip().rstrip(",")}
-        SELECT * FROM located""",
-    "c2_span_rectangles": f"""{ONLY_BRIDGE}, {WORDS}, {LOCATED}
-        SELECT document_id, n_rects, round(x0, 6) AS box_x, round(y0, 6) AS box_y, round(x1 - x0, 6) AS box_w,
-          round(y1 - y0, 6) AS box_h, round(first_x, 6) AS first_x FROM touched WHERE n_rects > 0""",
-    "c3_stored_fields": f"""{ONLY_BRIDGE}, {WORDS}, {LOCATED}
-        SELECT document_id, CASE WHEN ok THEN validation ELSE 'unresolved' END AS validation,
+    "c1_verbatim_location": f"""{WITH_WORDS}, {LOCATED}
+        SELECT document_id, page_no AS page, claim_no, validation, char_start, char_end FROM located""",
+    "c2_span_rectangles": f"""{WITH_WORDS}, {LOCATED}
+        SELECT document_id, page_no AS page, claim_no, n_rects, round(x0, 6) AS box_x, round(y0, 6) AS box_y,
+          round(x1 - x0, 6) AS box_w, round(y1 - y0, 6) AS box_h, round(first_x, 6) AS first_x FROM touched WHERE n_rects > 0""",
+    "c3_stored_fields": f"""{WITH_WORDS}, {LOCATED}
+        SELECT document_id, page_no AS claimed, claim_no, CASE WHEN ok THEN validation ELSE 'unresolved' END AS validation,
           CASE WHEN ok THEN char_start END AS char_start, CASE WHEN ok THEN char_end END AS char_end,
-          CASE WHEN ok THEN 1 END AS page_no, CASE WHEN ok THEN n_rects ELSE 0 END AS n_rects
+          CASE WHEN ok THEN page_no END AS page_no, CASE WHEN ok THEN n_rects ELSE 0 END AS n_rects
         FROM (SELECT *, n_rects > 0 AND document_id % 9 <> 0 AS ok FROM touched)""",
     "c4_token_audit": f"""{WITH_WORDS},
         numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_no ORDER BY i) - 1 AS token_no,
@@ -910,7 +907,7 @@ SQL: dict[str, str] = {
     "h11_semantic_nearest": """
         WITH pair AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[])
             / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS similarity
-          FROM embeddings q JOIN embeddings v ON q.vec_id IN (0, 7, 42))
+          FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0)
         SELECT query_id, vec_id, similarity, rank, false AS authoritative FROM (SELECT *, row_number() OVER (PARTITION BY query_id
           ORDER BY similarity DESC, vec_id) AS rank FROM pair) WHERE rank <= 10""",
     "h12_needs_review_register": f"""{LINKS_AND_FIELDS}, {LETTER_STATUS}
