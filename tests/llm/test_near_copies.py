@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -53,6 +54,41 @@ def test_components_equal_all_pairs(spark, monkeypatch, crowd):
     assert {r.doc_id: r.component_id for r in got} == label and len(got) == len(docs) and len(pairs) > 50
 
 
+def test_counts_never_rule_out_a_similar_pair():
+    rng = random.Random(3)
+    passed = 0
+    for _ in range(300):
+        a = [rng.getrandbits(40) for _ in range(rng.choice([1, 5, 60, 700, 4000]))]
+        b = rng.sample(a, rng.randint(0, len(a))) + [rng.getrandbits(40) for _ in range(rng.randint(0, len(a)))]
+        sets = [np.array(sorted(set(x)), dtype=np.int64) for x in (a, b)]
+        common = len(set(a) & set(b))
+        bound = near_copies.most_shared(*map(near_copies._counts, sets))
+        assert bound >= common
+        passed += bound * 9 >= 4 * (len(sets[0]) + len(sets[1])) > 0
+    assert 0 < passed < 200
+    assert near_copies.most_shared(near_copies._counts(np.zeros(300, dtype=np.int64)), b"") > 300
+
+
+def test_shared_sentences_move_few_sets(spark, monkeypatch):
+    """Texts made of common sentences, no two similar: hardly a pair is left for whole sets."""
+    rng = random.Random(5)
+    sentences = [" ".join(f"s{k}w{rng.randrange(9999)}" for _ in range(12)) for k in range(40)]
+    rows = [(i, " ".join(rng.sample(sentences, 10))) for i in range(500)]
+    left = []
+    plausible = near_copies._plausible
+
+    def counted(*args):
+        found = near_copies.cut_lineage(plausible(*args))
+        left.append((args[1].count(), found.count()))
+        return found
+
+    monkeypatch.setattr(near_copies, "_plausible", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    label, _ = lowest(dict(rows))
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()} == label
+    assert sum(n for n, _ in left) > 200 and sum(m for _, m in left) < sum(n for n, _ in left) / 5
+
+
 def test_stage_drops_similar_texts_only(spark):
     docs = planted()
     label, _ = lowest(docs)
