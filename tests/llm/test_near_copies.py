@@ -79,7 +79,7 @@ def test_shared_sentences_move_few_sets(spark, monkeypatch):
 
     def counted(*args):
         found = near_copies.cut_lineage(plausible(*args))
-        left.append((args[1].count(), found.count()))
+        left.append((args[0].count(), found.count()))
         return found
 
     monkeypatch.setattr(near_copies, "_plausible", counted)
