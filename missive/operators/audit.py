@@ -80,6 +80,54 @@ def audit_fields(fields: DataFrame, letters: DataFrame) -> DataFrame:
     )
 
 
+def audit_geometry(fields: DataFrame, key: Column) -> DataFrame:
+    """Offsets and boxes of stored fields: all of them for a located value, none for an unresolved one."""
+    located = F.col("validation").isin("exact", "normalized_exact")
+    place = [F.col(c).isNull() for c in ("bbox", "char_start", "char_end", "page_no")]
+    return _all(
+        [
+            _rows(
+                fields, (F.col("validation") == "unresolved") & ~(place[0] & place[1]),
+                "unresolved fields have no box or offset", "fields", key,
+            ),
+            _rows(
+                fields, located & (place[0] | place[1] | place[2] | place[3]),
+                "located fields have box, offsets and page", "fields", key,
+            ),
+            _rows(fields, located & (F.col("char_end") <= F.col("char_start")), "end behind start", "fields", key),
+        ]
+    )
+
+
+def audit_field_sources(fields: DataFrame, letters: DataFrame, pages: DataFrame) -> DataFrame:
+    """Fields (field_id, run_id, letter_id, page_no) against the letters and the read pages of their own run."""
+    key = F.col("field_id")
+    return _all(
+        [
+            _orphans(
+                fields, letters, {"letter_id": "letter_id", "run_id": "run_id"},
+                "field and letter from one run", "fields", key,
+            ),
+            _orphans(fields, pages, {"run_id": "run_id", "page_no": "page_no"}, "field on a page of its run", "fields", key),
+        ]
+    )
+
+
+def audit_parties(parties: DataFrame, letters: DataFrame, threads: DataFrame) -> DataFrame:
+    """Parties of a package, and the parties and thread of a letter, which belong to the letter's own package."""
+    key, own = F.col("letter_id"), {"package_id": "package_id"}
+    return _all(
+        [
+            _repeated(parties, ["package_id", "short_code"], "one party per short code", "parties"),
+            *[
+                _orphans(letters, parties, {**own, f"{side}_party_id": "party_id"}, f"{side} party of the package", "letters", key)
+                for side in ("from", "to")
+            ],
+            _orphans(letters, threads, {**own, "thread_id": "thread_id"}, "thread of the package", "letters", key),
+        ]
+    )
+
+
 def audit_citations(citations: DataFrame, letters: DataFrame) -> DataFrame:
     key = F.concat_ws("/", "citing_letter_id", "cited_ref_normalized")
     resolved = F.col("resolution") == "resolved"

@@ -950,6 +950,24 @@ SQL: dict[str, str] = {
          "GROUP BY l, field_key, field_index HAVING count(*) > 1"),
         ("field belongs to a letter of its package", "fields", "CAST(field_id AS VARCHAR) FROM faulty WHERE l = -1"),
     ]),
+    "j1_geometry_rules": f"""{WITH_WORDS}, {LOCATED},
+        place AS (SELECT document_id AS d, document_id || '/' || page_no || '/' || claim_no AS k, n_rects > 0 AS ok FROM touched) """
+    + _violations([
+        ("unresolved fields have no box or offset", "fields", "k AS key FROM place WHERE NOT ok AND d % 19 = 0"),
+        ("located fields have box, offsets and page", "fields", "k FROM place WHERE ok AND d % 17 = 0"),
+        ("end behind start", "fields", "k FROM place WHERE ok AND d % 13 = 0"),
+    ]),
+    "j1_source_rules": f"""{WITH_FIELDS} """ + _violations([
+        ("field and letter from one run", "fields", "CAST(field_id AS VARCHAR) AS key FROM fields WHERE field_id % 977 = 0"),
+        ("field on a page of its run", "fields",
+         "CAST(field_id AS VARCHAR) FROM fields WHERE page_no IS NOT NULL AND (field_id % 977 = 0 OR field_id % 967 = 0)"),
+    ]),
+    "j1_party_rules": f"""{WITH_THREADS} """ + _violations([
+        ("one party per short code", "parties", "package_id || '/CTR' AS key FROM (SELECT DISTINCT package_id FROM letters) WHERE package_id % 5 = 0"),
+        ("from party of the package", "letters", "CAST(letter_id AS VARCHAR) FROM letters WHERE letter_id % 211 = 0"),
+        ("to party of the package", "letters", "CAST(letter_id AS VARCHAR) FROM letters WHERE letter_id % 307 = 0"),
+        ("thread of the package", "letters", "CAST(letter_id AS VARCHAR) FROM placed WHERE letter_id % 401 = 0"),
+    ]),
     "j1_citation_rules": f"""{WITH_LINKS},
         faulty AS (SELECT *, CASE WHEN citing_letter_id % 211 = 0 THEN NULL WHEN citing_letter_id % 307 = 0 THEN -5 ELSE cited_letter_id END AS c FROM links) """
     + _violations([

@@ -1018,6 +1018,58 @@ def j1_field_rules(spark, d):
     return audit.audit_fields(faulty, linked(spark, d).letters)
 
 
+@query
+def j1_geometry_rules(spark, d):
+    """Stored claims with planted faults: an end at its start, a box lost, an offset without a place."""
+    n, found = F.col("document_id"), F.col("validation") != "unresolved"
+    claims = _claims(spark, d).withColumn("claimed", F.col("page"))
+    faulty = provenance.build_fields(claims, page_ocr(spark, d)).withColumns(
+        {
+            "char_end": F.when(found & (n % 13 == 0), F.col("char_start")).otherwise(F.col("char_end")),
+            "bbox": F.when(n % 17 != 0, F.col("bbox")),
+            "char_start": F.when(~found & (n % 19 == 0), 0).otherwise(F.col("char_start")),
+        }
+    )
+    return audit.audit_geometry(faulty, F.concat_ws("/", "document_id", "claimed", "claim_no"))
+
+
+@query
+def j1_source_rules(spark, d):
+    """Fields with planted faults: some from a run of another document, some on a page that was not read."""
+    run = F.concat(F.lit("run-"), "document_id")
+    letters = bridged(spark, d).letters.withColumn("run_id", run)
+    pages = letters.select("run_id", F.explode(F.sequence("page_from", "page_to")).alias("page_no"))
+    n, page = F.col("field_id"), F.col("page_no")
+    faulty = extracted_fields(spark, d).select(
+        "field_id", "letter_id",
+        F.when(n % 977 == 0, "run-x").otherwise(run).alias("run_id"),
+        F.when((n % 967 == 0) & page.isNotNull(), 99).otherwise(page).alias("page_no"),
+    )
+    return audit.audit_field_sources(faulty, letters, pages)
+
+
+@query
+def j1_party_rules(spark, d):
+    """Parties and letters with planted faults: a code given twice, parties of another package, a thread that is not there."""
+    held = linked(spark, d)
+    parties = bridge.parties(bridge.packages(held.letters))
+    again = (F.col("package_id") % 5 == 0) & (F.col("short_code") == "AE")
+    parties = parties.withColumn("short_code", F.when(again, "CTR").otherwise(F.col("short_code")))
+    p, k = F.col("package_id"), F.col("letter_id")
+
+    def party(code: str, fault: int) -> F.Column:
+        number = F.when(F.col(code) == "CTR", 0).when(F.col(code) == "AE", 1).otherwise(2)
+        return F.when(k % fault == 0, (p + 1) * 10).otherwise(p * 10 + number)
+
+    letters = held.letters.join(held.components, ["package_id", "letter_id"], "left").select(
+        "package_id", "letter_id",
+        party("from_code", 211).alias("from_party_id"), party("to_code", 307).alias("to_party_id"),
+        F.when((k % 401 == 0) & F.col("component").isNotNull(), -3).otherwise(F.col("component")).alias("thread_id"),
+    )
+    threads_held = held.summary.select("package_id", F.col("component").alias("thread_id"))
+    return audit.audit_parties(parties, letters, threads_held)
+
+
 @query
 def j1_citation_rules(spark, d):
     held = linked(spark, d)
