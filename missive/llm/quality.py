@@ -30,6 +30,8 @@ BUCKETS = 1 << 11
 KEEP_FROM = 0.3
 EM_ROUNDS = 200
 KEPT_WORDS = 200_000
+# signs of a word whose shape is one feature
+LONGEST = 16
 
 # belief before the votes are seen, and its weight as a share of all votes
 BAD_ON_GOOD, BAD_ON_BAD, PRIOR = 0.002, 0.3, 0.5
@@ -70,8 +72,8 @@ def votes(text: str, words: list[str]) -> list[int]:
         vote(sum(map(str.isupper, words)) / n, 0.1, 0.5),
         vote(sum(map(str.isupper, text)) / max(1, letters), 0.15, 0.5),
         vote(sum(map(str.__eq__, words, words[1:])) / n, 0.05, 0.3) if enough else 0,
-        # long texts repeat common words; what counts is how few are left of the first hundred
-        vote(1 - len(set(words[:100])) / min(n, 100), 0.45, 0.7) if enough else 0,
+        # long texts repeat common words; what counts is how few are left of each hundred
+        vote(1 - sum(len(set(words[k : k + 100])) for k in range(0, n, 100)) / n, 0.45, 0.7) if enough else 0,
         vote(text.count("|") / n, 0.02, 0.2),
         vote(sum("|" in line for line in lines) / len(lines), 0.02, 0.5),
         vote(n / (1 + len(ENDS.findall(text))), 40, 150) if enough else 0,
@@ -115,14 +117,16 @@ class Shapes:
     @staticmethod
     def shape(word: str) -> str:
         """Letters as a or A, digits as 0, runs of one sign shortened to two."""
-        return RUNS.sub(r"\1\1", word.translate(SHAPE))[:16]
+        return RUNS.sub(r"\1\1", word.translate(SHAPE))
 
     @staticmethod
     def _bucket(line: str) -> int:
         return zlib.crc32(line.encode()) % (BUCKETS // 2)
 
     def buckets(self, words: list[str]) -> np.ndarray:
-        """Buckets of all features of a text; the first half holds shapes, the second pairs."""
+        """Buckets of all features of a text; the first half holds shapes, the second pairs. Long words count in parts."""
+        if max(map(len, words), default=0) > LONGEST:
+            words = [word[k : k + LONGEST] for word in words for k in range(0, len(word), LONGEST)]
         if len(self.known) > KEPT_WORDS:
             self.known = {}
         known = self.known

@@ -175,3 +175,16 @@ def test_main_text(spark):
         want = "Lost page text here." if r.page_id is None else PAGES[r.page_id][1]
         assert r.text == want, (r.page_id, r.text[:200])
     assert main_text.extract(pages.limit(0)).count() == 0
+
+
+def test_quality_reads_whole_texts():
+    """What comes behind the first hundred words, or the first signs of a text without blanks, counts."""
+    vocabulary = [f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(100)]
+    place = quality.LABELLERS.index("few_words")
+    repeated = vocabulary + ["buy", "now"] * 4000
+    assert quality.votes(" ".join(vocabulary * 4), vocabulary * 4)[place] == 1
+    assert quality.votes(" ".join(repeated), repeated)[place] == -1
+    shapes = quality.Shapes()
+    plain, mixed = "ab" * 500, "ab" * 50 + "a1-B" * 225
+    assert len(shapes.buckets([plain])) == 2 * -(-1000 // 16) - 1
+    assert set(shapes.buckets([mixed]).tolist()) - set(shapes.buckets([plain]).tolist())
