@@ -4,11 +4,15 @@ A batch of texts is cut where no merge can cross (before each run of spaces, aro
 task is encoded once: all segments lie in one flat symbol array, and a round finds the lowest pair rank of every segment,
 merges its leftmost pairs of that rank at once, and compacts the array; segments without a pair leave. Documents are then
 put together from the segments by array indexing.
+
+A segment of thousands of signs has thousands of rounds. Long segments therefore keep the positions of their pairs by rank, and
+a round takes up only the positions of the lowest rank and their neighbours, so the work grows with the merges.
 """
 
 from __future__ import annotations
 
 import codecs
+import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +28,8 @@ from missive.llm.common import bounded, texts
 SPACE = "▁"
 # segments kept by a task before it starts its table anew; bounds memory, not results
 KEPT_SEGMENTS = 300_000
+# segments with more signs are merged by rank
+LONG = 256
 NO_PAIR = np.iinfo(np.int64).max
 
 codecs.register_error("one_mark_per_byte", lambda e: ("�" * (e.end - e.start), e.end))
@@ -112,15 +118,17 @@ class Pieces:
         symbol = self.of_letter[np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)]
         word = np.repeat(np.arange(len(words)), lengths)
         done_symbol, done_word = [], []
+        is_long = np.repeat(lengths > LONG, lengths)
+        if is_long.any():
+            found = self._merged_by_rank(symbol[is_long], word[is_long])
+            done_symbol.append(found[0])
+            done_word.append(found[1])
+            symbol, word = symbol[~is_long], word[~is_long]
         while len(symbol):
             rank = np.full(len(symbol), NO_PAIR)
             piece = np.zeros(len(symbol), dtype=np.int64)
-            pair = np.flatnonzero((word[:-1] == word[1:]) & (symbol[:-1] >= 0) & (symbol[1:] >= 0))
-            key = symbol[pair] * self.width + symbol[pair + 1]
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            hit = self.pair_keys[at] == key
-            rank[pair[hit]] = self.pair_rank[at[hit]]
-            piece[pair[hit]] = self.pair_piece[at[hit]]
+            pair = np.flatnonzero(word[:-1] == word[1:])
+            rank[pair], piece[pair] = self._pairs(symbol[pair], symbol[pair + 1])
 
             starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             sizes = np.diff(np.append(starts, len(word)))
@@ -151,6 +159,65 @@ class Pieces:
             symbol, word = self._as_bytes(symbol, word, foreign)
         return symbol.astype(np.int32), np.bincount(word, minlength=len(words))
 
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and piece of neighbouring symbols; NO_PAIR where they make no piece."""
+        key = np.where((left >= 0) & (right >= 0), left * self.width + right, -1)
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        hit = self.pair_keys[at] == key
+        return np.where(hit, self.pair_rank[at], NO_PAIR), np.where(hit, self.pair_piece[at], 0)
+
+    def _merged_by_rank(self, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols left when no pair remains, and their words; each round takes the positions of the lowest rank only."""
+        n = len(symbol)
+        # position n stands for the end of every word; nothing pairs with it
+        symbol = np.append(symbol, -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        after[edge], before[edge + 1] = n, -1
+        rank, piece = np.full(n + 1, NO_PAIR), np.zeros(n + 1, dtype=np.int64)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look(at: np.ndarray) -> None:
+            rank[at], piece[at] = self._pairs(symbol[at], symbol[after[at]])
+            at = at[rank[at] != NO_PAIR]
+            if not len(at):
+                return
+            at = at[np.argsort(rank[at], kind="stable")]
+            values = rank[at]
+            cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
+                value = int(values[begin])
+                if value not in waiting:
+                    waiting[value] = []
+                    heapq.heappush(ranks, value)
+                waiting[value].append(at[begin:end])
+
+        look(np.arange(n))
+        while ranks:
+            lowest = heapq.heappop(ranks)
+            chosen = np.concatenate(waiting.pop(lowest))
+            chosen = np.unique(chosen[rank[chosen] == lowest])
+            if not len(chosen):
+                continue
+            # of neighbouring pairs every second one, from the left
+            run = np.concatenate([[True], after[chosen[:-1]] != chosen[1:]])
+            place = np.arange(len(chosen))
+            place -= np.maximum.accumulate(np.where(run, place, 0))
+            leading = np.concatenate([[True], word[chosen[1:]] != word[chosen[:-1]]])
+            taken = (place % 2 == 0) & (leading | self.at_once[piece[chosen]])
+            left, chosen = chosen[~taken], chosen[taken]
+            gone = after[chosen]
+            symbol[chosen] = piece[chosen]
+            rank[gone], symbol[gone] = NO_PAIR, -1
+            word[gone[gone < n]] = -1
+            after[chosen] = after[gone]
+            before[after[chosen]] = chosen
+            touched = np.concatenate([chosen, before[chosen], left[word[left] >= 0]])
+            look(np.unique(touched[touched >= 0]))
+        stays = word >= 0
+        return symbol[:n][stays], word[stays]
+
     def _as_bytes(self, symbol: np.ndarray, word: np.ndarray, foreign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Replaces symbols outside the vocabulary by the ids of their UTF-8 bytes."""
         behind = {int(self.of_letter[c]): c for c in np.flatnonzero(self.of_letter >= self.size)}
@@ -242,3 +309,21 @@ def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(found, pa.string())], ["doc_id", "ids", "text"])
 
     return rows.mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, and the text decoded from them: `encode` and `decode` in one pass, with the same rows.
+
+    A task keeps one model and one batch. Missing and empty texts have no ids and decode to an empty text; repeated rows and
+    missing identifiers stay, columns besides the two are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pieces(model_path)
+        for batch in bounded(batches, 1):
+            ids, ends = model.encode(batch.column(1).to_pylist())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+            found = pa.array(model.decode(ids, ends), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, found], ["doc_id", "ids", "text"])
+
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, text string")

@@ -100,7 +100,7 @@ def op7_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
+    decoded = pieces.round_trip(table(spark, sf_dir, "documents"), PIECES)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

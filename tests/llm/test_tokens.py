@@ -1,6 +1,7 @@
 """SentencePiece encoding and token files against the libraries, exactly."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -38,6 +39,30 @@ def test_encode_and_decode_equal_library():
         own.decode(np.array([own.size]), np.array([1]))
 
 
+def unbroken(n, letters, seed):
+    rng = random.Random(seed)
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_long_segments_equal_library():
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    own = pieces.Pieces(queries.PIECES)
+    code = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    lot = [unbroken(n, letters, n) for n in (256, 257, 300, 3000) for letters in (code, "etaoin", "aab", "中文字é🙂a", "▁ a", "=-#")]
+    lot += ["thequickbrownfox" * 400, "a" * 5001, " " * 4000, "0" * 777 + " " + "ab" * 900 + "\n" + "x" * 400]
+    ids, ends = own.encode(lot)
+    assert [ids[b:e].tolist() for b, e in zip([0, *ends[:-1]], ends)] == library.encode(lot)
+
+
+def test_a_million_signs_without_blanks():
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
+    text = unbroken(1_000_000, "abcdefghijklmnopqrstuvwxyz", 3)
+    begun = time.monotonic()
+    ids, _ = pieces.Pieces(queries.PIECES).encode([text])
+    assert time.monotonic() - begun < 60
+    assert ids.tolist() == library.encode(text)
+
+
 def test_tables_start_anew_without_changing_results(monkeypatch):
     monkeypatch.setattr(pieces, "KEPT_SEGMENTS", 10)
     monkeypatch.setattr(token_files, "KEPT_PIECES", 10)
@@ -56,6 +81,7 @@ def test_odd_rows_of_pieces(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, ids int")
     library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECES)
     got = pieces.decode(pieces.encode(docs, queries.PIECES), queries.PIECES).collect()
+    assert sorted(map(str, pieces.round_trip(docs, queries.PIECES).collect())) == sorted(map(str, got))
     assert sorted((str(r.doc_id), r.ids, r.text) for r in got) == sorted((str(i), library.encode(t or ""), t or "") for i, t, _ in ROWS)
     assert pieces.decode(pieces.encode(docs.limit(0), queries.PIECES), queries.PIECES).count() == 0
 
