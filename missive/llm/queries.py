@@ -40,7 +40,7 @@ def op2_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secret_scan.spans(documents, whole=True).select("doc_id", "secret_spans")
+    found = secret_scan.spans(documents).select("doc_id", "secret_spans")
 
     def of(kind: str) -> Column:
         return F.size(F.filter("secret_spans", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
@@ -214,8 +214,8 @@ more AS (
   FROM dense WHERE len(windows) > 0 GROUP BY doc_id),
 spans AS (
   SELECT doc_id, assign, access, hex, list_concat(assign, access, hex) AS base,
-    list_filter(coalesce(entropy, []), lambda m: len(list_filter(list_concat(assign, access, hex),
-      lambda b: b."start" < m."start" + m.size AND m."start" < b."start" + b.size)) = 0) AS apart
+    list_filter(coalesce(entropy, []), lambda m: len(list_filter(range(m."start"::BIGINT, (m."start" + m.size)::BIGINT),
+      lambda k: len(list_filter(list_concat(assign, access, hex), lambda b: b."start" <= k AND k < b."start" + b.size)) = 0)) > 0) AS apart
   FROM found LEFT JOIN more USING (doc_id)),
 listed AS (
   SELECT *, list_transform(base, lambda s: [s."start"::BIGINT, s.place, (s."start" + s.size)::BIGINT]) AS b,

@@ -80,39 +80,47 @@ def _dense_part(candidate: Column) -> Column:
     # entropy >= least  <=>  sum of n log2 n <= WINDOW * (log2 WINDOW - least)
     most = F.floor(F.lit(WINDOW * MILLIONTHS) * (F.lit(math.log2(WINDOW)) - least)).cast("long")
     codes = F.transform(F.split(candidate, "", -1), lambda c: F.ascii(c) - FIRST_CODE)
-    zeros = F.array_repeat(F.lit(0), CODES)
-
-    def step(s: Column, i: Column) -> Column:
-        entering, leaving = s.codes[i], F.when(i >= WINDOW, s.codes[i - WINDOW])
-        counts = F.transform(
-            s.counts,
-            lambda n, c: n + (c == entering).cast("int") - F.coalesce((c == leaving).cast("int"), F.lit(0)),
+    weights = _n_log_n()
+
+    def walked(signs: Column, length: Column, weights: Column, most: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            # -1: nothing leaves yet
+            entering, leaving = signs[i], F.when(i >= WINDOW, signs[i - WINDOW]).otherwise(-1)
+            grown, shrunk = s.counts[entering], F.when(leaving >= 0, s.counts[leaving]).otherwise(1)
+            change = weights[grown + 1] - weights[grown] + weights[shrunk - 1] - weights[shrunk]
+            same = entering == leaving
+            weight = F.when(same, s.weight).otherwise(s.weight + change)
+            counts = F.when(same, s.counts).otherwise(
+                F.transform(
+                    s.counts,
+                    lambda n, c: F.when(c == entering, n + 1).when(c == leaving, n - 1).otherwise(n),
+                )
+            )
+            start = (i - (WINDOW - 1)).cast("int")
+            dense = (i >= WINDOW - 1) & (weight <= most)
+            return F.struct(
+                counts.alias("counts"),
+                weight.alias("weight"),
+                F.when(dense & (s["first"] < 0), start).otherwise(s["first"]).alias("first"),
+                F.when(dense, start).otherwise(s["last"]).alias("last"),
+            )
+
+        begin = F.struct(
+            F.array_repeat(F.lit(0), CODES).alias("counts"),
+            F.lit(0).cast("long").alias("weight"),
+            F.lit(-1).alias("first"),
+            F.lit(-1).alias("last"),
         )
-        return F.struct(s.codes.alias("codes"), counts.alias("counts"), s["first"].alias("first"), s["last"].alias("last"))
-
-    def judge(s: Column, i: Column) -> Column:
-        weight = F.aggregate(s.counts, F.lit(0).cast("long"), lambda total, n: total + _n_log_n()[n])
-        dense = (i >= WINDOW - 1) & (weight <= s.most)
-        start = (i - (WINDOW - 1)).cast("int")
-        return F.struct(
-            s.codes.alias("codes"),
-            s.counts.alias("counts"),
-            F.when(dense & (s["first"] < 0), start).otherwise(s["first"]).alias("first"),
-            F.when(dense, start).otherwise(s["last"]).alias("last"),
-            s.most.alias("most"),
+        return F.aggregate(
+            F.sequence(F.lit(0), length - 1),
+            begin,
+            step,
+            lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")),
         )
 
-    def both(s: Column, i: Column) -> Column:
-        moved = step(s, i)
-        weighed = F.transform(F.array(moved), lambda m: judge(m.withField("most", s.most), i))
-        return weighed[0]
-
-    begin = F.struct(
-        codes.alias("codes"), zeros.alias("counts"), F.lit(-1).alias("first"), F.lit(-1).alias("last"), most.alias("most")
-    )
-    walked = F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), begin, both)
-    # read once: walked is a long computation
-    return F.transform(F.array(walked), lambda w: F.struct(w["first"].alias("first"), w["last"].alias("last")))[0]
+    # signs and weights stay outside the accumulator, which is copied at every step
+    held = F.array(F.struct(codes.alias("signs"), F.length(candidate).alias("length"), weights.alias("weights"), most.alias("most")))
+    return F.transform(held, lambda h: walked(h.signs, h.length, h.weights, h.most))[0]
 
 
 def _entropic(text: Column) -> Column:
@@ -153,24 +161,18 @@ def _uncovered(span: Column, base: Column) -> Column:
     return covered < span.end
 
 
-def spans(docs: DataFrame, text_col: str = "text", out: str = "secret_spans", whole: bool = False) -> DataFrame:
+def spans(docs: DataFrame, text_col: str = "text", out: str = "secret_spans") -> DataFrame:
     """The rows of `docs` with one more column: their secrets, array of (kind, start, end), by start and kind.
 
     Kinds are those of KINDS; positions count code points, the end is exclusive. Spans of one pattern don't overlap, spans
-    of different patterns may. An entropy span that touches a span of a pattern is left out; with `whole` it is left out only
-    where spans of patterns cover all of it. A missing text has no spans; a column named like the new one is replaced, all
+    of different patterns may. An entropy span is left out only where spans of patterns cover all of it. A missing text has no spans; a column named like the new one is replaced, all
     others stay; repeated rows stay repeated.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = F.concat(_named(_assigned(text), "assign"), _named(_found(text, ACCESS), "access"), _named(_found(text, HEX), "hex"))
     more = _named(_entropic(text), "entropy")
     staged = docs.drop(out).withColumn(out, F.struct(base.alias("base"), more.alias("more")))
-    apart = F.filter(
-        F.col(out)["more"],
-        lambda m: _uncovered(m, F.col(out)["base"])
-        if whole
-        else ~F.exists(F.col(out)["base"], lambda b: (b.start < m.end) & (m.start < b.end)),
-    )
+    apart = F.filter(F.col(out)["more"], lambda m: _uncovered(m, F.col(out)["base"]))
     joined = F.when(
         (F.size(F.col(out)["base"]) > 0) | (F.size(F.col(out)["more"]) > 0), _ordered(F.concat(F.col(out)["base"], apart))
     ).otherwise(F.array().cast(SPAN))
@@ -183,7 +185,10 @@ def listed(found: Column) -> Column:
 
 
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with every secret replaced by MASK, overlapping spans by one; all columns stay as they are."""
+    """The rows with every secret replaced by MASK, overlapping spans by one; all other columns stay as they are.
+
+    A missing text stays missing, an empty one empty; repeated rows stay repeated, no rows give no rows.
+    """
     text = F.col(text_col)
 
     def cover(s: Column, x: Column) -> Column:
@@ -194,7 +199,9 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
         )
 
     own = "secret_spans_of_redaction"
-    found = spans(docs, text_col, own, whole=True)
+    while own in (c.lower() for c in docs.columns):
+        own += "_"
+    found = spans(docs, text_col, own)
     walked = F.aggregate(own, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cover)
     rebuilt = F.transform(F.array(walked), lambda w: F.concat(w.out, F.substring(text, w["at"] + 1, F.length(text))))[0]
     return found.withColumn(text_col, F.when(F.size(own) > 0, rebuilt).otherwise(text)).select(docs.columns)

@@ -18,7 +18,7 @@ def test_rest_of_a_covered_candidate_is_masked(spark):
     got = {r.doc_id: r.text for r in secret_scan.redacted(docs).collect()}
     assert all(TOKEN[4:-4] not in t and HOOK not in t for t in got.values())
     assert got[3] == "[SECRET] b" and got[4] == "x [SECRET] y"
-    kinds = {r.doc_id: [s.kind for s in r.secret_spans] for r in secret_scan.spans(docs, whole=True).collect()}
+    kinds = {r.doc_id: [s.kind for s in r.secret_spans] for r in secret_scan.spans(docs).collect()}
     assert "entropy" in kinds[0] and "hex" in kinds[0]
     assert kinds[3] == ["assign"] and kinds[4] == ["hex"]
 
