@@ -84,23 +84,50 @@ def common_extension(a: Prefixes, i: int, b: Prefixes, j: int) -> int:
     return low
 
 
-def fingerprint(text: str) -> str:
-    """Length, whole hash and sketch as text; an empty text has an empty sketch."""
-    prefixes = Prefixes(code_points(text))
-    n = prefixes.n
-    bins = [EMPTY] * BINS
-    if n:
-        ends = np.arange(1, n + 1)
+class Marked:
+    """Prefix arrays of a text and the mixed hash of the span that ends at each of its positions."""
+
+    def __init__(self, codes: np.ndarray, first: int = 0) -> None:
+        """Spans that end at or before position `first` are left out."""
+        self.codes, self.prefixes, self.n = codes, Prefixes(codes), len(codes)
+        ends = np.arange(first + 1, self.n + 1)
         begins = np.maximum(ends - WIDTH, 0)
-        mixed = prefixes.spans(begins, ends) ^ ((ends - begins).astype(np.uint64) << np.uint64(58))
+        mixed = self.prefixes.spans(begins, ends) ^ ((ends - begins).astype(np.uint64) << np.uint64(58))
         for factor in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9):
             mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(factor)
-        mixed ^= mixed >> np.uint64(32)
-        lowest = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
-        np.minimum.at(lowest, (mixed & np.uint64(BINS - 1)).astype(np.int64), mixed >> np.uint64(6))
-        # of the lowest hash the low bits: the high ones are small in every long text
-        bins = [EMPTY if v == np.iinfo(np.uint64).max else f"{v & 0xFFFF:04x}" for v in lowest.tolist()]
-    return f"{n:08x}{prefixes.span(0, n):016x}{''.join(bins)}"
+        self.mixed = mixed ^ (mixed >> np.uint64(32))
+
+    def fingerprint(self) -> str:
+        return _written(self.n, self.prefixes.span(0, self.n), self.mixed)
+
+    def edited_fingerprint(self, following: Marked) -> str:
+        """Fingerprint of the text whose last half is replaced by the begin of the following one.
+
+        Equal spans have equal hashes wherever they stand, so only spans across the seam are hashed anew.
+        """
+        kept = self.n - self.n // 2
+        taken = min(self.n // 2, following.n)
+        low = max(0, kept - (WIDTH - 1))
+        seam = Marked(np.concatenate([self.codes[low:kept], following.codes[: min(taken, WIDTH - 1)]]), kept - low)
+        whole = 0
+        for own, other, up in zip(self.prefixes.sums, following.prefixes.sums, _UP):
+            moved = int(other[taken]) * int(up.upto(kept + 1)[kept])
+            whole = whole << 31 | (int(own[kept]) + moved) % up.prime
+        mixed = np.concatenate([self.mixed[:kept], seam.mixed, following.mixed[WIDTH - 1 : max(taken, WIDTH - 1)]])
+        return _written(kept + taken, whole, mixed)
+
+
+def _written(n: int, whole: int, mixed: np.ndarray) -> str:
+    lowest = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(lowest, (mixed & np.uint64(BINS - 1)).astype(np.int64), mixed >> np.uint64(6))
+    # of the lowest hash the low bits: the high ones are small in every long text
+    bins = [EMPTY if v == np.iinfo(np.uint64).max else f"{v & 0xFFFF:04x}" for v in lowest.tolist()]
+    return f"{n:08x}{whole:016x}{''.join(bins)}"
+
+
+def fingerprint(text: str) -> str:
+    """Length, whole hash and sketch as text; an empty text has an empty sketch."""
+    return Marked(code_points(text)).fingerprint()
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -110,13 +137,18 @@ def likeness(a: Column, b: Column) -> Column:
     """
     head = F.least(F.length(a), F.length(b)) - BINS * DIGITS
 
-    def part(x: Column, k: Column) -> Column:
-        return F.substring(x, F.length(x) - BINS * DIGITS + 1 + k * DIGITS, F.lit(DIGITS))
+    def parts(x: Column) -> Column:
+        return F.regexp_extract_all(F.substring(x, -BINS * DIGITS, BINS * DIGITS), F.lit("." * DIGITS), F.lit(0))
 
-    classes = F.sequence(F.lit(0), F.lit(BINS - 1))
-    used = F.size(F.filter(classes, lambda k: (part(a, k) != EMPTY) | (part(b, k) != EMPTY)))
-    same = F.size(F.filter(classes, lambda k: (part(a, k) != EMPTY) & (part(a, k) == part(b, k))))
-    return F.when((a == b) | (head < 0), (a == b).cast("double")).otherwise(F.coalesce(F.try_divide(same, used), F.lit(0.0)))
+    # 0 for a class that neither uses
+    marks = F.zip_with(parts(a), parts(b), lambda x, y: F.when(x != y, 1).when(x == EMPTY, 0).otherwise(2))
+    counts = F.aggregate(
+        marks,
+        F.struct(F.lit(0).alias("used"), F.lit(0).alias("same")),
+        lambda s, m: F.struct((s.used + F.least(m, F.lit(1))).alias("used"), (s.same + F.greatest(m - 1, F.lit(0))).alias("same")),
+        lambda s: F.coalesce(F.try_divide(s.same, s.used), F.lit(0.0)),
+    )
+    return F.when((a == b) | (head < 0), (a == b).cast("double")).otherwise(counts)
 
 
 def edited(text: str, following: str) -> str:
@@ -157,11 +189,12 @@ def with_following(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in bounded(batches, 2):
             out = []
             for place, doc_id, text, after in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                mark = fingerprint(text)
+                marked = Marked(code_points(text))
+                mark = marked.fingerprint()
                 if last is not None and last[0] == place:
-                    changed = edited(last[2], text)
-                    out.append((last[1], len(last[2]), last[3], changed, fingerprint(changed), mark))
-                last = None if after else (place, doc_id, text, mark)
+                    changed = last[3].edited_fingerprint(marked)
+                    out.append((last[1], len(last[2]), last[4], edited(last[2], text), changed, mark))
+                last = None if after else (place, doc_id, text, marked, mark)
             if out:
                 kinds = (pa.int64(), pa.int64(), *[pa.string()] * 4)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], NAMES)

@@ -23,6 +23,34 @@ def test_spans_and_extensions():
             assert ph.common_extension(x, i, y, j) == want
 
 
+def test_edited_fingerprint_without_reading_again():
+    rng = random.Random(10)
+    for _ in range(2000):
+        t, u = ("".join(rng.choices("ab🙂é ", k=rng.choice([0, 1, 2, 3, 14, 15, 16, 17, 31, 32, 33, 34, 90]))) for _ in range(2))
+        own, following = ph.Marked(ph.code_points(t)), ph.Marked(ph.code_points(u))
+        assert own.edited_fingerprint(following) == ph.fingerprint(ph.edited(t, u))
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    if min(len(a), len(b)) < 256:
+        return 0.0
+    pairs = [(a[len(a) - 256 + k : len(a) - 252 + k], b[len(b) - 256 + k : len(b) - 252 + k]) for k in range(0, 256, 4)]
+    used = [p for p in pairs if p != ("....", "....")]
+    return sum(x == y for x, y in used) / len(used) if used else 0.0
+
+
+def test_likeness_against_plain_version(spark):
+    rng = random.Random(11)
+    marks = [ph.fingerprint("".join(rng.choices("abc", k=rng.choice([0, 3, 20, 400])))) for _ in range(60)]
+    rows = [(rng.choice(marks), rng.choice(marks)) for _ in range(300)] + [("", marks[0]), ("x", "x")]
+    found = spark.createDataFrame(rows, "a string, b string").select("a", "b", ph.likeness(spark_col("a"), spark_col("b")).alias("v")).collect()
+    assert all(r.v == plain_likeness(r.a, r.b) for r in found)
+    empty = spark.createDataFrame([(marks[0], None)], "a string, b string")
+    assert empty.select(ph.likeness(spark_col("a"), spark_col("b")).alias("v")).first().v is None
+
+
 def test_query_against_plain_version(spark, tmp_path):
     rng = random.Random(9)
     rows = [(i, "".join(rng.choices("abcdefghij klmn🙂é", k=rng.choice([0, 1, 2, 5, 60, 400])))) for i in rng.sample(range(-500, 500), 60)]
