@@ -22,6 +22,7 @@ __all__ = [
     "joined_to_classes",
     "partitions",
     "range_bucket",
+    "range_numbers",
     "shared_folder",
     "table",
     "texts",
@@ -60,16 +61,19 @@ def id_bounds(docs: DataFrame, parts: int) -> list[float]:
 
 def range_bucket(id_col: str, bounds: list[float]) -> Column:
     """Number of the range an identifier falls into, ascending; missing identifiers come before all others."""
-    edges = np.array(bounds, dtype=np.float64)
-
     @F.pandas_udf("int")
     def bucket(ids: pd.Series) -> pd.Series:
-        found = np.searchsorted(edges, ids.to_numpy(dtype=np.float64, na_value=np.nan), side="left") + 1
-        return pd.Series(np.where(ids.isna(), 0, found).astype(np.int32))
+        return pd.Series(range_numbers(ids.to_numpy(dtype=np.float64, na_value=np.nan), bounds))
 
     return bucket(F.col(id_col))
 
 
+def range_numbers(ids: np.ndarray, bounds: list[float]) -> np.ndarray:
+    """The same for an array of identifiers, in which a missing one is not a number."""
+    found = np.searchsorted(np.array(bounds, dtype=np.float64), ids, side="left") + 1
+    return np.where(np.isnan(ids), 0, found).astype(np.int32)
+
+
 def evenly_dealt(df: DataFrame, bucket: str, parts: int) -> DataFrame:
     """The rows in `parts` partitions, one for each range of `range_bucket` (the first also has missing identifiers).
 

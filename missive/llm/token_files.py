@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from missive.llm.common import bounded, evenly_dealt, id_bounds, partitions, range_bucket, texts
+from missive.llm.common import bounded, evenly_dealt, id_bounds, partitions, range_numbers, texts
 
 SEQUENCE = 1024
 BATCH_SEQUENCES = 256
@@ -31,7 +31,8 @@ KEPT_PIECES = 500_000
 WORDS_AT_ONCE = 1000
 # letters up to here have one lower-case letter each, and no composition; the dotted capital I is the exception
 NOT_SIMPLE = re.compile("[^\x00-\u012f\u0131-\u024f]")
-PLAIN_WORD = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)")
+# one word a line
+PLAIN_WORD = re.compile("^([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,]?)$", re.MULTILINE)
 
 INDEX = "file int, path string, doc_id long, position long, n_tokens long"
 
@@ -69,13 +70,15 @@ class Vocabulary:
                 self.known.update(zip(lot, self._ids(lot)))
 
     def _learn(self, pieces: set[str]) -> None:
-        known = self.known
-        words = {p: m.groups() for p in pieces if (m := PLAIN_WORD.fullmatch(p))} if self.ends_word.any() else {}
-        self._learn_words([w for w in dict.fromkeys(w for w, _ in words.values()) if w not in known])
-        marks = dict(zip(("", ".", ","), (b"", *self._ids([".", ","]))))
-        known.update((p, known[w] + marks[mark]) for p, (w, mark) in words.items())
-        rest = [p for p in pieces if p not in words]
-        known.update(zip(rest, self._ids(rest)))
+        known, rest = self.known, pieces
+        if self.ends_word.any():
+            # no piece has a line feed in it
+            plain = PLAIN_WORD.findall("\n".join(pieces))
+            self._learn_words(list({w for w, _ in plain}.difference(known)))
+            marks = dict(zip(".,", self._ids([".", ","])))
+            known.update([(w + mark, known[w] + marks[mark]) for w, mark in plain if mark])
+            rest = pieces.difference(known)
+        known.update(zip(rest, self._ids(list(rest))))
 
     def encode(self, batch: list[str], end_id: int) -> list[bytes]:
         end = np.array([end_id], dtype=self.width).tobytes()
@@ -206,9 +209,10 @@ def write(
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(vocabulary_path, by_piece)
-        for batch in bounded(batches, 2):
-            found = pa.array(words.encode(batch.column(2).to_pylist(), end_id), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["file", "doc_id", "ids"])
+        for batch in bounded(batches, 1):
+            found = pa.array(words.encode(batch.column(1).to_pylist(), end_id), pa.binary())
+            numbers = range_numbers(batch.column(0).to_numpy(zero_copy_only=False).astype(np.float64), bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), batch.column(0), found], ["file", "doc_id", "ids"])
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, current = None, None
@@ -230,8 +234,7 @@ def write(
         if out is not None:
             out.close()
 
-    spread = rows.select(range_bucket("doc_id", bounds).alias("file"), "doc_id", "text")
-    encoded = spread.mapInArrow(tokenize, "file int, doc_id long, ids binary")
+    encoded = rows.mapInArrow(tokenize, "file int, doc_id long, ids binary")
     ordered = evenly_dealt(encoded, "file", parts).sortWithinPartitions("file", F.col("doc_id").asc_nulls_first(), "ids")
     # the index is complete only when every file is in its place
     ordered.mapInArrow(store, INDEX).write.mode("overwrite").parquet(f"{folder}/index")
