@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import cut_lineage
 
 
 def _rows(df: DataFrame, bad: Column, rule: str, table: str, key: Column) -> DataFrame:
@@ -267,6 +268,30 @@ def register_diff(left: DataFrame, right: DataFrame, keys: list[str], compared:
     return both.select(*keys, F.explode(F.coalesce(one_sided, per_column)).alias("d")).select(*keys, "d.*")
 
 
+def nested_diff(left: DataFrame, right: DataFrame, levels: list[list[str]], compared: list[str]) -> DataFrame:
+    """`register_diff` over the keys of all levels, where only groups with different digests are compared.
+
+    `levels` are key columns from the outermost group inward (package, letter, field); together they are the key of a row. A
+    digest is the row count and two sums of hashes of the written-out rows, added up before the shuffle; two different groups
+    have equal digests about once in 2^128. Each level compares digests only inside groups that differed one level up, and
+    the rows themselves move only for the innermost groups that differ. A key must not be null.
+    """
+    keys = [k for level in levels for k in level]
+    written = F.to_json(F.struct(*keys, *compared), {"ignoreNullFields": "false"})
+
+    def digest(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+        sums = [F.sum(F.xxhash64(F.lit(n), "_row").cast("decimal(20,0)")) for n in (1, 2)]
+        return rows.withColumn("_row", written).groupBy(*by).agg(F.struct(F.count("*"), *sums).alias(name))
+
+    sides = [left.select(*keys, *compared), right.select(*keys, *compared)]
+    for depth in range(1, len(levels)):
+        by = [k for level in levels[:depth] for k in level]
+        a, b = digest(sides[0], by, "_a"), digest(sides[1], by, "_b")
+        differing = cut_lineage(a.join(b, by, "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*by))
+        sides = [rows.join(differing, by, "left_semi") for rows in sides]
+    return register_diff(*sides, keys, compared)
+
+
 def compare_versions(fields: DataFrame, old: str, new: str) -> DataFrame:
     """Shift of validation states between two pipeline versions of the same fields."""
     keys = ["document_id", "candidate", "field_key", "field_index"]

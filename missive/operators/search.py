@@ -249,6 +249,45 @@ def match_suggestions(index: DataFrame, query: str, limit: int = 8) -> DataFrame
     )
 
 
+def completions(index: DataFrame, longest: int = 4, limit: int = 8) -> DataFrame:
+    """(package_id, prefix, place, kind, text, count, rank): the best suggestions of every prefix of two to `longest` signs.
+
+    One aggregation over the suggestion index, kept as a table; `complete` looks many queries up in it with one join. Each entry
+    has at most its own few prefixes; a prefix that very many entries share is cut to `limit` per task before the shuffle.
+    """
+    text = F.lower("text")
+    lengths = F.sequence(F.lit(2), F.lit(longest))
+
+    def prefixes(of: Column) -> Column:
+        return F.transform(lengths, lambda n: F.when(F.length(of) >= n, F.substr(of, F.lit(1), n)))
+
+    def typed(found: Column) -> Column:
+        # a query is stripped and is never the whole suggestion
+        kept = F.filter(found, lambda p: p.isNotNull() & (strip_space(p) == p) & (p != text))
+        return F.array_distinct(kept)
+
+    words = F.flatten(F.transform(F.split(text, r"[\s/_-]+"), prefixes))
+    entries = F.concat(
+        F.transform("_first", lambda p: F.struct(p.alias("prefix"), F.lit(0).alias("rank"))),
+        F.transform(F.array_except("_inner", "_first"), lambda p: F.struct(p.alias("prefix"), F.lit(1).alias("rank"))),
+    )
+    by_rank = Window.partitionBy("package_id", "prefix").orderBy("rank", F.col("count").desc(), F.length("text"), "text", "kind")
+    return (
+        index.where("text IS NOT NULL")
+        .withColumns({"_first": typed(prefixes(text)), "_inner": typed(words)})
+        .select("package_id", "kind", "text", "count", F.explode(entries).alias("e"))
+        .select("package_id", "e.prefix", "kind", "text", "count", "e.rank")
+        .withColumn("place", F.row_number().over(by_rank))
+        .where(F.col("place") <= limit)
+    )
+
+
+def complete(table: DataFrame, asked: DataFrame) -> DataFrame:
+    """The suggestions of each ask (package_id, query) from a table of completions; longer and one-sign queries have none here."""
+    wanted = asked.select("package_id", "query", F.lower(strip_space(F.col("query"))).alias("prefix"))
+    return wanted.join(table, ["package_id", "prefix"]).drop("prefix")
+
+
 def _unit_vectors(vectors: DataFrame) -> DataFrame:
     """vec_id and vector as doubles of those that have a direction: no missing or not finite entry, not all zero."""
     whole = F.transform("embedding", lambda x: x.cast("double"))

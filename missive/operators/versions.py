@@ -42,6 +42,38 @@ def as_of(letters: DataFrame, moment: Column) -> DataFrame:
     )
 
 
+def as_of_each(letters: DataFrame, asked: DataFrame) -> DataFrame:
+    """For many moments at once the version of a logical letter that was live then, null before its first.
+
+    `asked` has package_id, serial and moment; one row per distinct ask, also for unknown letters and missing values. Versions
+    and moments are merged in time order per letter and day. A day hands on its last version only, so a letter with very many
+    versions or asks is no one group.
+    """
+    key = ["package_id", "serial"]
+    asks = asked.select(*key, "moment").distinct()
+    usable = F.col("package_id").isNotNull() & F.col("serial").isNotNull() & F.col("moment").isNotNull()
+    found = F.struct("created_at", "letter_id")
+    events = (
+        letters.where("created_at IS NOT NULL")
+        .select(*key, F.col("created_at").alias("moment"), F.lit(0).alias("is_ask"), found.alias("_found"))
+        .unionByName(asks.where(usable).withColumn("is_ask", F.lit(1)), allowMissingColumns=True)
+        .withColumn("_day", F.to_date("moment"))
+    )
+    days = events.groupBy(*key, "_day").agg(F.max("_found").alias("_last"))
+    earlier = Window.partitionBy(*key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select(*key, "_day", F.max("_last").over(earlier).alias("_before"))
+    # versions of the asked moment itself count
+    until = Window.partitionBy(*key, "_day").orderBy("moment", "is_ask").rowsBetween(Window.unboundedPreceding, 0)
+    live = (
+        events.withColumn("_today", F.max("_found").over(until))
+        .where("is_ask = 1")
+        .join(carried, [*key, "_day"])
+        .select(*key, "moment", F.coalesce("_today", "_before").alias("_live"))
+    )
+    nothing = asks.where(~usable)
+    return live.select(*key, "moment", "_live.letter_id", "_live.created_at").unionByName(nothing, allowMissingColumns=True)
+
+
 def publish_runs(runs: DataFrame) -> DataFrame:
     """The newest succeeded run of each (document, package) is current; older ones point to it.
 

@@ -719,6 +719,11 @@ SQL: dict[str, str] = {
     "d7_as_of": f"""WITH {VERSIONED}
         SELECT package_id, serial, letter_id, created_at FROM (SELECT *, row_number() OVER (PARTITION BY package_id, serial
           ORDER BY created_at DESC, letter_id DESC) AS n FROM versioned WHERE created_at <= DATE '1998-06-30') WHERE n = 1""",
+    "d7_as_of_each": f"""WITH {VERSIONED},
+        asked AS (SELECT DISTINCT package_id, serial, created_at + CAST(letter_id % 61 - 30 AS INTEGER) AS moment FROM versioned)
+        SELECT a.package_id, a.serial, a.moment, v.letter_id, v.created_at FROM asked a
+        LEFT JOIN versioned v ON v.package_id = a.package_id AND v.serial = a.serial AND v.created_at <= a.moment
+        QUALIFY row_number() OVER (PARTITION BY a.package_id, a.serial, a.moment ORDER BY v.created_at DESC, v.letter_id DESC) = 1""",
     "d8_reviewed_fields": f"""{WITH_FIELDS}, {ACTIONS},
         fix AS (SELECT * FROM judged_action WHERE ok AND action = 'corrected'),
         mark AS (SELECT field_id, arg_max(action, acted_at) AS action FROM judged_action WHERE ok AND action <> 'corrected' GROUP BY 1)
@@ -904,6 +909,16 @@ SQL: dict[str, str] = {
           WHEN len(list_filter(string_split_regex(lower(text), '[\\s/_-]+'), lambda w: starts_with(w, 'cul'))) > 0 THEN 1 END AS rank FROM vocabulary)
         SELECT package_id, kind, text, count, rank FROM ranked WHERE rank IS NOT NULL AND lower(text) <> 'cul'
         QUALIFY row_number() OVER (PARTITION BY package_id ORDER BY rank, count DESC, length(text), text, kind) <= 8""",
+    "h10_completions": f"""{WITH_THREADS}, {VOCABULARY},
+        word AS (SELECT package_id, kind, text, count, unnest(string_split_regex(lower(text), '[\\s/_-]+')) AS w FROM vocabulary),
+        size AS (SELECT unnest([2, 3, 4]) AS n),
+        typed AS (
+          SELECT package_id, kind, text, count, left(lower(text), n) AS prefix, 0 AS rank FROM vocabulary, size WHERE length(text) >= n
+          UNION ALL SELECT package_id, kind, text, count, left(w, n), 1 FROM word, size WHERE length(w) >= n),
+        best AS (SELECT package_id, kind, text, count, prefix, min(rank) AS rank FROM typed
+          WHERE trim(prefix) = prefix AND prefix <> lower(text) GROUP BY package_id, kind, text, count, prefix)
+        SELECT package_id, prefix, place, kind, text, count, rank FROM (SELECT *, row_number() OVER (PARTITION BY package_id, prefix
+          ORDER BY rank, count DESC, length(text), text, kind) AS place FROM best) WHERE place <= 8""",
     "h11_semantic_nearest": """
         WITH pair AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[])
             / sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])), 6) AS similarity
@@ -1031,6 +1046,16 @@ SQL: dict[str, str] = {
           WHERE NOT gone AND field_id % 131 = 0 AND validation <> 'unresolved'
         UNION ALL SELECT package_id, letter_id, field_key, field_index, 'page_no', CAST(page_no AS VARCHAR), NULL FROM j
           WHERE NOT gone AND field_id % 131 = 0 AND page_no IS NOT NULL""",
+    "j2_nested_diff": f"""{WITH_WORDS}, {LOCATED},
+        place AS (SELECT document_id, page_no AS page, claim_no, char_end, n_rects > 0 AS ok, concat_ws(',',
+            CAST(round(x0 * 1000000) AS BIGINT), CAST(round(y0 * 1000000) AS BIGINT), CAST(round((x1 - x0) * 1000000) AS BIGINT),
+            CAST(round((y1 - y0) * 1000000) AS BIGINT)) AS box
+          FROM touched WHERE document_id % 23 = 0)
+        SELECT document_id, page, claim_no, '*' AS column_name, 'present' AS left_value, NULL AS right_value FROM place
+          WHERE claim_no = 2 AND page % 2 = 1
+        UNION ALL SELECT document_id, page, claim_no, 'char_end', CAST(char_end AS VARCHAR), CAST(char_end + 1 AS VARCHAR) FROM place
+          WHERE ok AND claim_no = 0
+        UNION ALL SELECT document_id, page, claim_no, 'box', box, NULL FROM place WHERE ok AND claim_no = 1""",
     "j3_version_comparison": f"""{WITH_FIELDS},
         j AS (SELECT field_key, validation AS was, CASE WHEN letter_id % 9 = 0 THEN NULL WHEN letter_id % 4 = 0 THEN 'exact' ELSE validation END AS now FROM fields)
         SELECT field_key, was, count(*) FILTER (now = 'exact') AS now_exact, count(*) FILTER (now = 'normalized_exact') AS now_normalized_exact,

@@ -401,6 +401,14 @@ def d7_as_of(spark, d):
     return versions.as_of(_versioned(spark, d), F.lit("1998-06-30").cast("date"))
 
 
+@query
+def d7_as_of_each(spark, d):
+    """Every letter at as many moments as it has versions, up to thirty days beside them."""
+    letters = _versioned(spark, d)
+    beside = F.date_add("created_at", (F.col("letter_id") % 61 - 30).cast("int"))
+    return versions.as_of_each(letters, letters.select("package_id", "serial", beside.alias("moment")))
+
+
 def _actions(fields: DataFrame) -> DataFrame:
     n = F.col("field_id")
     chosen = fields.where(n % 13 == 0).select(
@@ -954,6 +962,12 @@ def h10_suggestion_match(spark, d):
     return search.match_suggestions(search.suggestion_index(_searchable(linked(spark, d))), "cul")
 
 
+@query
+def h10_completions(spark, d):
+    """All prefixes of two to four signs of every package at once."""
+    return search.completions(search.suggestion_index(_searchable(linked(spark, d))))
+
+
 @query
 def h11_semantic_nearest(spark, d):
     vectors = bridge.table(spark, d, "embeddings")
@@ -1180,6 +1194,30 @@ def j2_field_diff(spark, d):
     return audit.register_diff(rows, other, key, ["value", "validation", "page_no"])
 
 
+@query
+def j2_nested_diff(spark, d):
+    """Stored claims against a copy in which some documents lost a claim, a box, or moved an end; digests find these."""
+    claims = _claims(spark, d).withColumn("claimed", F.col("page"))
+    fields = provenance.build_fields(claims, page_ocr(spark, d))
+    box = F.concat_ws(",", *[F.round(F.col(f"bbox.union.{c}") * 1e6).cast("long") for c in "xywh"])
+    # written once, as a stored register is
+    rows = cut_lineage(
+        fields.select(
+            "document_id", F.col("claimed").alias("page"), "claim_no", "validation", "page_no", "char_start", "char_end",
+            F.size("bbox.rects").alias("n_rects"), F.when(F.col("bbox").isNotNull(), box).alias("box"),
+        )
+    )
+    n, claim = F.col("document_id") % 23 == 0, F.col("claim_no")
+    other = rows.where(~(n & (claim == 2) & (F.col("page") % 2 == 1))).withColumns(
+        {
+            "char_end": F.when(n & (claim == 0), F.col("char_end") + 1).otherwise(F.col("char_end")),
+            "box": F.when(~(n & (claim == 1)), F.col("box")),
+        }
+    )
+    compared = ["validation", "page_no", "char_start", "char_end", "n_rects", "box"]
+    return audit.nested_diff(rows, other, [["document_id"], ["page"], ["claim_no"]], compared)
+
+
 @query
 def j3_version_comparison(spark, d):
     before = extracted_fields(spark, d).select(
