@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.fields import DASH, display_value
+from ..session import cut_lineage
 from .ordering import latest_earlier_day
 
 CITATION = ["package_id", "citing_letter_id", "cited_ref_normalized"]
@@ -214,6 +216,89 @@ def ambiguity_queue(citations: DataFrame, candidates: DataFrame, letters: DataFr
     )
 
 
+def queue_page(
+    citations: DataFrame, scored: DataFrame, exact: DataFrame, letters: DataFrame, after: DataFrame,
+    size: int = 20, shown: int = 10,
+) -> DataFrame:
+    """A page of each package's ambiguity queue: `size` citations, each with its best `shown` candidates and their number.
+
+    `after` (package_id, serial, cited_ref_text) is the last citation already seen; packages without a row, or with nulls,
+    start at the front, and of several rows the furthest counts. Citations of a page are chosen first and only their references
+    are looked up, so a reference that many letters cite and many have is not expanded. A citation without candidates has an
+    empty list.
+    """
+    reference, order = ["package_id", "cited_ref_normalized"], ["citing_serial", "cited_ref_text", *CITATION[1:]]
+    citing = letters.where("is_current AND NOT is_voided").select(
+        "package_id", F.col("letter_id").alias("citing_letter_id"),
+        F.col("letter_ref").alias("citing_ref"), F.col("serial").alias("citing_serial"),
+    )
+    seen = (
+        after.where("package_id IS NOT NULL AND serial IS NOT NULL AND cited_ref_text IS NOT NULL")
+        .groupBy("package_id")
+        .agg(F.max(F.struct(F.col("serial").cast("long"), "cited_ref_text")).alias("_seen"))
+    )
+    unseen = F.col("_seen").isNull() | (F.struct(F.col("citing_serial").cast("long"), "cited_ref_text") > F.col("_seen"))
+    page = cut_lineage(
+        citations.where("resolution = 'unresolved_ambiguous'")
+        .select(*CITATION, "cited_ref_text", F.coalesce(F.col("rule") == "exact_many", F.lit(False)).alias("_shared"))
+        .join(citing, ["package_id", "citing_letter_id"])
+        .join(seen, "package_id", "left")
+        .where(unseen)
+        .withColumn("place", F.row_number().over(Window.partitionBy("package_id").orderBy(*order)))
+        .where(F.col("place") <= size)
+        .drop("_seen")
+    )
+    offered = letters.select(
+        "package_id", F.col("letter_id").alias("candidate_letter_id"),
+        F.col("letter_ref").alias("candidate_ref"), F.col("serial").alias("candidate_serial"),
+    )
+    open_refs = page.where("_shared").select(*reference)
+    asked = exact.join(open_refs.distinct(), reference, "left_semi")
+    numbers = asked.groupBy(*reference).agg(F.count("*").alias("_held"))
+    # the citing letter itself is no candidate: one more than shown is enough
+    first = Window.partitionBy(*reference).orderBy(F.col("candidate_serial").asc_nulls_last(), "candidate_letter_id")
+    heads = (
+        asked.join(offered, ["package_id", "candidate_letter_id"], "left")
+        .withColumn("_n", F.row_number().over(first))
+        .where(F.col("_n") <= shown + 1)
+        .drop("_n")
+    )
+    own = page.where("_shared").join(
+        exact.withColumnRenamed("candidate_letter_id", "citing_letter_id"), CITATION, "left_semi"
+    ).select(*CITATION, F.lit(1).alias("_own"))
+    counted = (
+        page.join(numbers.withColumn("_shared", F.lit(True)), [*reference, "_shared"], "left")
+        .join(own, CITATION, "left")
+        .withColumn("_held", F.coalesce("_held", F.lit(0)) - F.coalesce("_own", F.lit(0)))
+        .drop("_own")
+    )
+    named = ["candidate_letter_id", "candidate_ref", "candidate_serial"]
+    shared = (
+        page.where("_shared").select(*CITATION).join(heads, reference)
+        .where(F.col("candidate_letter_id") != F.col("citing_letter_id"))
+        .select(*CITATION, *named, F.lit("exact_ref").alias("match_method"), F.lit(None).cast("double").alias("match_score"))
+    )
+    near = (
+        scored.join(page.select(*CITATION), CITATION, "left_semi")
+        .join(offered, ["package_id", "candidate_letter_id"], "left")
+        .select(*CITATION, *named, "match_method", "match_score")
+    )
+    # best first: score, then serial, both with missing ones last
+    entry = F.struct(
+        F.col("match_score").isNull().alias("a"), (-F.col("match_score")).alias("b"),
+        F.col("candidate_serial").isNull().alias("c"), F.col("candidate_serial").alias("d"),
+        F.col("candidate_letter_id").alias("e"), F.struct(*named, "match_method", "match_score").alias("candidate"),
+    )
+    lists = shared.unionByName(near).groupBy(*CITATION).agg(
+        F.sort_array(F.collect_list(entry)).alias("_all"), F.count_if(F.col("match_method") != "exact_ref").alias("_near")
+    )
+    best = F.transform(F.slice(F.coalesce("_all", F.array()), 1, shown), lambda e: e["candidate"])
+    return counted.join(lists, CITATION, "left").select(
+        "package_id", "place", "citing_letter_id", "citing_ref", "citing_serial", "cited_ref_normalized", "cited_ref_text",
+        (F.col("_held") + F.coalesce("_near", F.lit(0))).alias("n_candidates"), best.alias("candidates"),
+    )
+
+
 def latest_rasters(pages: DataFrame) -> DataFrame:
     """The page image of the highest pipeline version."""
     return pages.groupBy("document_id", "page_no").agg(

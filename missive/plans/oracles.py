@@ -867,6 +867,17 @@ SQL: dict[str, str] = {
         FROM links k JOIN letters a ON a.letter_id = k.citing_letter_id AND a.is_current AND NOT a.is_voided
         LEFT JOIN candidates c ON c.citing_letter_id = k.citing_letter_id AND c.cited_ref_normalized = k.cited_ref_normalized
         LEFT JOIN letters b ON b.letter_id = c.candidate_letter_id WHERE k.resolution = 'unresolved_ambiguous'""",
+    "g8_queue_page": f"""{WITH_LINKS},
+        paged AS (SELECT k.*, row_number() OVER (PARTITION BY k.package_id ORDER BY a.serial, k.cited_ref_text) AS place
+          FROM links k JOIN letters a ON a.letter_id = k.citing_letter_id AND a.is_current AND NOT a.is_voided
+          WHERE k.resolution = 'unresolved_ambiguous' AND (k.package_id % 2 = 1 OR a.serial > 40) QUALIFY place <= 5),
+        listed AS (SELECT p.package_id, place, p.citing_letter_id, p.cited_ref_text, c.candidate_letter_id, b.letter_ref AS candidate_ref,
+            match_method, round(match_score, 6) AS match_score, count(c.candidate_letter_id) OVER (PARTITION BY p.package_id, place) AS n_candidates,
+            row_number() OVER (PARTITION BY p.package_id, place ORDER BY match_score DESC NULLS LAST, b.serial, b.letter_id) AS n
+          FROM paged p LEFT JOIN candidates c ON c.citing_letter_id = p.citing_letter_id AND c.cited_ref_normalized = p.cited_ref_normalized
+          LEFT JOIN letters b ON b.letter_id = c.candidate_letter_id)
+        SELECT package_id, place, citing_letter_id, cited_ref_text, n_candidates, CASE WHEN candidate_letter_id IS NOT NULL THEN n END AS rank,
+          candidate_letter_id, candidate_ref, match_method, match_score FROM listed WHERE n <= 3""",
     "g9_first_missing_citation": f"""{WITH_LINKS} SELECT package_id, citing_letter_id AS letter_id, min(cited_ref_text) AS missing_citation
         FROM links WHERE resolution = 'unresolved_missing' GROUP BY 1, 2""",
     "g10_latest_rasters": f"""{WITH_FILES} SELECT document_id, page_no, pipeline_version, raster_uri FROM (

@@ -853,6 +853,22 @@ def g8_ambiguity_queue(spark, d):
     )
 
 
+@query
+def g8_queue_page(spark, d):
+    """Five citations of each package's queue with their three best candidates; every second package goes on behind serial 40."""
+    held = linked(spark, d)
+    after = held.letters.where("package_id % 2 = 0").select(
+        "package_id", F.lit(40).alias("serial"), F.lit("~").alias("cited_ref_text")
+    ).distinct()
+    page = register.queue_page(held.citations, held.scored, held.exact, held.letters, after, size=5, shown=3)
+    return page.select(
+        "package_id", "place", "citing_letter_id", "cited_ref_text", "n_candidates", F.posexplode_outer("candidates").alias("i", "c")
+    ).select(
+        "package_id", "place", "citing_letter_id", "cited_ref_text", "n_candidates", (F.col("i") + 1).alias("rank"),
+        "c.candidate_letter_id", "c.candidate_ref", "c.match_method", F.round("c.match_score", 6).alias("match_score"),
+    )
+
+
 @query
 def g9_first_missing_citation(spark, d):
     held = linked(spark, d)
