@@ -30,6 +30,9 @@ _CONTROL = re.compile("|".join(map(re.escape, sorted(CONTROLS, key=len, reverse=
 _BEGIN, _MIDDLE, _END = "<|turn|>", "<|text|>", "<|end|>\n"
 _PROBES = ("", "")
 
+# turns whose prefixes are rendered from one start, where the template's context is stated
+SLICE = 16
+
 SPAN = "struct<role:string,start:int,end:int,text_start:int,text_end:int>"
 RESULT = f"conv_id long, formatted string, spans array<{SPAN}>, loss array<struct<start:int,end:int>>, rewritten array<int>"
 
@@ -72,29 +75,55 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[str, int, int, int, int]], list[int]]:
-    """The rendered conversation; role, begin, end, begin and end of the text of each turn; turns that rewrote history.
+Located = tuple[str, list[tuple[str, int, int, int, int]], list[int]]
 
-    Positions are those at which the turn was rendered last. If a template changes or drops texts, or later rewrites a turn,
-    the text positions may be empty; they never point at other text than what stands between the template's own signs.
-    """
-    before, spans, rewritten = "", [], []
+
+def _by_prefixes(turns: list[Turn], template: Template, head: list[Turn]) -> Located:
+    """`locate` over the turns behind `head` by all their prefixes; what `head` renders to is left out of text and positions."""
+    before, spans, rewritten = template(head) if head else "", [], []
+    skipped = len(before)
     for k, (role, _) in enumerate(turns):
-        output = template(turns[: k + 1])
+        prefix = [*head, *turns[:k]]
+        output = template([*prefix, turns[k]])
         begin = len(before)
         if not output.startswith(before):
             rewritten.append(k)
             begin = _common(before, output)
             # what stood behind that point is no longer where it was
             spans = [(r, min(b, begin), min(e, begin), min(s, begin), min(t, begin)) for r, b, e, s, t in spans]
-        one, two = (template([*turns[:k], (role, probe)]) for probe in _PROBES)
+        one, two = (template([*prefix, (role, probe)]) for probe in _PROBES)
         text_begin = _common(one, two)
         behind = len(one) - text_begin - 1
         text_end = len(output) - behind
         fits = text_begin <= text_end and output[:text_begin] == one[:text_begin] and output.endswith(one[text_begin + 1 :])
         spans.append((role, begin, len(output), *((text_begin, text_end) if fits else (begin, begin))))
         before = output
-    return before, spans, rewritten
+    return before[skipped:], [(r, *(x - skipped for x in places)) for r, *places in spans], rewritten
+
+
+def locate(turns: list[Turn], template: Template, context: int | None = None) -> Located:
+    """The rendered conversation; role, begin, end, begin and end of the text of each turn; turns that rewrote history.
+
+    Positions are those at which the turn was rendered last. If a template changes or drops texts, or later rewrites a turn,
+    the text positions may be empty; they never point at other text than what stands between the template's own signs.
+
+    `context` states that the template only appends, and that what it appends depends on that many turns before at most. Prefixes
+    then begin that many turns before a slice of the conversation, so the work grows with its length. The slices are held against
+    the whole rendering; if they are not it, or one rewrites, all prefixes are rendered from the first turn on, as without `context`.
+    """
+    if context is None or len(turns) <= SLICE:
+        return _by_prefixes(turns, template, [])
+    pieces, spans, at = [], [], 0
+    for first in range(0, len(turns), SLICE):
+        head = turns[max(0, first - context) : first]
+        piece, found, rewritten = _by_prefixes(turns[first : first + SLICE], template, head)
+        if rewritten:
+            return _by_prefixes(turns, template, [])
+        spans += [(r, *(x + at for x in places)) for r, *places in found]
+        pieces.append(piece)
+        at += len(piece)
+    whole = "".join(pieces)
+    return (whole, spans, []) if whole == template(turns) else _by_prefixes(turns, template, [])
 
 
 def formatted(
@@ -105,13 +134,14 @@ def formatted(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
+    context: int | None = None,
 ) -> DataFrame:
     """conv_id, formatted, spans of turns and their texts, loss (spans of the texts of `learn_from`), rewritten turns.
 
     Rows of a conversation are ordered by turn, rows with one turn by role and text; missing turns come last. A missing role
     or text counts as empty; rows without conv_id form one conversation; repeated rows are repeated turns; other columns are
     left out; no rows give no rows. A conversation is one value of the result and is held by one task, which sorts nothing:
-    rows arrive sorted, and no two conversations are held at once.
+    rows arrive sorted, and no two conversations are held at once. `context` as in `locate`; 0 for the default template.
     """
     rows = conversations.select(
         F.col(conv_col).cast("long").alias("conv_id"),
@@ -122,7 +152,7 @@ def formatted(
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
 
     def one(conv_id: int | None, turns: list[Turn]) -> tuple:
-        whole, spans, rewritten = locate(turns, template)
+        whole, spans, rewritten = locate(turns, template, context)
         named = [dict(zip(("role", "start", "end", "text_start", "text_end"), s)) for s in spans]
         loss = [{"start": s[3], "end": s[4]} for s in spans if s[0] == learn_from]
         return conv_id, whole, named, loss, rewritten

@@ -71,7 +71,7 @@ def op6_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return (
-        chat.read_back(chat.formatted(rows))
+        chat.read_back(chat.formatted(rows, context=0))
         .select(
             "conv_id",
             F.size("turns").cast("long").alias("n_turns"),

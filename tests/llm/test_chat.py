@@ -1,6 +1,7 @@
 """Chat formatting: round trips, spans, templates that rewrite history."""
 
 import random
+import time
 
 import __spark_entry__ as entry
 from compare import connect, difference
@@ -43,6 +44,45 @@ def test_template_that_changes_texts_has_no_text_span():
     assert spans[0][3] == spans[0][4]
 
 
+def test_slices_equal_whole_prefixes():
+    rng = random.Random(4)
+
+    def answered(turns):
+        # what a turn adds depends on the turn before it
+        return "".join(f"<{r}{'=' if k and turns[k - 1][0] == r else '!'}{t}>" for k, (r, t) in enumerate(turns))
+
+    def opened(turns):
+        return "<s>" + chat.render(turns)
+
+    def forgetful(turns):
+        return "".join(f"({r}:{t if k > len(turns) - 3 else '...'})" for k, (r, t) in enumerate(turns))
+
+    def late(turns):
+        return chat.render(turns[-1:] if len(turns) > 40 else turns)
+
+    def doubled(turns):
+        # no prefix of a slice shows it, the whole rendering does
+        return "".join(f"({t * (2 if k > 30 else 1)})" for k, (_, t) in enumerate(turns))
+
+    for length in (0, 1, chat.SLICE, chat.SLICE + 1, 5 * chat.SLICE + 3):
+        turns = [turn for _ in range(60) for turn in turns_of(rng)][:length]
+        assert len(turns) == length
+        for template, stated in [(chat.render, 0), (chat.render, 3), (answered, 1), (opened, 1)]:
+            assert chat.locate(turns, template, stated) == chat.locate(turns, template)
+        # stated wrongly: found out, and rendered from the first turn on
+        for template in (answered, opened, forgetful, late, doubled):
+            assert chat.locate(turns, template, 0) == chat.locate(turns, template)
+
+
+def test_conversation_of_twenty_thousand_turns():
+    turns = [("user" if k % 2 else "assistant", f"turn {k} </s>") for k in range(20_000)]
+    began = time.monotonic()
+    whole, spans, rewritten = chat.locate(turns, chat.render, 0)
+    assert time.monotonic() - began < 60
+    assert chat.parsed(whole) == turns and rewritten == [] and len(spans) == len(turns)
+    assert chat.unescaped(whole[spans[-1][3] : spans[-1][4]]) == turns[-1][1]
+
+
 def test_rows(spark):
     rows = [
         (1, 1, "assistant", "b", "x"), (1, 0, "user", None, "x"), (1, 1, "assistant", "b", "x"), (1, None, None, "z", "x"),
