@@ -6,7 +6,8 @@ in one order, two sets with similarity `least` or more share an element among th
 size. So every set emits these, and sets that meet are compared exactly; no pair is missed. Counts of elements by bucket, a byte for two elements, rule out most other pairs before
 whole sets move. The order has elements that are
 common in a sample last, which only keeps the meetings few. At an element where more than CROWD sets meet, all are compared
-with one of them first, and then only those that are still in different components with each other.
+with one of them first, and then, in rounds, those that are still in different components with some of them, until all that are
+left at an element are in one component or have been compared.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from missive.operators.threads import connected_components
 # least similarity, as numerator and denominator: whole numbers leave no rounding at the edge
 LEAST = (4, 5)
 CROWD = 64
+# sets of such an element that all others there are compared with in the first round, and how many times more in the next
+PIVOTS, MORE_PIVOTS = 16, 4
 # texts, and elements found in several of them, that decide the order; any order gives the same result
 SAMPLE_ROWS = 10_000
 COMMON = 200_000
@@ -163,18 +166,27 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, least: tuple[int, int]) ->
     return both.select("src", "dst", "n", "a", "m", "b").mapInArrow(compare, "src long, dst long")
 
 
-def _verified(rows: DataFrame, sketches: DataFrame, pairs: DataFrame, words: int, least: tuple[int, int]) -> DataFrame:
-    """Those of the pairs (src, dst) whose sets reach the least similarity; whole sets move for plausible pairs only."""
-    pairs = cut_lineage(_plausible(cut_lineage(pairs.distinct()), sketches, least))
-    ends = _ends(pairs)
-    shared = rows.sparkSession.sparkContext.broadcast(_filter_of(ends))
+def _sets_of(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node, found: the elements of the sets given, each once."""
+    shared = rows.sparkSession.sparkContext.broadcast(_filter_of(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _sets(words, shared.value)(batches)
 
-    sets = cut_lineage(
-        rows.mapInArrow(run, "node long, found array<long>").join(ends.distinct(), "node", "left_semi").dropDuplicates(["node"])
-    )
+    found = rows.mapInArrow(run, "node long, found array<long>")
+    return cut_lineage(found.join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"]))
+
+
+def _verified(
+    rows: DataFrame, sketches: DataFrame, pairs: DataFrame, words: int, least: tuple[int, int], sets: DataFrame | None = None
+) -> DataFrame:
+    """Those of the pairs (src, dst) whose sets reach the least similarity; whole sets move for plausible pairs only.
+
+    `sets` has the elements of all sets of the pairs where they are known already.
+    """
+    pairs = cut_lineage(_plausible(cut_lineage(pairs.distinct()), sketches, least))
+    if sets is None:
+        sets = _sets_of(rows, _ends(pairs), words)
     both = F.size(F.array_intersect("a", "b")).cast("long")
     return (
         pairs.join(sets.select(F.col("node").alias("src"), F.col("found").alias("a")), "src")
@@ -184,6 +196,40 @@ def _verified(rows: DataFrame, sketches: DataFrame, pairs: DataFrame, words: int
     )
 
 
+def _links_in_crowds(
+    rows: DataFrame, sketches: DataFrame, crowds: DataFrame, found: DataFrame, words: int, least: tuple[int, int]
+) -> DataFrame:
+    """The links `found` and those still needed to connect all similar sets that meet at crowded elements.
+
+    Per element and round some sets are pivots: all sets there of other components are compared with them, so that they are
+    done. A round is written before the next, whose components are fewer.
+    """
+    nodes = crowds.select(F.col("node").alias("id")).distinct()
+    left, pivots, sets = crowds.where("node <> pivot").select("key", "node", "n", "place"), PIVOTS, None
+    while True:
+        joined = connected_components(nodes, found).withColumnRenamed("id", "node")
+        named = left.join(joined, "node")
+        split = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        named = cut_lineage(named.join(split, "key", "left_semi").select("key", F.struct("node", "n", "place", "component").alias("a")))
+        if named.isEmpty():
+            return found
+        if sets is None:
+            sets = _sets_of(rows, named.select("a.node"), words)
+        a, b = F.col("a"), F.col("b")
+        chosen = cut_lineage(
+            named.groupBy("key", F.pmod(F.xxhash64("a.node"), F.lit(pivots)).alias("slot")).agg(F.min("a").alias("b")).drop("slot")
+        )
+        across = (
+            named.join(chosen, "key")
+            .where((a["component"] != b["component"]) & _can_reach(a, b, least))
+            .select(F.least(a["node"], b["node"]).alias("src"), F.greatest(a["node"], b["node"]).alias("dst"))
+        )
+        found = cut_lineage(found.unionByName(_verified(rows, sketches, across, words, least, sets)))
+        done = chosen.select("key", F.col("b.node").alias("node"))
+        left = named.select("key", "a.node", "a.n", "a.place").join(done, ["key", "node"], "left_anti")
+        pivots *= MORE_PIVOTS
+
+
 def links(
     rows: DataFrame, sketches: DataFrame, words: int = SHINGLE, least: tuple[int, int] = LEAST, crowd: int = CROWD
 ) -> DataFrame:
@@ -241,17 +287,7 @@ def links(
     first = cut_lineage(first)
     if crowds.isEmpty():
         return first
-    joined = connected_components(crowds.select(F.col("node").alias("id")).distinct(), first).withColumnRenamed("id", "node")
-    named = cut_lineage(crowds.join(joined, "node"))
-    split = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    open_ = named.join(split, "key", "left_semi").select("key", F.struct("node", "n", "place", "component").alias("a"))
-    a, b = F.col("a"), F.col("b")
-    across = (
-        open_.join(open_.withColumnRenamed("a", "b"), "key")
-        .where((a["node"] < b["node"]) & (a["component"] != b["component"]) & _can_reach(a, b, least))
-        .select(a["node"].alias("src"), b["node"].alias("dst"))
-    )
-    return first.unionByName(_verified(rows, sketches, across, words, least))
+    return _links_in_crowds(rows, sketches, crowds, first, words, least)
 
 
 def near_copies(
