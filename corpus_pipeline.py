@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from missive.llm import contamination, near_copies, pieces, quality, secret_scan
+from missive.llm import contamination, near_dups, pieces, quality, secret_scan
 from missive.llm.common import shared_folder, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,8 +22,8 @@ def judge_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; texts are linked from a similarity of 0.8 of their five-word shingles."""
-    return near_copies.representatives(docs).select(docs.columns)
+    """One document of each group stays; SimHash fingerprints link at four or fewer differing bits, found by ball hashing."""
+    return near_dups.representatives(docs).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Near copies of the pipeline's second stage against all pairs."""
+"""Near copies by exact similarity against all pairs."""
 
 import random
 from collections import Counter
@@ -6,7 +6,6 @@ from collections import Counter
 import numpy as np
 import pytest
 
-import corpus_pipeline
 from missive.llm import near_copies
 from missive.llm.contamination import shingles, words_of
 
@@ -89,9 +88,9 @@ def test_shared_sentences_move_few_sets(spark, monkeypatch):
     assert sum(n for n, _ in left) > 200 and sum(m for _, m in left) < sum(n for n, _ in left) / 5
 
 
-def test_stage_drops_similar_texts_only(spark):
+def test_representatives_drop_similar_texts_only(spark):
     docs = planted()
     label, _ = lowest(docs)
     rows = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    stay = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()}
+    stay = {r.doc_id for r in near_copies.representatives(rows).collect()}
     assert stay == {i for i in docs if label[i] == i}

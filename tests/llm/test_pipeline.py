@@ -1,8 +1,5 @@
 """The pipeline against one written without Spark, stage by stage, on the smallest tables."""
 
-from collections import Counter
-from itertools import combinations
-
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -11,7 +8,7 @@ import sentencepiece
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from missive.llm import contamination, quality
+from missive.llm import contamination, near_dups, quality
 from missive.llm.common import table
 
 from test_secrets import plain
@@ -19,20 +16,19 @@ from test_secrets import plain
 SF = "/root/testdata/sf0.001"
 
 
-def lowest(texts):
-    """Smallest id reached over texts whose five-word shingles, counted, have a similarity of 0.8, by comparing all."""
-    counts = {}
-    for i, text in texts.items():
-        words = contamination.words_of(text)
-        width = min(contamination.SHINGLE, len(words))
-        counts[i] = Counter(tuple(words[k : k + width]) for k in range(len(words) - width + 1)) if words else Counter()
-    size = {i: c.total() for i, c in counts.items()}
-    label = {i: i for i in texts}
-    pairs = [(i, j) for i, j in combinations(sorted(texts), 2) if 5 * min(size[i], size[j]) >= 4 * max(size[i], size[j])]
-    pairs = [(i, j) for i, j in pairs if 5 * (counts[i] & counts[j]).total() >= 4 * (counts[i] | counts[j]).total()]
-    while any(label[i] != label[j] for i, j in pairs):
-        for i, j in pairs:
-            label[i] = label[j] = min(label[i], label[j])
+def components(prints):
+    """Smallest id reached over fingerprints within four bits, by comparing all."""
+    ids, values = list(prints), np.array(list(prints.values()), dtype=np.uint64)
+    label = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for k, i in enumerate(ids):
+            near = np.flatnonzero(np.bitwise_count(values ^ values[k]) <= near_dups.RADIUS)
+            low = min(label[ids[j]] for j in near)
+            for j in near:
+                if label[ids[j]] != low:
+                    label[ids[j]], changed = low, True
     return label
 
 
@@ -56,7 +52,7 @@ def test_pipeline_equals_plain_version(spark):
         if text.split() and 1 / (1 + np.exp(-(value @ weights[at] + offset))) >= quality.KEEP_FROM:
             stay[i] = text
     assert 0 < len(stay) < len(docs)
-    label = lowest(stay)
+    label = components({i: near_dups.simhash(t) for i, t in stay.items()})
     assert any(label[i] != i and stay[i] != stay[label[i]] for i in stay)
     stay = {i: t for i, t in stay.items() if label[i] == i}
     index = contamination.Index(items)
@@ -84,3 +80,16 @@ def test_stage_takes_odd_rows(spark, name, stage):
         assert found.count() <= table_.count()
         if stage is not corpus_pipeline.encode:
             assert found.columns == docs.columns
+
+
+def test_near_duplicates_are_those_of_simhash_balls(spark):
+    """Stage 2 keeps what the operator named for it keeps: texts are linked by their fingerprints, not by 0.8 of their shingles."""
+    base = [f"word{k}" for k in range(60)]
+    rows = [(1, " ".join(base)), (2, "other text of its own"), (3, " ".join(base).upper())]
+    for k in range(60):
+        rows.append((10 + k, " ".join([*base[:k], "changed", *base[k + 1 :]])))
+    label = components({i: near_dups.simhash(t) for i, t in rows})
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    stay = {r.doc_id for r in dict(corpus_pipeline.STAGES)["near-duplicates"](spark, docs, SF).collect()}
+    assert stay == {i for i in label if label[i] == i}
+    assert 3 not in stay and 2 in stay
