@@ -51,3 +51,10 @@ def test_positions_in_groups_broadcast_no_table(spark, tmp_path):
     assert "Broadcast" not in plan_of(ordering.number_rows(letters, ["package_id"], "letter_id", "at"))
     assert "Broadcast" not in plan_of(ordering.previous_in_order(letters, ["package_id"], "dated", "serial", ["letter_ref"], "prev"))
     assert "Broadcast" not in plan_of(ordering.latest_earlier_day(letters, ["package_id"], "dated", "serial", ["letter_ref"], "prev"))
+
+
+def test_aliases_broadcast_no_table(spark, tmp_path):
+    letters, _, found = tables(spark, tmp_path)
+    known = spark.createDataFrame([(0, "A/9", 1)], "package_id long, cited_ref_normalized string, letter_id long")
+    direct = citations.apply_direct_rules(citations.distinct_citations(found), citations.link_targets(letters), known)
+    assert "Broadcast" not in plan_of(direct)
