@@ -134,17 +134,36 @@ def build_fields(fields: DataFrame, page_ocr: DataFrame) -> DataFrame:
     ).drop("_text", "_tokens", "_found", "_box", "page")
 
 
+def _between(text: str, parts: Column, width: Column, start: Column, length: Column) -> Column:
+    """Part of a text, looked up in overlapping parts of it: from its begin on, each would take time that grows with its place."""
+    near = (start >= 0) & (length <= width) & (start < F.size(parts) * width)
+    part = F.get(parts, F.floor(start / width).cast("int"))
+    return F.when(near, F.substring(part, (start % width + 1).cast("int"), length)).otherwise(F.substring(F.col(text), start + 1, length))
+
+
 def audit_tokens(page_ocr: DataFrame) -> DataFrame:
     """Tokens whose text is not the page text at their offsets."""
+    # parts as wide as keeps cutting them and looking into them about equal
+    width = F.greatest(F.lit(64), F.ceil(F.sqrt(F.length("text") * 6))).cast("int")
+    numbers = F.sequence(F.lit(0), F.floor(F.length("text") / width).cast("int"))
+    parts = F.transform(numbers, lambda k: F.substring(F.col("text"), k * width + 1, width * 2))
+
+    def beside(cut: Column):
+        def one(token: Column, number: Column) -> Column:
+            length = token["char_end"] - token["char_start"]
+            return F.struct(
+                number.alias("token_no"),
+                token["text"].alias("expected"),
+                _between("text", cut["parts"], cut["width"], token["char_start"], length).alias("actual"),
+            )
 
-    def beside(token: Column, number: Column) -> Column:
-        length = token["char_end"] - token["char_start"]
-        return F.struct(
-            number.alias("token_no"),
-            token["text"].alias("expected"),
-            F.substring(F.col("text"), token["char_start"] + 1, length).alias("actual"),
-        )
+        return one
 
     # the page text is not copied to its tokens: only the wrong ones leave the array
-    wrong = F.filter(F.transform("tokens", beside), lambda t: t["actual"] != t["expected"])
-    return page_ocr.select("document_id", "page_no", F.explode(wrong).alias("t")).select("document_id", "page_no", "t.*")
+    wrong = F.transform(
+        F.array(F.struct(parts.alias("parts"), width.alias("width"))),
+        lambda cut: F.filter(F.transform("tokens", beside(cut)), lambda t: t["actual"] != t["expected"]),
+    )[0]
+    # worked out once: Spark would filter by the array's size before it explodes it
+    found = page_ocr.select("document_id", "page_no", F.explode(F.array(wrong)).alias("wrong"))
+    return found.select("document_id", "page_no", F.explode("wrong").alias("t")).select("document_id", "page_no", "t.*")
