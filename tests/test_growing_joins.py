@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from missive.operators import citations, ordering, threads
+from missive.operators import checks, citations, ordering, threads
 from missive.plans import bridge
 
 
@@ -58,3 +58,19 @@ def test_aliases_broadcast_no_table(spark, tmp_path):
     known = spark.createDataFrame([(0, "A/9", 1)], "package_id long, cited_ref_normalized string, letter_id long")
     direct = citations.apply_direct_rules(citations.distinct_citations(found), citations.link_targets(letters), known)
     assert "Broadcast" not in plan_of(direct)
+
+
+def test_anomalies_broadcast_no_table(spark, tmp_path):
+    letters, _, found = tables(spark, tmp_path)
+    links = citations.resolve(found, letters).citations
+    packages = letters.selectExpr("package_id", "date'1995-06-01' AS starts_on", "date'2001-01-31' AS ends_on").distinct()
+    assert "Broadcast" not in plan_of(checks.flag_anomalies(letters.selectExpr("*", "dated AS received"), packages, links))
+
+
+def test_confirmations_broadcast_no_table(spark, tmp_path):
+    letters, _, found = tables(spark, tmp_path)
+    links = citations.resolve(found, letters)
+    asked = links.candidates.selectExpr("package_id", "citing_letter_id", "cited_ref_normalized", "candidate_letter_id", "1L AS confirmed_at")
+    done = citations.apply_confirmations(links.citations, links.candidates, asked, found, letters)
+    assert "Broadcast" not in plan_of(done.citations)
+    assert "Broadcast" not in plan_of(done.candidates)
