@@ -34,3 +34,23 @@ def test_overlaps_broadcast_no_table_and_keep_every_pair(kept):
     good = [(i, s) for i, s in enumerate(spans) if s[0] <= s[1]]
     expected = sorted((g, i, j) for g in (0, 1) for i, s in good for j, t in good if s[0] <= t[1] and t[0] <= s[1])
     assert sorted((r.g, r.a, r.b) for r in pairs.collect()) == expected
+
+
+def test_second_reading_broadcasts_no_table(kept):
+    held = kept(
+        [(0, "D", 1, 1, "A/1", 1, 2, True, None, "unverified")],
+        "package_id long, document_id string, letter_id long, serial long, letter_ref_normalized string, page_from int, page_to int,"
+        " is_current boolean, superseded_by string, review_status string",
+        "held",
+    )
+    read = kept(
+        [(0, "D", 0, "A/1", 1, 1), (0, "D", 1, "A/2", 7, 8)],
+        "package_id long, document_id string, candidate int, letter_ref_normalized string, page_from int, page_to int",
+        "read",
+    )
+    packages = kept([(0, 2)], "package_id long, next_serial long", "packages")
+    matches = reprocessing.match_reprocessed(held, read)
+    after, events = reprocessing.apply_reprocessing(held, matches, packages)
+    for df in (matches, after, events):
+        assert "Broadcast" not in plan_of(df)
+    assert sorted((r.serial, r.is_current) for r in after.collect()) == [(1, False), (1, True), (2, True)]
