@@ -54,3 +54,14 @@ def test_second_reading_broadcasts_no_table(kept):
     for df in (matches, after, events):
         assert "Broadcast" not in plan_of(df)
     assert sorted((r.serial, r.is_current) for r in after.collect()) == [(1, False), (1, True), (2, True)]
+
+
+def test_answers_are_written_where_their_rows_arrive(spark, tmp_path):
+    letters, cited, _ = tables(spark, tmp_path)
+    letters = letters.selectExpr("*", "1 AS page_from", "2 AS page_to", "'CTR' AS from_code", "'AE' AS to_code", "dated AS received", "'' AS chainage", "'' AS clause")
+    files = bridge.extraction_files(letters, cited)
+    lines = plan_of(files).splitlines()
+    lists = [i for i, x in enumerate(lines) if "collect_list" in x]
+    moves = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(package_id" in x and "document_id" in x]
+    assert max(lists) < min(moves)
+    assert files.count() == 2
