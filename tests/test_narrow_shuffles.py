@@ -56,6 +56,14 @@ def test_second_reading_broadcasts_no_table(kept):
     assert sorted((r.serial, r.is_current) for r in after.collect()) == [(1, False), (1, True), (2, True)]
 
 
+def test_own_reference_does_not_move_on(spark, tmp_path):
+    letters, _, found = tables(spark, tmp_path)
+    direct = citations.apply_direct_rules(citations.distinct_citations(found), citations.link_targets(letters))
+    outer = optimized(direct).split("Join LeftOuter")
+    assert len(outer) >= 4
+    assert "own_ref" not in outer[0] + outer[1]
+
+
 def test_answers_are_written_where_their_rows_arrive(spark, tmp_path):
     letters, cited, _ = tables(spark, tmp_path)
     letters = letters.selectExpr("*", "1 AS page_from", "2 AS page_to", "'CTR' AS from_code", "'AE' AS to_code", "dated AS received", "'' AS chainage", "'' AS clause")
