@@ -56,6 +56,17 @@ def test_second_reading_broadcasts_no_table(kept):
     assert sorted((r.serial, r.is_current) for r in after.collect()) == [(1, False), (1, True), (2, True)]
 
 
+def test_moments_share_one_shuffle_of_events(kept):
+    letters = kept([(0, 1, 10, "1998-01-01"), (0, 1, 11, "1998-01-05")], "package_id long, serial long, letter_id long, at string", "letters")
+    letters = letters.selectExpr("package_id", "serial", "letter_id", "CAST(at AS date) AS created_at")
+    asked = letters.selectExpr("package_id", "serial", "date_add(created_at, 1) AS moment")
+    live = versions.as_of_each(letters, asked)
+    assert "Broadcast" not in plan_of(live)
+    assert {(str(r.moment), r.letter_id) for r in live.collect()} == {("1998-01-02", 10), ("1998-01-06", 11)}
+    # the last version of a day comes from the ordered events, not from an aggregation of them beside it
+    assert not any("Aggregate" in x and "max(" in x for x in optimized(live).splitlines())
+
+
 def test_own_reference_does_not_move_on(spark, tmp_path):
     letters, _, found = tables(spark, tmp_path)
     direct = citations.apply_direct_rules(citations.distinct_citations(found), citations.link_targets(letters))
