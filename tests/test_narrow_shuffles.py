@@ -67,6 +67,28 @@ def test_moments_share_one_shuffle_of_events(kept):
     assert not any("Aggregate" in x and "max(" in x for x in optimized(live).splitlines())
 
 
+def test_reviewed_fields_move_once(kept):
+    fields = kept(
+        [(1, 5, "a", "a", 1, "exact", "unreviewed", True), (2, 5, "b", "b", 1, "exact", "unreviewed", True), (3, 5, "c", "c", 1, "exact", "unreviewed", False)],
+        "field_id long, letter_id long, value string, verbatim string, page_no int, validation string, review_status string, is_current boolean",
+        "fields",
+    )
+    actions = kept(
+        [(1, "corrected", "p", "A", "n", 1), (2, "verified", "p", None, "n", 1), (3, "verified", "p", None, "n", 1)],
+        "field_id long, action string, actor string, new_value string, note string, acted_at long",
+        "actions",
+    )
+    after, events = versions.apply_review(fields, actions)
+    assert "Broadcast" not in plan_of(after) + plan_of(events)
+    assert sum("Relation" in x and "verbatim#" in x for x in optimized(after).splitlines()) == 1
+    assert {(r.field_id, r.value, r.review_status, r.is_current, r.superseded_by) for r in after.collect()} == {
+        ("1", "a", "unreviewed", False, "1/corrected"),
+        ("1/corrected", "A", "corrected", True, None),
+        ("2", "b", "verified", True, None),
+        ("3", "c", "unreviewed", False, None),
+    }
+
+
 def test_own_reference_does_not_move_on(spark, tmp_path):
     letters, _, found = tables(spark, tmp_path)
     direct = citations.apply_direct_rules(citations.distinct_citations(found), citations.link_targets(letters))
