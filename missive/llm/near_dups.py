@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from missive.llm.common import bounded, cut_lineage, partitions, texts
 from missive.operators.threads import connected_components
+from missive.session import grown
 
 WORDS = 4
 RADIUS = 4
@@ -94,7 +95,8 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     )
     # most points have one fingerprint; they end here, before anything is gathered
     shared = points.groupBy("point").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = points.join(shared, "point")
+    # Spark does not count what an explode adds: to it the 66 rows of a fingerprint have the size of one
+    met = grown(points).join(shared, "point")
 
     side = F.shiftright("point", 32)
     place = F.col("point").bitwiseAND(_long(HALF))
@@ -160,12 +162,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     without any identifier has a missing component_id. Other columns are left out; no rows give no rows.
     """
     prints = cut_lineage(fingerprints(docs, words, id_col, text_col))
-    classes = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
+    classes = grown(prints.groupBy("print").agg(F.min("doc_id").alias("first")))
     joined = connected_components(classes.select(F.col("print").alias("id")), links(classes))
-    found = classes.join(joined.withColumnRenamed("id", "print"), "print")
+    found = grown(classes.join(joined.withColumnRenamed("id", "print"), "print"))
     lowest = found.groupBy("component").agg(F.min("first").alias("component_id"))
     named = found.join(lowest, "component").select("print", "component_id")
-    return prints.join(named, "print").select(
+    return prints.join(grown(named), "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -177,5 +179,5 @@ def representatives(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     """
     found = near_duplicates(docs, words, id_col, text_col)
     stay = found.where("component_id IS NOT NULL").select(F.col("component_id").alias(id_col)).distinct()
-    known = docs.where(F.col(id_col).isNotNull()).join(stay, id_col, "left_semi").dropDuplicates([id_col])
+    known = docs.where(F.col(id_col).isNotNull()).join(grown(stay), id_col, "left_semi").dropDuplicates([id_col])
     return known.unionByName(docs.where(F.col(id_col).isNull()))

@@ -80,3 +80,14 @@ def test_documents(spark):
     assert stay.columns == docs.columns
     assert sorted(str(r.doc_id) for r in stay.collect()) == ["11", "2", "4", "None", "None"]
     assert near_dups.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_no_table_is_broadcast(spark, tmp_path):
+    """Spark takes the exploded balls for as small as their fingerprints, and a broadcast of them ends the driver."""
+    rows = [(k, f"text {k % 40} of some words {k % 7} and more") for k in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    prints = near_dups.cut_lineage(near_dups.fingerprints(docs))
+    for df in (near_dups.links(prints), near_dups.near_duplicates(docs), near_dups.representatives(docs)):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
