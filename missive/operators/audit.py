@@ -85,19 +85,15 @@ def audit_geometry(fields: DataFrame, key: Column) -> DataFrame:
     """Offsets and boxes of stored fields: all of them for a located value, none for an unresolved one."""
     located = F.col("validation").isin("exact", "normalized_exact")
     place = [F.col(c).isNull() for c in ("bbox", "char_start", "char_end", "page_no")]
-    return _all(
-        [
-            _rows(
-                fields, (F.col("validation") == "unresolved") & ~(place[0] & place[1]),
-                "unresolved fields have no box or offset", "fields", key,
-            ),
-            _rows(
-                fields, located & (place[0] | place[1] | place[2] | place[3]),
-                "located fields have box, offsets and page", "fields", key,
-            ),
-            _rows(fields, located & (F.col("char_end") <= F.col("char_start")), "end behind start", "fields", key),
-        ]
-    )
+    broken = {
+        "unresolved fields have no box or offset": (F.col("validation") == "unresolved") & ~(place[0] & place[1]),
+        "located fields have box, offsets and page": located & (place[0] | place[1] | place[2] | place[3]),
+        "end behind start": located & (F.col("char_end") <= F.col("char_start")),
+    }
+    rules = F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in broken.items()]))
+    # one pass for all rules; the list in a list keeps Spark from testing its size first, which would place every field again
+    found = fields.select(key.cast("string").alias("key"), F.explode(F.array(rules)).alias("rules"))
+    return found.select(F.explode("rules").alias("rule"), F.lit("fields").alias("table_name"), "key")
 
 
 def audit_field_sources(fields: DataFrame, letters: DataFrame, pages: DataFrame) -> DataFrame:

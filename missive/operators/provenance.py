@@ -15,6 +15,11 @@ def _words_pattern(verbatim: Column) -> Column:
     return F.concat(F.lit("\\Q"), F.replace(literal, F.lit(" "), gap), F.lit("\\E"))
 
 
+def _once(value: Column, use) -> Column:
+    """`use` of a value that is worked out once however often it is used; in a conditional branch Spark would do it anew each time."""
+    return F.transform(F.array(value), use)[0]
+
+
 def located(text: Column, verbatim: Column) -> Column:
     """STRUCT<validation, char_start, char_end> in code points.
 
@@ -22,10 +27,10 @@ def located(text: Column, verbatim: Column) -> Column:
     of the string the pattern matched is the match itself, so `locate` yields its offset.
     """
     exact = F.position(verbatim, text)
-    page = refs.nfc(text)
-    loose = F.regexp_substr(page, _words_pattern(refs.nfc(verbatim)))
-    usable = (refs.collapse_space(verbatim) != "") & (F.length(page) == F.length(text))
-    loose = F.when(usable, loose)
+
+    def loose(page: Column) -> Column:
+        usable = (refs.collapse_space(verbatim) != "") & (F.length(page) == F.length(text))
+        return F.when(usable, F.call_function("regexp_extract", page, _words_pattern(refs.nfc(verbatim)), F.lit(0)))
 
     def result(kind: str, start: Column, length: Column) -> Column:
         return F.struct(
@@ -38,11 +43,17 @@ def located(text: Column, verbatim: Column) -> Column:
     return (
         F.when(F.coalesce(verbatim, F.lit("")) == "", result("unresolved", nothing, nothing))
         .when(exact > 0, result("exact", exact - 1, F.length(verbatim)))
-        .when(
-            loose.isNotNull(),
-            result("normalized_exact", F.position(loose, page) - 1, F.length(loose)),
+        .otherwise(
+            _once(
+                refs.nfc(text),
+                lambda page: _once(
+                    loose(page),
+                    lambda found: F.when(
+                        found != "", result("normalized_exact", F.position(found, page) - 1, F.length(found))
+                    ).otherwise(result("unresolved", nothing, nothing)),
+                ),
+            )
         )
-        .otherwise(result("unresolved", nothing, nothing))
     )
 
 
@@ -61,22 +72,25 @@ def boxes(tokens: Column, start: Column, end: Column) -> Column:
         ),
     )
 
-    def edge(pick, low: str, extent: str | None = None) -> Column:
-        return pick(
-            F.transform(
-                rects,
-                lambda r: r.getField(low) + r.getField(extent) if extent else r.getField(low),
+    def around(rects: Column) -> Column:
+        def edge(pick, low: str, extent: str | None = None) -> Column:
+            return pick(
+                F.transform(
+                    rects,
+                    lambda r: r.getField(low) + r.getField(extent) if extent else r.getField(low),
+                )
             )
+
+        left, top = edge(F.array_min, "x"), edge(F.array_min, "y")
+        union = F.struct(
+            left.alias("x"),
+            top.alias("y"),
+            (edge(F.array_max, "x", "w") - left).alias("w"),
+            (edge(F.array_max, "y", "h") - top).alias("h"),
         )
+        return F.when(F.size(rects) > 0, F.struct(union.alias("union"), rects.alias("rects")))
 
-    left, top = edge(F.array_min, "x"), edge(F.array_min, "y")
-    union = F.struct(
-        left.alias("x"),
-        top.alias("y"),
-        (edge(F.array_max, "x", "w") - left).alias("w"),
-        (edge(F.array_max, "y", "h") - top).alias("h"),
-    )
-    return F.when(F.size(touched) > 0, F.struct(union.alias("union"), rects.alias("rects")))
+    return _once(rects, around)
 
 
 def locate_verbatim(fields: DataFrame, page_ocr: DataFrame) -> DataFrame:

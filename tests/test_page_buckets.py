@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from missive.operators import provenance
+from pyspark.sql import functions as F
+
+from missive.operators import audit, provenance
 from missive.plans import bridge, linked
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -45,3 +47,29 @@ def test_audit_looks_anywhere_in_a_page(spark):
         )
         found = {(r.document_id, r.token_no): r.actual for r in provenance.audit_tokens(page).collect()}
         assert found == ({(1, n): parts[n] for n in parts} if wrong else {})
+
+
+def test_fields_are_placed_once_for_all_rules(spark):
+    pages = spark.createDataFrame(
+        [(1, 1, "ab cd", [("ab", 0, 2, (0.0, 0.0, 1.0, 1.0), 1.0), ("cd", 3, 5, (2.0, 0.0, 1.0, 1.0), 1.0)])],
+        "document_id long, page_no int, text string, tokens array<struct<text:string,char_start:int,char_end:int,"
+        "bbox:struct<x:double,y:double,width:double,height:double>,confidence:double>>",
+    )
+    claims = spark.createDataFrame(
+        [(1, 1, 0, "ab"), (1, 1, 1, "cd"), (1, 1, 2, "no"), (1, 9, 3, "ab"), (1, 1, 4, None)], "document_id long, page int, claim_no int, verbatim string"
+    )
+    faulty = provenance.build_fields(claims, pages).selectExpr(
+        "claim_no", "validation", "page_no", "if(claim_no = 0, NULL, bbox) AS bbox", "if(claim_no = 3, 7, char_start) AS char_start",
+        "if(claim_no < 2, char_start, char_end) AS char_end",
+    )
+    found = audit.audit_geometry(faulty, F.col("claim_no"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
+    # nothing places a field in a condition as well
+    assert not [x for x in plan.splitlines() if "Filter" in x and ("_text" in x or "verbatim" in x)], plan
+    assert sorted((r.key, r.rule, r.table_name) for r in found.collect()) == [
+        ("0", "end behind start", "fields"),
+        ("0", "located fields have box, offsets and page", "fields"),
+        ("1", "end behind start", "fields"),
+        ("3", "unresolved fields have no box or offset", "fields"),
+    ]
